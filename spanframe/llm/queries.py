@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from spanframe.llm.line_dedup import op4_line_dedup
+from spanframe.llm.media import op5_media
 from spanframe.llm.mixing import OP10_SQL, op10_mixing
+from spanframe.llm.quality import op7_quality
 from spanframe.llm.secrets import OP9_SQL, op9_secrets
 from spanframe.llm.sharding import op1_sharding
 from spanframe.llm.simhash import op8_simhash
@@ -11,6 +13,8 @@ from spanframe.llm.simhash import op8_simhash
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op5_media": op5_media,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
