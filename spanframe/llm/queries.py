@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spanframe.llm.language import op2_language
 from spanframe.llm.line_dedup import op4_line_dedup
 from spanframe.llm.media import op5_media
 from spanframe.llm.mixing import OP10_SQL, op10_mixing
@@ -12,6 +13,7 @@ from spanframe.llm.simhash import op8_simhash
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_language": op2_language,
     "op4_line_dedup": op4_line_dedup,
     "op5_media": op5_media,
     "op7_quality": op7_quality,
