@@ -6,6 +6,7 @@ from spanframe.llm.language import op2_language
 from spanframe.llm.line_dedup import op4_line_dedup
 from spanframe.llm.media import op5_media
 from spanframe.llm.mixing import OP10_SQL, op10_mixing
+from spanframe.llm.pii import op3_pii
 from spanframe.llm.quality import op7_quality
 from spanframe.llm.secrets import OP9_SQL, op9_secrets
 from spanframe.llm.sharding import op1_sharding
@@ -14,6 +15,7 @@ from spanframe.llm.simhash import op8_simhash
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language": op2_language,
+    "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_media": op5_media,
     "op7_quality": op7_quality,
