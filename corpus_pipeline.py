@@ -4,17 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanframe.llm.line_dedup import dedup_lines
 from spanframe.llm.mixing import apply_mix
+from spanframe.llm.quality import keep_good
+from spanframe.llm.segments import sample
+from spanframe.llm.simhash import keep_one
 from spanframe.plans.scratch import stored
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or a learned rule reject go."""
+    return keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chunks of lines that were met before go; documents stay."""
+    return dedup_lines(spark, docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id."""
+    return keep_one(spark, docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
     return apply_mix(spark, docs)
 
 
-STAGES = [("mixing sources", mixing)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document."""
+    return sample(spark, docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
 
-#: Learned rules and sampled segmentations are not SQL; tests/llm compares each stage with a brute-force version.
+#: Learned rules and sampled segmentations are not SQL; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 

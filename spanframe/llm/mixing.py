@@ -79,7 +79,7 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """(key, size, source_size, target, taken, copies, sample_key) for every row of ``docs``.
+    """(key, size, source_size, target, taken, copies, sample_key, source, tie) for every row of ``docs``.
 
     ``copies`` is how often the row is taken whole; ``taken`` is that times its size. The last document of a
     fractional epoch is in if its midpoint lies below what is left, which brings the sum nearest the target.
@@ -99,14 +99,21 @@ def mix(
     return (
         at.withColumn("epochs", epochs)
         .withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + extra.cast("long")).otherwise(0).cast("long"))
-        .select(F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "sample_key")
+        .select(F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "sample_key", F.col("d.source").alias("source"), "tie")
     )
 
 
-def apply_mix(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. ``key`` has to be unique."""
-    copies = mix(spark, docs, key=key, **options).filter("copies > 0").select(F.col(key).alias("__key"), F.col("copies").alias("__copies"))
-    return docs.join(copies, docs[key] == copies["__key"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+def apply_mix(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows that share key, text and source share their copies evenly, rounded up.
+    """
+    taken = mix(spark, docs, key=key, text=text, source=source, **options).filter("copies > 0")
+    taken = taken.groupBy(F.col(key).alias("k"), F.col("source").alias("s"), F.col("tie").alias("t")).agg(F.ceil(F.avg("copies")).cast("int").alias("n")).alias("m")
+    named = docs.alias("d")
+    same = F.col(f"d.`{key}`").eqNullSafe(F.col("m.k")) & F.col(f"d.`{source}`").eqNullSafe(F.col("m.s")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("m.t"))
+    joined = named.join(taken, same).select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("m.n"))))
+    return joined.select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

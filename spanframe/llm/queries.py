@@ -9,6 +9,7 @@ from spanframe.llm.mixing import OP10_SQL, op10_mixing
 from spanframe.llm.pii import op3_pii
 from spanframe.llm.quality import op7_quality
 from spanframe.llm.secrets import OP9_SQL, op9_secrets
+from spanframe.llm.segments import op6_segments
 from spanframe.llm.sharding import op1_sharding
 from spanframe.llm.simhash import op8_simhash
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_media": op5_media,
+    "op6_segments": op6_segments,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,

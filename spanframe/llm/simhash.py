@@ -117,9 +117,9 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The row of ``docs`` that names each class (``key`` has to be unique)."""
-    kept = classes(spark, docs, key=key, **options).filter(F.col("component") == F.col(key)).select(key)
-    return docs.join(kept, key, "left_semi")
+    """The row of ``docs`` that names each class; rows of one key stay or go together, rows without a key stay."""
+    gone = classes(spark, docs, key=key, **options).filter(F.col("component") != F.col(key)).select(F.col(key).alias("__gone"))
+    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
