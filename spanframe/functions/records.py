@@ -90,8 +90,10 @@ def intervals(raw: Column, config: Config) -> dict[str, Column]:
 def records(lines: DataFrame, config: Config) -> DataFrame:
     """(record_id, line_no, raw, ref, start, end) of the data lines of (record_id, line_no, raw)."""
     raw = trim_end(F.col("raw"))
-    data = lines.select("record_id", "line_no", raw.alias("raw")).filter(~is_meta(F.col("raw"), F.col("line_no"), config))
-    return data.select("record_id", "line_no", "raw", *(c.alias(k) for k, c in intervals(F.col("raw"), config).items()))
+    is_data = ~is_meta(F.col("raw"), F.col("line_no"), config)
+    data = lines.select("record_id", "line_no", raw.alias("raw")).filter(is_data)
+    # conditions of later joins may be tried before the filter: a value must not be parsed from a line that is no data
+    return data.select("record_id", "line_no", "raw", *(F.when(is_data, c).alias(k) for k, c in intervals(F.col("raw"), config).items()))
 
 
 def _uint(text: str, what: str) -> int:
