@@ -137,8 +137,6 @@ class CrossParser:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         codes = [self.fold(t) if t else np.zeros(0, np.uint8) for t in texts]
-        if not self.names:
-            return [(UNKNOWN, 0.0)] * len(texts)
         cost = self.phrases(codes) * np.array(self.weight)
         best = cost.argmin(axis=1)
         out = []
@@ -182,11 +180,11 @@ def identify(spark: SparkSession, docs: DataFrame, samples: tuple[tuple[str, str
     rows = docs.select(key, *carried, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = parser(samples)
+        model = parser(samples) if samples else None
 
         def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            found = model.predict(table.column(table.num_columns - 1).to_pylist())
+            found = model.predict(table.column(table.num_columns - 1).to_pylist()) if model else [(UNKNOWN, 0.0)] * table.num_rows
             columns = [*table.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             return pa.Table.from_arrays(columns, names=[*table.column_names[:-1], "lang_pred", "score"]).combine_chunks().to_batches()[0]
 
