@@ -15,5 +15,6 @@ def stream_overlap(stream: DataFrame, requests: DataFrame) -> DataFrame:
 
 def windowed_hits(stream: DataFrame, requests: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Hits of each request by event-time window; records later than ``late`` are dropped by the watermark."""
-    hits = stream_overlap(stream.withWatermark(time, late), requests)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a point in time
+    hits = stream_overlap(timed.withWatermark(time, late), requests)
     return hits.groupBy(F.window(time, window).alias("window"), "ordinal").agg(F.count(F.lit(1)).alias("n"))
