@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+import tempfile
 from collections.abc import Sequence
 
 from spanframe import __version__
@@ -112,8 +113,8 @@ def run_faidx(a: argparse.Namespace) -> dict:
     from spanframe.sources.fasta import fai_text, read_fai, read_fasta
 
     spark = _spark()
-    lines = read_fasta(spark, a.reference)
     if a.action == "build":
+        lines = read_fasta(spark, a.reference)
         bad = sequence.stride_violations(lines).orderBy("ref_ordinal", "line_in_ref").first()
         if bad:
             raise FormatError(f"line {bad['line_in_ref']} of {bad['ref']} breaks the line length")
@@ -131,7 +132,13 @@ def run_faidx(a: argparse.Namespace) -> dict:
             asked = [x.rstrip("\r\n") for x in f]
     asked += a.regions
     guard_output(a.output, [a.reference, a.region_file or a.reference], a.force)
-    found = sequence.fetch(spark, lines, [resolve_sequence(r, lengths) for r in asked])
+    with open(a.reference, "rb") as f:
+        packed = f.read(4) == b"\x1f\x8b\x08\x04"
+    gzi = None
+    if packed:
+        with open(a.gzi or a.reference + ".gzi", "rb") as f:
+            gzi = f.read()
+    found = sequence.fetch_indexed(spark, a.reference, fai, [resolve_sequence(r, lengths) for r in asked], gzi)
     rows = sequence.to_fasta(found, fai, a.length).orderBy("ordinal").toLocalIterator()
     _write("".join(r["text"] + "\n" for r in rows).encode("latin-1"), a.output)
     return {"operation": "query", "summary": {"regions": len(asked)}}
@@ -142,9 +149,15 @@ def run_dict(a: argparse.Namespace) -> dict:
     from spanframe.sources.fasta import read_fasta
 
     guard_output(a.output, [a.reference], a.force)
-    uri = a.uri or "file://" + os.path.realpath(a.reference)
+    if a.reference == "-":
+        handle, path = tempfile.mkstemp(suffix=".fa")
+        with os.fdopen(handle, "wb") as f:
+            f.write(sys.stdin.buffer.read())
+        uri = a.uri
+    else:
+        path, uri = a.reference, a.uri or "file://" + os.path.realpath(a.reference)
     spark = _spark()
-    text = dictionary_text(spark, read_fasta(spark, a.reference), not a.no_header, alias=a.alias, uri=uri, assembly=a.assembly, species=a.species)
+    text = dictionary_text(spark, read_fasta(spark, path), not a.no_header, alias=a.alias, uri=uri, assembly=a.assembly, species=a.species)
     _write(text.encode(), a.output)
     return {"operation": "dict", "summary": {"sequences": text.count("@SQ")}}
 
@@ -209,6 +222,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("reference")
     p.add_argument("regions", nargs="*")
     p.add_argument("--fai")
+    p.add_argument("--gzi")
     p.add_argument("-r", "--region-file")
     p.add_argument("-n", "--length", type=int)
     p.set_defaults(run=run_faidx)

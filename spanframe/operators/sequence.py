@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spanframe.functions.config import FormatError
 from spanframe.functions.regions import Slice
 from spanframe.functions.sequences import aliases, graphic, is_sam_name, wrap
+from spanframe.sources.bgzf import Gzi, read_range
 
 
 def build_fai(lines: DataFrame) -> DataFrame:
@@ -65,6 +66,49 @@ def fetch(spark: SparkSession, lines: DataFrame, slices: Sequence[Slice] | DataF
     return slices.join(joined, "ordinal", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
+PART = 1 << 20
+
+
+def fetch_indexed(spark: SparkSession, path: str, fai: DataFrame, slices: Sequence[Slice], gzi: bytes | None = None, part: int = PART) -> DataFrame:
+    """As ``fetch``, but by seeking: the index gives each part's bytes, and only those are read.
+
+    Long requests are cut into parts of ``part`` bases, each read by itself. A block-compressed file needs its
+    block index. Line ends have to lie where the index says.
+    """
+    asked = spark.createDataFrame([(k, s.header, s.ref, s.start, s.end) for k, s in enumerate(slices)], "ordinal long, header string, ref string, start long, end long")
+    begins = F.sequence(F.col("start"), F.greatest(F.col("start"), F.col("end") - 1), F.lit(part).cast("long"))
+    cut = asked.filter(F.col("end") > F.col("start")).select("ordinal", "ref", "end", F.explode(begins).alias("a"))
+    cut = cut.join(fai.select(F.col("name").alias("ref"), "length", "offset", "line_bases", "line_width"), "ref")
+    cut = cut.select("ordinal", "a", F.least(F.col("a") + part, F.col("end")).alias("b"), "length", "offset", "line_bases", "line_width")
+    index = Gzi.parse(gzi, "reference") if gzi is not None else None
+
+    def bases(f, a: int, b: int, length: int, offset: int, width: int, stride: int) -> str:
+        at = lambda p: offset + p // width * stride + p % width
+        # up to the end of the last line, so that its end can be checked too
+        first, last = at(a), min(at(b - 1) + 1 + (stride - width if b % width == 0 or b == length else 0), at(length - 1) + 1 + stride - width)
+        raw = read_range(f, index, first, last - first) if index is not None else (f.seek(first), f.read(last - first))[1]
+        out, place, p = [], 0, a
+        while p < b:
+            n = min(width - p % width, b - p)
+            line, end = raw[place : place + n], raw[place + n : place + n + stride - width]
+            whole = (p + n) % width == 0 or p + n == length
+            if len(line) != n or any(not 33 <= c <= 126 for c in line) or (whole and p + n < length and end not in (b"", b"\n", b"\r\n")) or (whole and p + n < length and len(end) != stride - width):
+                raise FormatError("the index doesn't fit the file")
+            out.append(line)
+            p, place = p + n, place + n + (stride - width)
+        return b"".join(out).decode("latin-1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
+            for batch in batches:
+                rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bases(f, *r[1:]) for r in rows], pa.string())], names=["ordinal", "a", "seq"])
+
+    parts = cut.repartition("ordinal", "a").mapInArrow(run, "ordinal long, a long, seq string")
+    joined = parts.groupBy("ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    return asked.join(joined, "ordinal", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+
+
 def to_fasta(found: DataFrame, fai: DataFrame, width: int | None = None) -> DataFrame:
     """(ordinal, text): header and wrapped bases; without ``width`` the sequence's own line length holds, 0 is one line."""
     if width is not None:

@@ -146,6 +146,8 @@ def read_range(source: BinaryIO, gzi: Gzi, offset: int, size: int | None = None)
     out, left = [], size
     for _, member in found:
         data = inflate(member)
+        if not data:
+            continue
         if skip >= len(data) and skip:
             raise BlockError("the offset lies beyond its block")
         part = data[skip:] if left is None else data[skip : skip + left]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from spanframe.functions.config import FormatError
 from spanframe.functions.sequences import is_fasta_name, name_token
 from spanframe.plans.ordering import ranked
 from spanframe.plans.scratch import stored
+from spanframe.sources.archive import bgzf_lines, blocks
+from spanframe.sources.bgzf import inflate, members
 from spanframe.sources.text import peek, text_lines
 
 
@@ -45,11 +50,39 @@ def fasta_lines(spark: SparkSession, lines: DataFrame, ends_in_newline: bool = T
     )
 
 
+def _last_byte(path: str) -> bytes:
+    """The last byte of a gzip file's content; such a stream can only be read from its start."""
+    last = b""
+    with gzip.open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            last = part[-1:]
+    return last
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a plain FASTA file."""
+    """The lines of a FASTA file: plain, block-compressed (empty blocks allowed) or gzip, told by its first bytes."""
+    head = peek(spark, path, 4)
+    if head == b"\x1f\x8b\x08\x04":
+        found = blocks(spark, path, "reference").orderBy(F.desc("block_no")).first()
+        with open(path, "rb") as f:
+            last = next(iter(members(f, found["coffset"])))[1] if found else None
+        return fasta_lines(spark, bgzf_lines(spark, path, "reference"), last is not None and inflate(last).endswith(b"\n"))
+    if head[:2] == b"\x1f\x8b":
+        ended = _last_byte(path) == b"\n"
+        if path.endswith(".gz"):
+            return fasta_lines(spark, text_lines(spark, path), ended)
+        text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_gunzip, "raw string")
+        lines = text.select(F.posexplode(F.split("raw", "\n", -1)).alias("record_id", "raw")).withColumn("record_id", F.col("record_id").cast("long"))
+        return fasta_lines(spark, lines if not ended else lines.join(lines.agg(F.max("record_id").alias("end")), F.col("record_id") < F.col("end")).drop("end"), ended)
     return fasta_lines(spark, text_lines(spark, path), peek(spark, path, 1, from_end=True) == b"\n")
 
 
+def _gunzip(batches):
+    """Whole gzip files as text, for those whose name doesn't tell Spark's reader what they are."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([gzip.decompress(x.as_py()).decode("latin-1") for x in batch.column(0)], pa.string())], names=["raw"])
+
+
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """An index file of five columns."""
     from spanframe.functions.coords import uint

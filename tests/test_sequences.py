@@ -1,5 +1,6 @@
 """Sequences from a file whose layout is known, against slices of the sequences themselves."""
 
+import gzip
 import hashlib
 import json
 
@@ -10,7 +11,7 @@ from spanframe import cli
 from spanframe.functions.config import FormatError
 from spanframe.functions.regions import resolve_sequence
 from spanframe.operators import sequence
-from spanframe.sources.bgzf import decode
+from spanframe.sources.bgzf import EOF_BLOCK, Gzi, decode, deflate, encode, manifest
 from spanframe.sources.fasta import fai_text, read_fai, read_fasta
 from spanframe.sources.text import text_lines
 
@@ -64,6 +65,40 @@ def test_fetch_and_wrap(spark, fasta, tmp_path):
             assert t == "\n".join([">" + s.header, *rows])
 
 
+def test_fetch_by_seeking(spark, fasta, tmp_path):
+    path, fai = fasta
+    (tmp_path / "x.fai").write_text(fai)
+    index = read_fai(spark, str(tmp_path / "x.fai"))
+    lengths = {r["name"]: r["length"] for r in index.collect()}
+    slices = [resolve_sequence(x, lengths) for x in ("long:1-350", "long", "crlf:30-67", "crlf", "last:1-83", "MT:100-200", "long:26210-26300")]
+    want = [bases(lengths[s.ref])[s.start : s.end] for s in slices]
+    with open(path, "rb") as f:
+        raw = f.read()
+    packed = tmp_path / "x.fa.gz"
+    packed.write_bytes(EOF_BLOCK + b"".join(deflate(raw[k : k + 5000]) + (EOF_BLOCK if k == 10_000 else b"") for k in range(0, len(raw), 5000)) + EOF_BLOCK)
+    with open(packed, "rb") as f:
+        gzi = Gzi.of(manifest(f, "reference")).to_bytes()
+    for part in (1 << 20, 100):
+        got = sequence.fetch_indexed(spark, path, index, slices, part=part).orderBy("ordinal").collect()
+        assert [r.seq for r in got] == want
+    got = sequence.fetch_indexed(spark, str(packed), index, slices, gzi).orderBy("ordinal").collect()
+    assert [r.seq for r in got] == want
+    wrong = index.withColumn("line_bases", F.col("line_bases") - 1)
+    with pytest.raises(Exception, match="fit the file"):
+        sequence.fetch_indexed(spark, path, wrong, slices[:1]).collect()
+
+
+def test_compressed_inputs(spark, fasta, tmp_path):
+    path, fai = fasta
+    with open(path, "rb") as f:
+        raw = f.read()
+    half = len(raw) // 2
+    files = {"b.fa.gz": encode(raw[:half], text=False) + encode(raw[half:], text=False), "m.fa.gz": gzip.compress(raw[:half]) + gzip.compress(raw[half:]), "m.fa": gzip.compress(raw)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        assert fai_text(sequence.build_fai(read_fasta(spark, str(tmp_path / name)))) == fai, name
+
+
 def test_dictionary(spark, fasta):
     path, _ = fasta
     lines = read_fasta(spark, path).filter("ref not like '%:%'")
