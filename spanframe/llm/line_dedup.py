@@ -7,7 +7,8 @@ itself. Chunks that occur more than once in the whole table (first by hash, then
 byte for byte) stay where (key, text hash, line) is smallest and go elsewhere.
 
 Only DataFrame functions run here. What is counted is shuffled as hashes; texts
-move only for the byte comparison and for the final join.
+move only for the byte comparison and for the final join, and of those only the
+ones that a bitmap of bounded size can't rule out: the others pass by.
 
 Defined cases: a null text stays null; an empty text has one empty line and stays;
 a text that loses every line becomes empty; rows equal in key and text are treated
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm.columns import let
+from spanframe.plans.bitmap import split
 from spanframe.plans.scratch import stored
 
 DIVISOR = 2
@@ -77,7 +79,8 @@ def repeats(spark: SparkSession, rows: DataFrame, **options) -> DataFrame:
     refs = rows.select("k", "t", F.explode(chunks(F.col("text"), **options)).alias("c")).select("k", "t", "c.*")
     refs = stored(spark, refs, "chunks")
     often = refs.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
-    doubtful = refs.join(often, "h").groupBy("k", "t").agg(F.collect_set(F.struct("start", "n", "h")).alias("refs"))
+    doubtful = stored(spark, refs.join(often, "h").groupBy("k", "t").agg(F.collect_set(F.struct("start", "n", "h")).alias("refs")), "doubtful")
+    rows, _ = split(spark, rows, F.struct("k", "t"), doubtful, F.struct("k", "t"))
     rows, doubtful = rows.alias("r"), doubtful.alias("u")
     bodies = (
         rows.join(doubtful, F.col("r.k").eqNullSafe(F.col("u.k")) & (F.col("r.t") == F.col("u.t")))
@@ -95,15 +98,19 @@ def repeats(spark: SparkSession, rows: DataFrame, **options) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", told: bool = False, **options) -> DataFrame:
     """``docs`` without the repeated chunks; ``told`` appends ``n_lines`` and ``removed`` (line numbers, comma-joined)."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    gone = repeats(spark, rows, **options).alias("g")
-    named = docs.alias("d")
+    gone = repeats(spark, rows, **options)
+    touched, others = split(spark, docs, F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("t")), gone, F.struct("k", "t"))
+    nobody = gone.limit(0).alias("g")
+    gone = gone.alias("g")
+    named = touched.alias("d")
     joined = named.join(gone, F.col(f"d.{key}").eqNullSafe(F.col("g.k")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("g.t")), "left")
     body = F.col(f"d.{text}")
     clean = F.when(F.col("g.gone").isNull(), body).otherwise(F.array_join(F.filter(_lines(body), lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n"))
     out = [clean.alias(c) if c == text else F.when(F.col("g.gone").isNull(), F.col(f"d.{c}")).otherwise(F.length(clean)).cast(t).alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c, t in docs.dtypes]
     if told:
         out += [F.coalesce(F.size(_lines(body)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_join(F.array_sort("g.gone"), ","), F.lit("")).alias("removed")]
-    return joined.select(*out)
+    # rows that lose nothing meet an empty table, which the optimizer replaces by nulls
+    return joined.select(*out).unionByName(others.alias("d").join(F.broadcast(nobody), F.lit(False), "left").select(*out))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
