@@ -107,7 +107,7 @@ def region_overlap_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_join(ev(spark, sf_dir), asked, "binned").select("ordinal", "record_id", "ref", "start", "end")
 
 
-@query(f"WITH {EV_SQL}, {ORD_SQL}, j AS (SELECT event_type AS k, record_id, s, e FROM ev JOIN events ON event_id = record_id) "
+@query(f"WITH {EV_SQL} "
        "SELECT a.record_id AS event_id, b.record_id AS other_id FROM ev a JOIN ev b ON a.ref = b.ref AND a.e >= b.s AND a.s <= b.e AND a.record_id < b.record_id")
 def interval_pairs_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of events of a type that meet: many records against as many requests."""
@@ -163,12 +163,9 @@ def unknown_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ISLANDS = "m AS (SELECT ref, s, e, max(e) OVER (PARTITION BY ref ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM od), i AS (SELECT ref, s, e, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY ref ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m), u AS (SELECT ref, min(s) AS s, max(e) AS e FROM i GROUP BY ref, k)"
-THIN_SQL = ORD_SQL.replace("FROM orders)", "FROM orders WHERE o_orderkey % 40 = 0)")
-
-
-def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fortieth order, which leaves gaps to find: the input of three island queries, not a shortcut."""
-    return od(spark, sf_dir).filter("record_id % 40 = 0")
+EV_ISLANDS = ISLANDS.replace("FROM od", "FROM ev")
+PARTS_ASKED = ((1, "view", 1, 40_000), (2, "click", 100_000, 150_000), (3, "error", 2_590_000, 2_650_000), (4, "nothing", 5, 9), (5, "view", 30_000, 60_000))
+PARTS_SQL = "q(id, ref, s, e) AS (VALUES " + ", ".join(f"({i}, '{r}', {x}, {y})" for i, r, x, y in PARTS_ASKED) + ")"
 
 
 @query(f'WITH {ORD_SQL}, {ISLANDS} SELECT ref, s AS "start", e AS "end" FROM u')
@@ -176,24 +173,24 @@ def interval_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.coalesce(od(spark, sf_dir))
 
 
-@query(f'WITH {THIN_SQL}, {ISLANDS} SELECT ref, e + 1 AS "start", n - 1 AS "end" FROM (SELECT ref, e, lead(s) OVER (PARTITION BY ref ORDER BY s) AS n FROM u) WHERE n IS NOT NULL')
+@query(f'WITH {EV_SQL}, {EV_ISLANDS} SELECT ref, e + 1 AS "start", n - 1 AS "end" FROM (SELECT ref, e, lead(s) OVER (PARTITION BY ref ORDER BY s) AS n FROM u) WHERE n IS NOT NULL')
 def interval_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.gaps(_thin(spark, sf_dir))
+    return islands.gaps(ev(spark, sf_dir))
 
 
-@query(f"""WITH {THIN_SQL}, {ISLANDS}, q(id, ref, s, e) AS (VALUES (1, '1-URGENT', 2000, 2400), (2, '5-LOW', 1, 2100), (3, '5-LOW', 3000, 5000), (4, '3-MEDIUM', 4500, 9000)),
+@query(f"""WITH {EV_SQL}, {EV_ISLANDS}, {PARTS_SQL},
 d AS (SELECT q.id, q.ref, unnest(range(q.s, q.e + 1)) AS day FROM q), free AS (SELECT id, ref, day FROM d WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.ref = d.ref AND day BETWEEN u.s AND u.e)),
 g AS (SELECT *, day - row_number() OVER (PARTITION BY id ORDER BY day) AS k FROM free)
 SELECT CAST(id AS BIGINT) AS id, ref, CAST(min(day) AS BIGINT) AS "start", CAST(max(day) AS BIGINT) AS "end" FROM g GROUP BY id, ref, k""")
 def interval_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, "1-URGENT", 2000, 2400), (2, "5-LOW", 1, 2100), (3, "5-LOW", 3000, 5000), (4, "3-MEDIUM", 4500, 9000)], "id long, ref string, start long, end long")
-    return islands.subtract(asked, _thin(spark, sf_dir))
+    asked = spark.createDataFrame(PARTS_ASKED, "id long, ref string, start long, end long")
+    return islands.subtract(asked, ev(spark, sf_dir))
 
 
-@query(f"""WITH {THIN_SQL}, q(ref, a, b) AS (VALUES ('1-URGENT', 2000, 2400), ('5-LOW', 1, 2100)) SELECT od.ref, greatest(s, a) AS "start", least(e, b) AS "end" FROM od JOIN q ON od.ref = q.ref AND s <= b AND e >= a""")
+@query(f"""WITH {EV_SQL}, {PARTS_SQL} SELECT ev.ref, greatest(ev.s, q.s) AS "start", least(ev.e, q.e) AS "end" FROM ev JOIN q ON ev.ref = q.ref AND ev.s <= q.e AND ev.e >= q.s""")
 def interval_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([("1-URGENT", 2000, 2400), ("5-LOW", 1, 2100)], "ref string, start long, end long")
-    return islands.intersect(_thin(spark, sf_dir), asked)
+    asked = spark.createDataFrame(PARTS_ASKED, "id long, ref string, start long, end long").drop("id")
+    return islands.intersect(ev(spark, sf_dir), asked)
 
 
 @query(f"WITH {EV_SQL} SELECT record_id, CAST({BIN_SQL} AS BIGINT) AS bin FROM ev")

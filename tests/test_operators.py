@@ -9,7 +9,7 @@ from spanframe.functions import coords
 from spanframe.functions.config import FormatError
 from spanframe.functions.regions import RegionError, parse_region
 from spanframe.operators import index, islands
-from spanframe.operators.overlap import overlap_join, first_match, query, requests_df, target_filter
+from spanframe.operators.overlap import first_match, overlap_join, query, target_filter
 from spanframe.plans.ordering import ranked
 
 
