@@ -17,7 +17,6 @@ spans nor one another. Offsets are code points from 0, ends exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from bisect import bisect_left

@@ -178,7 +178,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     # at most about max_labelled pairs of a key and a label: small by construction
     rows = docs.select(key, text).join(F.broadcast(few), key).withColumn("s", statistics(F.col(text))).select("__label", "s")
     x = features(F.col("s"))
-    found = rows.select(F.col("__label").cast("double").alias("__label"), *(c.cast("double").alias(k) for k, c in x.items())).orderBy("__label", *x).toPandas()
+    found = rows.select(F.col("__label").cast("double").alias("__label"), *(c.cast("double").alias(k) for k, c in x.items())).toPandas()
+    found = found.sort_values(list(found.columns), kind="stable")  # the same order on every run
     bad = found["__label"].to_numpy() == 0
     if not bad.any() or bad.all():
         return []

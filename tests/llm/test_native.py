@@ -7,7 +7,6 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from spanframe.llm import line_dedup, mixing, queries, secrets
