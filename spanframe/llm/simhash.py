@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from spanframe.llm.columns import small_batches
 from spanframe.llm.components import components
+from spanframe.plans.bitmap import split
 from spanframe.plans.scratch import stored
 
 SHINGLE = 3
@@ -119,7 +120,9 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
 def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The row of ``docs`` that names each class; rows of one key stay or go together, rows without a key stay."""
     gone = classes(spark, docs, key=key, **options).filter(F.col("component") != F.col(key)).select(F.col(key).alias("__gone"))
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    gone = stored(spark, gone.distinct(), "gone")
+    maybe, others = split(spark, docs, F.col(key), gone, F.col("__gone"))
+    return maybe.join(gone, F.col(key) == F.col("__gone"), "left_anti").unionByName(others)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
