@@ -44,14 +44,17 @@ def cigar_span(cigar: Column) -> Column:
 def vcf_end(begin: Column, ref: Column, info: Column) -> Column:
     """The later of POS + len(REF) - 1 and INFO END; ``END=.`` counts as given but says nothing."""
     ends = F.filter(F.split(info, ";", -1), lambda x: x.startswith("END="))
-    given = F.substring(F.get(ends, F.lit(0)), 5, 1 << 30)
     by_ref = begin + F.octet_length(ref) - 1
-    value = F.when(F.instr(info, "END=") == 0, F.lit(None).cast("long")).when(given.isNull() | (given == "."), F.lit(None).cast("long")).otherwise(coords.uint(given, "END"))
+
+    def later(given: Column) -> Column:
+        value = F.when(F.size(given) == 0, None).when(F.get(given, F.lit(0)) == "END=.", None).otherwise(coords.uint(F.substring(F.get(given, F.lit(0)), 5, 1 << 30), "END"))
+        most = F.element_at(F.transform(F.array(value), lambda v: F.when(v < begin, F.raise_error(F.lit("END lies before POS")).cast("long")).otherwise(F.greatest(by_ref, v))), 1)
+        return F.when(F.size(given) > 1, F.raise_error(F.lit("INFO gives END twice")).cast("long")).otherwise(most)
+
     return (
         F.when((ref == "") | (ref == "."), F.raise_error(F.lit("missing REF allele")).cast("long"))
-        .when(F.size(ends) > 1, F.raise_error(F.lit("INFO gives END twice")).cast("long"))
-        .when(value < begin, F.raise_error(F.lit("END lies before POS")).cast("long"))
-        .otherwise(F.greatest(by_ref, value))
+        .when(F.instr(info, "END=") == 0, by_ref)  # most lines: INFO is not taken apart
+        .otherwise(F.element_at(F.transform(F.array(ends), later), 1))
     )
 
 
@@ -66,34 +69,45 @@ def declared_length(raw: Column, config: Config) -> Column:
     return F.when(found != "", found.cast("long"))
 
 
-def intervals(raw: Column, config: Config) -> dict[str, Column]:
-    """``ref``, ``start`` and ``end`` (1-based inclusive) of a data line; each raises on a malformed line."""
-    cells = F.split(raw, "\t", config.max_column + 1)
-    short = F.raise_error(F.concat(F.lit(f"line needs {config.max_column} columns and has "), F.size(cells).cast("string")))
-    cell = lambda k: F.when(F.size(cells) >= config.max_column, F.get(cells, F.lit(k - 1))).otherwise(short.cast("string"))
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row.
+
+    A generator stands between: conditions of filters and joins above it are not rewritten in terms of what is
+    below, where they would parse each line again and might do so before header lines are gone.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def records(lines: DataFrame, config: Config) -> DataFrame:
+    """(record_id, line_no, raw, ref, start, end) of the data lines of (record_id, line_no, raw); malformed lines raise.
+
+    ``start`` and ``end`` are 1-based inclusive.
+    """
+    raw = trim_end(F.col("raw"))
+    data = lines.select("record_id", "line_no", raw.alias("raw")).filter(~is_meta(F.col("raw"), F.col("line_no"), config))
+    df = _step(data, __cells=F.split("raw", "\t", config.max_column + 1))
+    cell = lambda k: F.get(F.col("__cells"), F.lit(k - 1))
     name = cell(config.sequence)
     bad_name = (name == "") | name.contains("\0")
     if config.kind == "sam":
         bad_name = bad_name | (name == "*")
-    ref = F.when(bad_name, F.raise_error(F.lit("no usable reference name")).cast("string")).otherwise(name)
+    short = F.raise_error(F.concat(F.lit(f"line needs {config.max_column} columns and has "), F.size("__cells").cast("string"))).cast("string")
+    ref = F.when(F.size("__cells") < config.max_column, short).when(bad_name, F.raise_error(F.lit("no usable reference name")).cast("string")).otherwise(name)
     begin = coords.uint(cell(config.begin))
     if config.kind == "vcf":
-        end = vcf_end(begin, cell(4), cell(8))
+        df = _step(df, ref=ref, __begin=begin, __allele=cell(4), __info=cell(8))
+        end = vcf_end(F.col("__begin"), F.col("__allele"), F.col("__info"))
     elif config.kind == "sam":
-        end = begin + cigar_span(cell(6)) - 1
+        df = _step(df, ref=ref, __begin=begin, __span=cigar_span(cell(6)))
+        end = F.col("__begin") + F.col("__span") - 1
     else:
-        end = coords.uint(cell(config.end)) if config.end else None
-    start, end = (coords.half_open if config.zero_based else coords.one_based)(begin, end)
-    return {"ref": ref, "start": start, "end": end}
-
-
-def records(lines: DataFrame, config: Config) -> DataFrame:
-    """(record_id, line_no, raw, ref, start, end) of the data lines of (record_id, line_no, raw)."""
-    raw = trim_end(F.col("raw"))
-    is_data = ~is_meta(F.col("raw"), F.col("line_no"), config)
-    data = lines.select("record_id", "line_no", raw.alias("raw")).filter(is_data)
-    # conditions of later joins may be tried before the filter: a value must not be parsed from a line that is no data
-    return data.select("record_id", "line_no", "raw", *(F.when(is_data, c).alias(k) for k, c in intervals(F.col("raw"), config).items()))
+        df = _step(df, ref=ref, __begin=begin, __end=coords.uint(cell(config.end)) if config.end else F.lit(None).cast("long"))
+        end = F.col("__end") if config.end else None
+    if end is not None:
+        df = _step(df, __last=end)
+        end = F.col("__last")
+    start, end = (coords.half_open if config.zero_based else coords.one_based)(F.col("__begin"), end)
+    return _step(df, start=start, end=end).select("record_id", "line_no", "raw", "ref", "start", "end")
 
 
 def _uint(text: str, what: str) -> int:

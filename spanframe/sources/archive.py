@@ -14,7 +14,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -25,8 +25,8 @@ BLOCK_SCHEMA = "block_no long, coffset long, csize long, uoffset long, usize lon
 
 
 class _Run(InputPartition):
-    def __init__(self, first: Block, last: Block, start: bool) -> None:
-        self.first, self.last, self.start = first, last, start
+    def __init__(self, number: int, first: Block, last: Block) -> None:
+        self.number, self.first, self.last, self.start = number, first, last, number == 0
 
 
 class _LineReader(DataSourceReader):
@@ -36,11 +36,14 @@ class _LineReader(DataSourceReader):
     def partitions(self) -> list[_Run]:
         with open(self.path, "rb") as f:
             blocks = manifest(f, self.policy)
-        return [_Run(part[0], part[-1], k == 0) for k in range(0, len(blocks), self.per_task) if (part := blocks[k : k + self.per_task])]
+        return [_Run(k // self.per_task, blocks[k], blocks[min(k + self.per_task, len(blocks)) - 1]) for k in range(0, len(blocks), self.per_task)]
 
     def read(self, run: _Run) -> Iterator[tuple]:
-        if not isinstance(run, _Run):
-            return
+        if isinstance(run, _Run):
+            for k, (origin, raw) in enumerate(self._lines(run)):
+                yield origin, run.number, k, raw
+
+    def _lines(self, run: _Run) -> Iterator[tuple[int, str]]:
         with open(self.path, "rb") as f:
             skipping = not run.start and not self._before_is_line_end(f, run.first)
             carry, origin = b"", None
@@ -89,7 +92,9 @@ class _LineReader(DataSourceReader):
 
 
 class BgzfLines(DataSource):
-    """``spark.read.format("bgzf_lines").load(path)``: (record_id, raw), ids being virtual positions.
+    """``spark.read.format("bgzf_lines").load(path)``: (record_id, run, place, raw), ids being virtual positions.
+
+    ``run`` is the run of blocks in which a line begins and ``place`` its number there, from 0.
 
     Options: ``policy`` (strict or reference), ``blocksPerTask``.
     """
@@ -99,19 +104,22 @@ class BgzfLines(DataSource):
         return "bgzf_lines"
 
     def schema(self) -> str:
-        return "record_id long, raw string"
+        return "record_id long, run long, place long, raw string"
 
     def reader(self, schema) -> _LineReader:
         return _LineReader(self.options["path"], self.options.get("policy", "strict"), int(self.options.get("blocksPerTask", BLOCKS_A_TASK)))
 
 
 def bgzf_lines(spark: SparkSession, path: str, policy: str = "strict", blocks_per_task: int = BLOCKS_A_TASK) -> DataFrame:
-    """(record_id, line_no, raw): the lines of a block archive. Ids are virtual positions, so they order lines as the file does."""
-    from spanframe.plans.ordering import ranked
+    """(record_id, line_no, raw): the lines of a block archive. Ids are virtual positions, so they order lines as the file does.
 
+    As for plain text, lines are numbered from the counts of the runs before, and don't move.
+    """
     spark.dataSource.register(BgzfLines)
     lines = spark.read.format("bgzf_lines").option("policy", policy).option("blocksPerTask", str(blocks_per_task)).load(path)
-    return ranked(spark, lines, [F.col("record_id")], "line_no").select("record_id", (F.col("line_no") + 1).alias("line_no"), "raw")
+    order = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row a run
+    starts = lines.groupBy("run").agg(F.count(F.lit(1)).alias("__n")).select("run", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
+    return lines.join(F.broadcast(starts), "run").select("record_id", (F.col("__before") + F.col("place") + 1).alias("line_no"), "raw")
 
 
 def blocks(spark: SparkSession, path: str, policy: str = "strict") -> DataFrame:
