@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,10 @@ from pyspark.sql import functions as F
 from spanframe.llm.columns import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, SEED, HELD_CHARS = 2, 17, 3_000_000
+SAMPLES, SEED, HELD_CHARS = 2, 17, 1_500_000
 SPACE, LITERAL = "▁", "\ud800"  # the second stands for a literal U+2581: no text holds a surrogate
 STOP = "\udfff"
-UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+UNITS = re.compile(" *[^ ]+| +")
 DENSE = 128
 U64 = np.uint64
 
@@ -200,8 +201,14 @@ class Lattice:
             mass[here] = sums
         self.given = ways - mass[self.at]
         self.chance = np.exp(self.given)
-        run = np.concatenate([[0.0], np.cumsum(self.chance)])
-        self.upto = run[1:] - np.repeat(run[self.first[:-1]], self.degree)
+        # summed node by node, so that a unit's numbers don't depend on what else is in the batch
+        self.upto = self.chance.copy()
+        more, t = np.flatnonzero(self.degree > 1), 1
+        while len(more):
+            e = self.first[more] + t
+            self.upto[e] += self.upto[e - 1]
+            t += 1
+            more = more[self.degree[more] > t]
         self.upto[self.first[1:][self.degree > 0] - 1] = np.inf  # rounding never leaves a node without an edge
 
     def pick(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -262,11 +269,11 @@ class Sampler:
         index: dict[str, int] = {}
         unit, sizes = [], []
         for text in texts:
-            units = UNITS.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else []
+            units = UNITS.findall(" " + text.replace(SPACE, LITERAL)) if text else []
             unit += [index.setdefault(u, len(index)) for u in units]
             sizes.append(len(units))
         n = len(texts)
-        self.lattice = lat = Lattice(self.vocabulary, list(index))
+        self.lattice = lat = Lattice(self.vocabulary, [u.replace(" ", SPACE) for u in index])
         self.unit = np.array(unit, np.int64)
         sizes = np.array(sizes, np.int64)
         ends = np.cumsum(sizes)
@@ -278,12 +285,12 @@ class Sampler:
         occurrence, edge = self._walk(np.arange(len(owner)), lat.start[self.unit], 0)
         doc = owner[occurrence]
         cut = np.searchsorted(doc, np.arange(n + 1))
-        total = np.concatenate([[0.0], np.cumsum(lat.given[edge])])
+        gained = [np.cumsum(lat.given[edge[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
         bound = _gumbel(seeds ^ U64(0xBF58476D1CE4E5B9))
-        before = total[:-1] - total[cut[doc]] if len(doc) else total[:-1]
+        before = np.concatenate([np.zeros(0), *gained]) - lat.given[edge]
         value = self._siblings(occurrence, edge, doc, before, bound, 0)
         # for each text: its samples and, for each, the prefixes that leave it, as (values, place of the first, chances out at it)
-        samples = [[(edge[a:b], occurrence[a:b], float(total[b] - total[a]), float(bound[d]))] for d, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+        samples = [[(edge[a:b], occurrence[a:b], float(gained[d][-1]) if b > a else 0.0, float(bound[d]))] for d, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
         leaving = [[(value[a:b].copy(), 0, ())] for a, b in zip(cut[:-1], cut[1:])]
         for stream in range(1, self.k + 1):
             chosen = []
@@ -415,7 +422,6 @@ def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = S
 
 def decode(ids_column, model: str = MODEL):
     """A column of texts from a column of piece ids."""
-    import pandas as pd
 
     def run(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: None if x is None else vocabulary(model).decode(np.asarray(x, np.int64)))
