@@ -78,7 +78,8 @@ def repeats(spark: SparkSession, rows: DataFrame, **options) -> DataFrame:
     """(k, t, gone): the lines that go, by key and text hash, from ``rows`` of (k, t, text)."""
     refs = rows.select("k", "t", F.explode(chunks(F.col("text"), **options)).alias("c")).select("k", "t", "c.*")
     refs = stored(spark, refs, "chunks")
-    often = refs.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
+    # written, so that both sides of the join are dealt anew and a hash that a third of all rows share can be split
+    often = stored(spark, refs.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "often")
     doubtful = stored(spark, refs.join(often, "h").groupBy("k", "t").agg(F.collect_set(F.struct("start", "n", "h")).alias("refs")), "doubtful")
     rows, _ = split(spark, rows, F.struct("k", "t"), doubtful, F.struct("k", "t"))
     rows, doubtful = rows.alias("r"), doubtful.alias("u")
@@ -90,6 +91,7 @@ def repeats(spark: SparkSession, rows: DataFrame, **options) -> DataFrame:
     bodies = stored(spark, bodies, "bodies")
     # grouping by the body itself is the byte comparison
     first = bodies.groupBy("h", "body").agg(F.min(F.struct("k", "t", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    first = stored(spark, first, "first")
     later = bodies.join(first, ["h", "body"]).filter(~F.struct("k", "t", "start").eqNullSafe(F.col("first")))
     lines = F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
     return stored(spark, later.groupBy("k", "t").agg(lines.alias("gone")), "gone")
