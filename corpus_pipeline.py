@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanframe.llm.line_dedup import dedup_lines
 from spanframe.llm.mixing import apply_mix
+from spanframe.llm.near import keep_one
 from spanframe.llm.quality import keep_good
 from spanframe.llm.segments import sample
-from spanframe.llm.simhash import keep_one
 from spanframe.plans.scratch import stored
 
 

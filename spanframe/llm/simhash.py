@@ -117,14 +117,19 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The row of ``docs`` that names each class; rows of one key stay or go together, rows without a key stay."""
-    gone = classes(spark, docs, key=key, **options).filter(F.col("component") != F.col(key)).select(F.col(key).alias("__gone"))
+def keep_named(spark: SparkSession, docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose class in ``found`` (key, component) is named after another key."""
+    gone = found.filter(F.col("component") != F.col(key)).select(F.col(key).alias("__gone"))
     gone = stored(spark, gone.distinct(), "gone")
     maybe, others = split(spark, docs, F.col(key), gone, F.col("__gone"))
     return maybe.join(gone, F.col(key) == F.col("__gone"), "left_anti").unionByName(others)
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The row of ``docs`` that names each class; rows of one key stay or go together, rows without a key stay."""
+    return keep_named(spark, docs, classes(spark, docs, key=key, **options), key)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fp = F.lower(F.lpad(F.hex("fp"), 16, "0"))
