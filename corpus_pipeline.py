@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that were met before go; documents stay."""
-    return dedup_lines(spark, docs)
+    """Chunks of lines and passages that were met before go; documents stay."""
+    return dedup_lines(spark, docs, passages=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,17 @@ The lines of a text are hashed; a hash rolling over two line hashes closes a
 chunk where it falls into one class of ``divisor``, so an insertion moves no
 boundary but its neighbours. A line of ``long_words`` words or more is a chunk by
 itself. Chunks that occur more than once in the whole table (first by hash, then
-byte for byte) stay where (key, text hash, line) is smallest and go elsewhere.
+by SHA-256) stay where (key, text hash, line) is smallest and go elsewhere.
+
+Chunk boundaries leave residue: a repeated passage of few lines may end up in chunks
+of one line or merged with its neighbours. With ``passages`` the shortest run of
+lines of ``long_words`` words or more from each line on, and that up to each line,
+are counted as well, blank lines aside. Both depend on no other lines, and each line
+of a repeated passage of that many words is in one of them that lies in the passage,
+so such passages go whole. Blank lines go with the line before them.
 
 Only DataFrame functions run here. What is counted is shuffled as hashes; texts
-move only for the byte comparison and for the final join, and of those only the
+move only for the comparison and for the final join, and of those only the
 ones that a bitmap of bounded size can't rule out: the others pass by.
 
 Defined cases: a null text stays null; an empty text has one empty line and stays;
@@ -74,22 +81,72 @@ def chunks(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS, l
     return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["h"].alias("h")))
 
 
-def repeats(spark: SparkSession, rows: DataFrame, **options) -> DataFrame:
+def runs(text: Column, long_words: int = LONG_WORDS) -> Column:
+    """Array of (start, n, h) like that of ``chunks``: the shortest runs of ``long_words`` words or more from a line and up to a line.
+
+    Blank lines are counted in ``n`` after the line they follow (after none, before the first) and don't count in ``h``.
+    """
+    none = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"))
+
+    def reach(words: Column) -> Column:
+        """From each place on, how many lines make a run; 0 where the rest is too short."""
+
+        def more(run: Column, n: Column) -> Column:
+            return F.when(run["words"] >= long_words, run).otherwise(F.struct((run["lines"] + 1).alias("lines"), (run["words"] + n).alias("words")))
+
+        # a line has a word at least
+        count = lambda i: F.aggregate(F.slice(words, i + 1, long_words), none, more, lambda run: F.when(run["words"] >= long_words, run["lines"]).otherwise(0))
+        return F.transform(words, lambda _, i: count(i))
+
+    def found(rows: Column, size: Column) -> Column:
+        hashes, words, last = F.transform(rows, lambda x: x["h"]), F.transform(rows, lambda x: x["words"]), F.size(rows) - 1
+        ahead = F.transform(reach(words), lambda n, i: F.struct(i.alias("at"), n.alias("lines")))
+        back = F.transform(reach(F.reverse(words)), lambda n, i: F.struct((last - i - n + 1).alias("at"), n.alias("lines")))
+        both = F.array_distinct(F.filter(F.concat(ahead, back), lambda x: x["lines"] > 0))
+
+        def run(x: Column) -> Column:
+            start = F.when(x["at"] == 0, F.lit(0)).otherwise(F.get(rows, x["at"])["i"])
+            end = F.coalesce(F.get(rows, x["at"] + x["lines"])["i"], size)
+            return F.struct(start.alias("start"), (end - start).alias("n"), F.xxhash64(F.slice(hashes, x["at"] + 1, x["lines"])).alias("h"))
+
+        return F.transform(both, run)
+
+    def rows(lines: Column) -> Column:
+        every = F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words"), i.alias("i")))
+        return F.filter(every, lambda x: x["words"] > 0)
+
+    return let(_lines(text), lambda lines: let(rows(lines), lambda x: found(x, F.size(lines))))
+
+
+def repeats(spark: SparkSession, rows: DataFrame, passages: bool = False, **options) -> DataFrame:
     """(k, t, gone): the lines that go, by key and text hash, from ``rows`` of (k, t, text)."""
-    refs = rows.select("k", "t", F.explode(chunks(F.col("text"), **options)).alias("c")).select("k", "t", "c.*")
+    # chunks are compared as they are, runs without their blank lines
+    named = lambda c, run: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["h"].alias("h"), F.lit(run).alias("run")))
+    refs = named(chunks(F.col("text"), **options), False)
+    if passages:
+        long_words = options.get("long_words", LONG_WORDS)
+        # a long line is a run as well
+        refs = F.concat(F.filter(refs, lambda x: x["n"] > 1), named(runs(F.col("text"), long_words), True))
+    refs = rows.select("k", "t", F.explode(refs).alias("c")).select("k", "t", "c.*")
     refs = stored(spark, refs, "chunks")
     # written, so that both sides of the join are dealt anew and a hash that a third of all rows share can be split
     often = stored(spark, refs.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "often")
-    doubtful = stored(spark, refs.join(often, "h").groupBy("k", "t").agg(F.collect_set(F.struct("start", "n", "h")).alias("refs")), "doubtful")
+    doubtful = stored(spark, refs.join(often, "h").groupBy("k", "t").agg(F.collect_set(F.struct("start", "n", "h", "run")).alias("refs")), "doubtful")
     rows, _ = split(spark, rows, F.struct("k", "t"), doubtful, F.struct("k", "t"))
     rows, doubtful = rows.alias("r"), doubtful.alias("u")
+
+    def compared(lines: Column, c: Column) -> Column:
+        own = F.slice(lines, c["start"] + 1, c["n"])
+        own = F.when(c["run"], F.filter(own, lambda x: F.regexp_count(x, F.lit(WORD)) > 0)).otherwise(own)
+        return F.struct(c["h"].alias("h"), c["start"].alias("start"), c["n"].alias("n"), F.unhex(F.sha2(F.array_join(own, "\n").cast("binary"), 256)).alias("body"))
+
     bodies = (
         rows.join(doubtful, F.col("r.k").eqNullSafe(F.col("u.k")) & (F.col("r.t") == F.col("u.t")))
-        .select("r.k", "r.t", F.explode(let(_lines(F.col("text")), lambda lines: F.transform("refs", lambda c: F.struct(c["h"].alias("h"), c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n").alias("body"))))).alias("c"))
+        .select("r.k", "r.t", F.explode(let(_lines(F.col("text")), lambda lines: F.transform("refs", lambda c: compared(lines, c)))).alias("c"))
         .select("k", "t", "c.*")
     )
     bodies = stored(spark, bodies, "bodies")
-    # grouping by the body itself is the byte comparison
+    # texts with one SHA-256 are the same text
     first = bodies.groupBy("h", "body").agg(F.min(F.struct("k", "t", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     first = stored(spark, first, "first")
     later = bodies.join(first, ["h", "body"]).filter(~F.struct("k", "t", "start").eqNullSafe(F.col("first")))
@@ -98,7 +155,7 @@ def repeats(spark: SparkSession, rows: DataFrame, **options) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", told: bool = False, **options) -> DataFrame:
-    """``docs`` without the repeated chunks; ``told`` appends ``n_lines`` and ``removed`` (line numbers, comma-joined)."""
+    """``docs`` without the repeated chunks (and, with ``passages``, repeated runs of lines); ``told`` appends ``n_lines`` and ``removed`` (line numbers, comma-joined)."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     gone = repeats(spark, rows, **options)
     touched, others = split(spark, docs, F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("t")), gone, F.struct("k", "t"))
@@ -117,4 +174,4 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_lines(spark, docs.select("doc_id", "text"), told=True)
+    return dedup_lines(spark, docs.select("doc_id", "text"), told=True, passages=True)
