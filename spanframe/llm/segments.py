@@ -10,23 +10,26 @@ is walked forwards; every piece on its way leaves the prefix "anything but this
 piece" with a Gumbel truncated by its parent's. What is best after k samples is
 the threshold of their inclusion probabilities.
 
-A text splits at its spaces (no piece has a space after another character), so
-lattices are built once a batch for each distinct run of spaces and word, and all
-arrays run over a batch of texts. Random numbers are hashes of row key, place and
-step: results don't depend on batches or partitions.
+A text splits wherever no piece has its two neighbours side by side, for one before
+each space. Lattices are built for the distinct units between these cuts; a worker
+keeps them, up to ``KEPT_CHARS`` characters, for the batches that follow. All arrays run over a batch of
+texts. Random numbers are hashes of row key, copy, place and step, and a unit's
+numbers are summed by themselves: results don't depend on batches or what was kept.
 
 Characters that no piece covers become byte pieces; a literal U+2581 does too, so
 decoding gives back every text exactly.
 
 Defined cases: a null text counts as empty; an empty text has one segmentation,
 without pieces; a text with fewer than k segmentations returns them all, with
-inclusion 1; an empty table gives no rows; rows equal in key and text get the same
-samples; other columns are ignored.
+inclusion 1; an empty table gives no rows; rows equal in key and text that follow one
+another in a partition (as mixing writes them) are numbered by ``copy`` and sampled
+each for itself, elsewhere they get the same samples; a text of any length is one
+lattice walk, in memory in proportion to its pieces; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,10 +43,9 @@ from pyspark.sql import functions as F
 from spanframe.llm.columns import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, SEED, HELD_CHARS = 2, 17, 1_500_000
+SAMPLES, SEED, HELD_CHARS, KEPT_CHARS = 2, 17, 1_000_000, 1_500_000
 SPACE, LITERAL = "▁", "\ud800"  # the second stands for a literal U+2581: no text holds a surrogate
-STOP = "\udfff"
-UNITS = re.compile(" *[^ ]+| +")
+STOP = 0xDFFF
 DENSE = 128
 U64 = np.uint64
 
@@ -81,8 +83,6 @@ class Vocabulary:
                 special.add(i)
             else:
                 usable.append(i)
-        if any(SPACE in names[i].lstrip(SPACE) for i in usable):
-            raise ValueError("a piece has a space after another character")
         places = np.arange(1, n + 1)
         log_total = np.log((1.0 / places).sum())
         rank = {i: k for k, i in enumerate(sorted(usable, key=lambda i: (-sp.get_score(i), i)), 1)}
@@ -114,9 +114,16 @@ class Vocabulary:
                 rest[node << 32 | code] = to
         self.rest_keys = np.array(sorted(rest), np.int64)
         self.rest_to = np.array([rest[k] for k in sorted(rest)], np.int32)
+        pairs = {(int(self.code[ord(a)]), int(self.code[ord(b)])) for i in usable for a, b in zip(names[i], names[i][1:])}
+        self.beside = np.zeros((DENSE, DENSE), bool)
+        for a, b in pairs:
+            if a < DENSE and b < DENSE:
+                self.beside[a, b] = True
+        self.rest_pairs = np.array(sorted(a << 32 | b for a, b in pairs if a >= DENSE or b >= DENSE), np.int64)
         self.longest = max(len(names[i]) for i in usable)
         self.raw = np.empty(n, object)
         self.raw[:] = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else b"" if i in special else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
+        self.raw_size = np.fromiter(map(len, self.raw), np.int64, n)
 
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         common = code < DENSE
@@ -128,6 +135,18 @@ class Vocabulary:
             to[rare] = np.where(self.rest_keys[at] == key, self.rest_to[at], -1)
         return to
 
+    def joints(self, points: np.ndarray) -> np.ndarray:
+        """Whether some piece has each point and the next one side by side."""
+        code = self.code[points]
+        a, b = code[:-1], code[1:]
+        common = (a < DENSE) & (b < DENSE)
+        out = common & self.beside[np.where(common, a, 0), np.where(common, b, 0)]
+        rare = np.flatnonzero(~common)
+        if len(rare) and len(self.rest_pairs):
+            key = a[rare].astype(np.int64) << 32 | b[rare]
+            out[rare] = self.rest_pairs[np.minimum(np.searchsorted(self.rest_pairs, key), len(self.rest_pairs) - 1)] == key
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of any encoding; the space put before the text is taken off."""
         return b"".join(self.raw[ids].tolist())[1:].decode("utf-8", "replace") if len(ids) else ""
@@ -136,17 +155,17 @@ class Vocabulary:
 class Lattice:
     """The lattices of distinct units, end to end: node = character position, edge = piece or byte-coded character."""
 
-    def __init__(self, vocabulary: Vocabulary, units: list[str]) -> None:
+    def __init__(self, vocabulary: Vocabulary, points: np.ndarray, length: np.ndarray) -> None:
         # each unit ends in a node of its own: no character follows there, and its mass is 1
-        points = np.frombuffer((STOP.join(units) + STOP).encode("utf-32-le", "surrogatepass"), np.uint32)
-        length = np.fromiter(map(len, units), np.int64, len(units))
         self.end = np.cumsum(length + 1) - 1
         self.start = self.end - length
-        code = vocabulary.code[points]
-        n = len(points)
+        n = len(points) + len(length)
         stop = np.zeros(n, bool)
         stop[self.end] = True
-        stop[n - 1] = True
+        self.points = np.full(n, STOP, np.uint32)
+        self.points[~stop] = points
+        points = self.points
+        code = vocabulary.code[points]
         at = np.flatnonzero(~stop).astype(np.int32)
         node, found = np.zeros(len(at), np.int32), []
         bare_at = stop.copy()
@@ -179,7 +198,7 @@ class Lattice:
             self.to[slot], self.piece[slot], ways[slot] = hit + span, piece, chance
             free[hit] = slot + 1
         # backward sums, all positions at one distance from their unit's end at once
-        left = np.repeat(self.end, length + 1) - np.arange(len(points) if len(units) else 0)
+        left = np.repeat(self.end, length + 1) - np.arange(n)
         longest = int(left.max()) if len(left) else 0
         order = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable")
         bounds = np.searchsorted(left[order], np.arange(1, longest + 2))
@@ -200,9 +219,9 @@ class Lattice:
                 more = more[most[more] > t]
             mass[here] = sums
         self.given = ways - mass[self.at]
-        self.chance = np.exp(self.given)
+        chance = np.exp(self.given)
         # summed node by node, so that a unit's numbers don't depend on what else is in the batch
-        self.upto = self.chance.copy()
+        self.upto = chance.copy()
         more, t = np.flatnonzero(self.degree > 1), 1
         while len(more):
             e = self.first[more] + t
@@ -210,6 +229,20 @@ class Lattice:
             t += 1
             more = more[self.degree[more] > t]
         self.upto[self.first[1:][self.degree > 0] - 1] = np.inf  # rounding never leaves a node without an edge
+        alone = (self.degree[self.at] < 2) | (chance >= 1)
+        self.others = np.where(alone, -np.inf, np.log1p(-np.where(alone, 0.0, chance)))
+
+    def joined(self, more: Lattice) -> Lattice:
+        """Both, the nodes and edges of ``more`` numbered behind those of this one."""
+        out = object.__new__(Lattice)
+        nodes, edges = len(self.degree), len(self.to)
+        for name in ("points", "degree", "piece", "given", "upto", "others"):
+            setattr(out, name, np.concatenate([getattr(self, name), getattr(more, name)]))
+        for name in ("start", "end", "at", "to"):
+            own, new = getattr(self, name), getattr(more, name)
+            setattr(out, name, np.concatenate([own, new + new.dtype.type(nodes)]))
+        out.first = np.concatenate([self.first, more.first[1:] + edges])
+        return out
 
     def pick(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         edge = self.first[at]
@@ -223,8 +256,72 @@ class Lattice:
 class Sampler:
     """k distinct segmentations of each text of a batch."""
 
-    def __init__(self, vocabulary: Vocabulary, k: int, seed: int) -> None:
-        self.vocabulary, self.k, self.seed = vocabulary, k, seed
+    def __init__(self, vocabulary: Vocabulary, k: int, seed: int, kept_chars: int = KEPT_CHARS) -> None:
+        self.vocabulary, self.k, self.seed, self.kept_chars = vocabulary, k, seed, kept_chars
+        self._forget(1)
+
+    def _forget(self, mixer: int) -> None:
+        """No lattice is kept; units are told apart by hashes that ``mixer`` seeds."""
+        self.mixer, self.keys, self.number = mixer, np.zeros(0, U64), np.zeros(0, np.int64)
+        self.lattice = Lattice(self.vocabulary, np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts, end to end, by their numbers in the lattice, and how many each text has."""
+        whole = "".join([" " + x for x in texts if x])
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        literal = points == ord(SPACE)
+        points[points == 32] = ord(SPACE)
+        points[literal] = ord(LITERAL)
+        size = np.fromiter((len(x) + 1 if x else 0 for x in texts), np.int64, len(texts))
+        opens = np.ones(len(points), bool)
+        if len(points):
+            np.logical_not(self.vocabulary.joints(points), out=opens[1:])
+            opens[(np.cumsum(size) - size)[size > 0]] = True
+        start = np.flatnonzero(opens)
+        if len(self.lattice.degree) > self.kept_chars:
+            self._forget(self.mixer)
+        unit = self._numbered(points, start)
+        while not self._same(points, start, unit):  # two units with one hash
+            self._forget(self.mixer + 1)
+            unit = self._numbered(points, start)
+        return unit, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])))
+
+    def _numbered(self, points: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The number of each unit; those that are new get lattices."""
+        length = np.diff(np.append(start, len(points)))
+        if not len(start):
+            return np.zeros(0, np.int64)
+        powers = np.multiply.accumulate(np.full(int(length.max()), U64(0x9E3779B97F4A7C15)))
+        value = _mix(points.astype(U64) + U64(self.mixer << 32))
+        value *= powers[np.arange(len(points)) - np.repeat(start, length)]
+        code, keys = pd.factorize(np.add.reduceat(value, start))
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        number = np.zeros(len(keys), np.int64)
+        number[known] = self.number[place[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            number[fresh] = len(self.lattice.start) + np.arange(len(fresh))
+            once = np.zeros(len(keys), np.int64)
+            once[code[::-1]] = np.arange(len(code))[::-1]  # where each is met first
+            begin, size = start[once[fresh]], length[once[fresh]]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            more = Lattice(self.vocabulary, points[at], size)
+            self.lattice = self.lattice.joined(more) if len(self.lattice.start) else more
+            keys, number_ = np.concatenate([self.keys, keys[fresh]]), np.concatenate([self.number, number[fresh]])
+            order = np.argsort(keys)
+            self.keys, self.number = keys[order], number_[order]
+        return number[code]
+
+    def _same(self, points: np.ndarray, start: np.ndarray, unit: np.ndarray) -> bool:
+        """Whether every unit is, point by point, that of its number."""
+        lat = self.lattice
+        length = np.diff(np.append(start, len(points)))
+        if not np.array_equal(length, lat.end[unit] - lat.start[unit]):
+            return False
+        return np.array_equal(lat.points[np.repeat(lat.start[unit] - start, length) + np.arange(len(points))], points)
 
     def _walk(self, occurrence: np.ndarray, at: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
         """(occurrence, edge) of the pieces drawn from ``at`` to the end of each unit, in order."""
@@ -251,14 +348,14 @@ class Sampler:
     def _siblings(self, occurrence, edge, doc, before, bound, stream, taken=None) -> np.ndarray:
         """Perturbed maxima of "any other piece here"; ``taken`` gives chance and number of pieces already out, row by row."""
         lat = self.lattice
-        chance, number = lat.chance[edge].copy(), np.ones(len(edge), np.int64)
+        others = lat.others[edge]
         if taken is not None:
             where, extra, more = taken
-            chance[where] += extra
-            number[where] += more
-        gone = (number >= lat.degree[lat.at[edge]]) | (chance >= 1)
-        with np.errstate(divide="ignore"):
-            mass = before + np.where(gone, -np.inf, np.log1p(-np.where(gone, 0.0, chance)))
+            chance = np.exp(lat.given[edge[where]]) + extra
+            gone = (1 + more >= lat.degree[lat.at[edge[where]]]) | (chance >= 1)
+            others[where] = np.where(gone, -np.inf, np.log1p(-np.where(gone, 0.0, chance)))
+        gone = others == -np.inf
+        mass = before + others
         noise = _gumbel(_mix(self.state[occurrence] ^ U64(0x94D049BB133111EB)) + (lat.at[edge] - lat.start[self.unit[occurrence]]).astype(U64) * U64(0xD1B54A32D192ED03) + U64((stream + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
         with np.errstate(invalid="ignore", over="ignore"):
             out = -np.logaddexp(-bound[doc], -(mass + noise))
@@ -266,16 +363,9 @@ class Sampler:
 
     def __call__(self, seeds: np.ndarray, texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its samples, the best first: edges, log-probability, perturbed value, inclusion probability."""
-        index: dict[str, int] = {}
-        unit, sizes = [], []
-        for text in texts:
-            units = UNITS.findall(" " + text.replace(SPACE, LITERAL)) if text else []
-            unit += [index.setdefault(u, len(index)) for u in units]
-            sizes.append(len(units))
         n = len(texts)
-        self.lattice = lat = Lattice(self.vocabulary, [u.replace(" ", SPACE) for u in index])
-        self.unit = np.array(unit, np.int64)
-        sizes = np.array(sizes, np.int64)
+        self.unit, sizes = self._units(texts)
+        lat = self.lattice
         ends = np.cumsum(sizes)
         begins = ends - sizes
         owner = np.repeat(np.arange(n), sizes)
@@ -322,7 +412,7 @@ class Sampler:
             at, where = int(lat.at[edges[place]]), int(occ[place])
             u = float(_uniform(_mix(self.state[where : where + 1] + U64(stream * 0xA24BAED4963EE407 & (1 << 64) - 1)) ^ U64(at - int(lat.start[self.unit[where]])))[0])
             free = [e for e in range(lat.first[at], lat.first[at + 1]) if e not in excluded]
-            chances = lat.chance[free]
+            chances = np.exp(lat.given[free])
             forced = free[min(int(np.searchsorted(np.cumsum(chances), u * chances.sum())), len(free) - 1)]
             todo.append((d, value, s, place, excluded, forced, where))
         if not todo:
@@ -347,7 +437,7 @@ class Sampler:
             lengths.append(len(tail_e))
         row = np.repeat(np.arange(len(todo)), lengths)
         first = np.cumsum([0, *lengths[:-1]])
-        gone = np.array([lat.chance[list(x[4])].sum() for x in todo])
+        gone = np.array([np.exp(lat.given[list(x[4])]).sum() for x in todo])
         taken = (first, gone, np.array([len(x[4]) for x in todo]))
         values = self._siblings(np.concatenate([t[1] for t in tails]), np.concatenate([t[0] for t in tails]), row, np.concatenate([t[2] for t in tails]), np.array([x[1] for x in todo]), stream, taken)
         for (d, _, _, place, excluded, _, _), a, b in zip(todo, first, first + lengths):
@@ -376,7 +466,7 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sample, ids, log_prob, perturbed, inclusion, exact): up to ``k`` rows for each row of ``docs``.
+    """(key, copy, sample, ids, log_prob, perturbed, inclusion, exact): up to ``k`` rows for each row of ``docs``.
 
     ``exact`` says that decoding ``ids`` gave back the text.
     """
@@ -384,24 +474,37 @@ def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = S
 
     small_batches(spark)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    names = ["key", "sample", "ids", "log_prob", "perturbed", "inclusion", "exact"]
+    names = ["key", "copy", "sample", "ids", "log_prob", "perturbed", "inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(vocabulary(model), k, seed)
+        raw, raw_size = sampler.vocabulary.raw, sampler.vocabulary.raw_size
+        last, copy = None, 0
+
+        def copies(keys: list, texts: list[str | None]) -> list[int]:
+            nonlocal last, copy
+            out = []
+            for row in zip(keys, texts):
+                copy, last = (copy + 1, last) if row == last else (0, row)
+                out.append(copy)
+            return out
 
         def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            keys, texts = table.column(0).combine_chunks(), [x or "" for x in table.column(1).to_pylist()]
+            keys, texts = table.column(0).combine_chunks(), table.column(1).to_pylist()
+            copy_of = copies(keys.to_pylist(), texts)
+            texts = [x or "" for x in texts]
             seeds = np.fromiter((xxh64_intdigest(str(x).encode()) for x in keys.to_pylist()), U64, len(texts))
+            seeds += np.array(copy_of, U64) * U64(0xD6E8FEB86659FD93)
             found = sampler(seeds, texts)
             row = [d for d, mine in enumerate(found) for _ in mine]
             flat = [s for mine in found for s in mine]
             ids, bounds = sampler.ids([s[0] for s in flat])
-            exact = []
-            decode = sampler.vocabulary.decode
-            for d, a, b in zip(row, bounds[:-1], bounds[1:]):
-                exact.append(decode(ids[a:b]) == texts[d])
-            columns = [keys.take(pa.array(row, pa.int64())), pa.array([i for mine in found for i in range(len(mine))], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
+            # decoded at once: the bytes of all pieces, cut where samples end, less the space put before each text
+            blob, cuts = b"".join(raw[ids].tolist()), np.concatenate([[0], np.cumsum(raw_size[ids])])[bounds].tolist()
+            whole = [b" " + x.encode("utf-8", "surrogatepass") if x else b"" for x in texts]
+            exact = [blob[a:b] == whole[d] for d, a, b in zip(row, cuts[:-1], cuts[1:])]
+            columns = [keys.take(pa.array(row, pa.int64())), pa.array(np.array(copy_of, np.int32)[row]), pa.array([i for mine in found for i in range(len(mine))], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
             columns += [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
             return pa.RecordBatch.from_arrays([*columns, pa.array(exact, pa.bool_())], names=names)
 
@@ -417,7 +520,7 @@ def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = S
             yield done(held)
 
     kind = dict(rows.dtypes)["key"]
-    return rows.mapInArrow(run, f"key {kind}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, exact boolean").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, copy int, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, exact boolean").withColumnRenamed("key", key)
 
 
 def decode(ids_column, model: str = MODEL):

@@ -210,6 +210,56 @@ def test_few_segmentations_and_round_trip(sampler, rows):
     assert [s[1] for s in alone] == [s[1] for s in again]  # whatever else is in the batch
 
 
+def spelled(sampler, texts):
+    found = sampler(np.arange(len(texts), dtype=np.uint64), texts)
+    ids, bounds = sampler.ids([s[0] for mine in found for s in mine])
+    return [(ids[x:y].tolist(), *s[1:]) for x, y, s in zip(bounds, bounds[1:], [s for mine in found for s in mine])]
+
+
+def test_kept_lattices_change_nothing(rows):
+    vocabulary = segments.vocabulary(segments.MODEL)
+    parts = [[t for _, t, *_ in rows[k : k + 7]] for k in range(0, 42, 7)]
+    kept, bare = segments.Sampler(vocabulary, 2, 5), segments.Sampler(vocabulary, 2, 5, kept_chars=0)
+    for texts in parts:
+        assert spelled(kept, texts) == spelled(bare, texts) == spelled(segments.Sampler(vocabulary, 2, 5), texts)
+    assert len(bare.keys) < len(kept.keys)
+
+
+def test_units_with_one_hash(rows, monkeypatch):
+    vocabulary = segments.vocabulary(segments.MODEL)
+    texts = [t for _, t, *_ in rows[:5]]
+    want = spelled(segments.Sampler(vocabulary, 2, 5), texts)
+    one = segments.Sampler(vocabulary, 2, 5)
+    plain, clashes = segments.Sampler._numbered, []
+
+    def clashing(self, points, start):
+        number = plain(self, points, start)
+        if self.mixer < 3:
+            clashes.append(self.mixer)
+            return np.where(number == 5, 6, number)
+        return number
+
+    monkeypatch.setattr(segments.Sampler, "_numbered", clashing)
+    assert spelled(one, texts) == want and clashes == [1, 2]
+
+
+def test_cuts_are_no_pieces(sampler, rows):
+    """No piece lies across a cut: the pieces of any unsplit encoding keep to the units."""
+    vocabulary = sampler.vocabulary
+    names = [bytes(vocabulary.raw[i]).decode("utf-8", "replace").replace(" ", segments.SPACE) for i in range(len(vocabulary.raw)) if vocabulary.raw_size[i] > 1]
+    for name in names[::7]:
+        points = np.array(list(map(ord, name)), np.uint32)
+        assert vocabulary.joints(points).all() or "\ufffd" in name
+    assert vocabulary.joints(np.array(list(map(ord, "a▁b\n")), np.uint32)).tolist() == [False, True, False]
+
+
+def test_copies_are_sampled_each(spark):
+    rows = [(1, "some words of a text")] * 3 + [(2, "other"), (1, "some words of a text")]
+    got = segments.sample(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert collections.Counter((r.doc_id, r.copy) for r in got) == {(1, 0): 4, (1, 1): 2, (1, 2): 2, (2, 0): 2}
+    assert len({(r.copy, r.sample, r.perturbed) for r in got if r.doc_id == 1}) == 6
+
+
 def test_segments_hard(spark, hard, nothing):
     got = segments.sample(spark, hard).collect()
     assert all(r.exact for r in got)
