@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanframe.llm import language, pii, quality, segments, simhash
+from spanframe.llm import language, near, pii, quality, segments
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -285,7 +285,7 @@ def test_pipeline_stages(spark, sf):
         if name == "line dedup":
             assert ids(kept) == ids(before) and kept.count() == before.count()
         if name == "near dedup":
-            found = simhash.classes(spark, before).collect()
+            found = near.classes(spark, before).collect()  # held against brute force in test_near
             assert ids(kept) == {r.component for r in found} and kept.count() == len({r.component for r in found})
         if name == "mixing":
             assert kept.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3

@@ -54,9 +54,9 @@ def planted():
     return [(k, " ".join(x)) for k, x in enumerate(texts)]
 
 
-@pytest.mark.parametrize("frequent", [near.FREQUENT, 1, 10**9])
-def test_near_copies(spark, monkeypatch, frequent):
-    monkeypatch.setattr(near, "FREQUENT", frequent)
+@pytest.mark.parametrize("most_late", [near.MOST_LATE, 50, 0])
+def test_near_copies(spark, monkeypatch, most_late):
+    monkeypatch.setattr(near, "MOST_LATE", most_late)
     texts = planted()
     want = slow_classes(slow_sets(texts))
     assert 60 <= len(set(want.values())) < len(want) - 60
@@ -76,6 +76,40 @@ def test_stage_on_planted_copies(spark, sf):
     assert kept == set(slow_classes(slow_sets(texts)).values())
 
 
+def test_late_pairs_alone(spark, monkeypatch):
+    """Prefix filtering loses no pair even if nothing was joined before."""
+    texts = planted()
+    monkeypatch.setattr(near, "early_pairs", lambda spark, reps, *rest: reps.select(*(near.F.lit(0).cast("long").alias(c) for c in near.PAIR)).limit(0))
+    got = near.classes(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component for r in got} == slow_classes(slow_sets(texts))
+
+
+def test_many_copies_make_few_pairs(spark):
+    """A group of near copies is joined through a few of its members, not pair by pair."""
+    r = random.Random(4)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for k in range(600):
+        words = list(base)
+        words[r.randrange(200)] = f"x{k}"
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs = []
+    plain = near.similar
+
+    def counted(spark, docs, reps, found, *rest):
+        pairs.append(found.count())
+        return plain(spark, docs, reps, found, *rest)
+
+    near.similar = counted
+    try:
+        got = near.classes(spark, docs).collect()
+    finally:
+        near.similar = plain
+    assert {r.component for r in got} == {0}
+    assert sum(pairs) < 600 * 120 and pairs[1] < 600
+
+
 def test_near_hard(spark, hard, nothing):
     kept = near.keep_one(spark, hard)
     assert kept.columns == hard.columns
