@@ -8,20 +8,25 @@ each kind, calibrated on examples held out of training, says which are added.
 
 The trees are trained here, on examples that ``examples`` draws with a fixed seed:
 formats that the base patterns miss, and numbers and words that only look like
-them. Training takes about a second and its result goes with the closure.
+them. Training takes seconds and its result goes with the closure.
+
+Addresses are searched outwards from their sign and groups of digits are joined by at
+most ``GAP`` signs, so the time follows a text's length whatever it consists of: very
+long texts and runs without a blank are read whole.
 
 Defined cases: a null text counts as empty; an empty table gives no rows; rows that
-repeat are all returned; other columns are ignored. Added spans touch neither base
-spans nor one another. Offsets are code points from 0, ends exclusive.
+repeat are all returned; other columns are ignored, whatever their names. Added spans
+touch neither base spans nor one another. Offsets are code points from 0, ends exclusive.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,11 @@ from spanframe.llm.columns import small_batches
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, kind
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: Matches of these begin where a run of digits begins: were it in the middle, the run's begin would match as well.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[0-9]+")
@@ -50,14 +57,30 @@ def luhn(digits: str) -> bool:
 
 
 def _octets(text: str) -> bool:
-    return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in text.split("."))
+    return all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in text.split(".")))
+
+
+def addresses(text: str, signs: Iterable[tuple[int, int, re.Pattern]]) -> Iterator[tuple[int, int]]:
+    """Spans of a local part, a sign (from, to, what must follow) and what follows it, none into the one before."""
+    least = 0
+    for begin, end, domain in signs:
+        if begin < least:
+            continue
+        local = text[least:begin]
+        size = len(local) - len(local.rstrip(LOCAL))
+        follows = domain.match(text, end) if size else None
+        if follows:
+            yield begin - size, follows.end()
+            least = follows.end()
+        else:
+            least = begin  # no local part reaches back over a sign
 
 
 def base_spans(text: str) -> list[Span]:
     """Spans by kind and start. What a pattern needs is looked for first, as most texts have none of it."""
     found: list[Span] = []
     if "@" in text:
-        found += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text)]
+        found += [(a, b, 0) for a, b in addresses(text, ((m.start(), m.end(), DOMAIN) for m in re.finditer("@", text)))]
     if DIGIT.search(text):
         found += [(m.start(), m.end(), 1) for m in IP.finditer(text) if _octets(m[0])]
         for m in CARD.finditer(text):
@@ -70,45 +93,41 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+GAP = 5
 #: A run of digit groups; its groups, with what joins them, are the windows' ends.
-RUN = re.compile(r"[+(]{0,2}[0-9][0-9().\x20/+-]*")
-#: Local part, sign or bracketed word, domain with dots or words for them; a bare "at" needs a bare "dot" as well.
-SPOKEN = re.compile(
-    r"[A-Za-z0-9._%+-]+(?: ?(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)",
-    re.IGNORECASE,
-)
+RUN = re.compile(rf"[+(]{{0,2}}[0-9]++(?:[().\x20/+-]{{1,{GAP}}}+[0-9]++)*+")
+#: The sign of an address or a bracketed word for it; a bare "at" needs a bare "dot" as well.
+SIGN = re.compile(r" ?(?:@|[\[({] ?at ?[\])}]) ?|( at )", re.IGNORECASE)
+SIGNED = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]++)++", re.IGNORECASE)
+BARE = re.compile(r"[A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++", re.IGNORECASE)
 MAYBE_SPOKEN = re.compile(r"@|[\[({] ?at ?[\])}]| at [A-Za-z0-9-]+ dot ", re.IGNORECASE)
-MOST_GROUPS = 7
 
 
-def candidates(text: str) -> list[Span]:
+def candidates(text: str) -> Iterator[Span]:
     """Overlapping spans that may be personal data."""
-    out: list[Span] = []
     if MAYBE_SPOKEN.search(text):
-        out += [(m.start(), m.end(), 0) for m in SPOKEN.finditer(text)]
+        for start, end in addresses(text, ((m.start(), m.end(), BARE if m[1] else SIGNED) for m in SIGN.finditer(text))):
+            yield start, end, 0
     if not DIGIT.search(text):
-        return out
+        return
     for run in RUN.finditer(text):
         groups = [(run.start() + g.start(), run.start() + g.end()) for g in DIGITS.finditer(run[0])]
-        if sum(b - a for a, b in groups) < 7:
-            continue
         for i, (start, _) in enumerate(groups):
-            digits = 0
-            for j in range(i, min(len(groups), i + MOST_GROUPS)):
-                digits += groups[j][1] - groups[j][0]
-                if digits > 19:
+            begin = start
+            while begin > run.start() and text[begin - 1] in "+(":
+                begin -= 1
+            digits = ""
+            for j in range(i, len(groups)):
+                digits += text[groups[j][0] : groups[j][1]][:20]
+                if len(digits) > 19:
                     break
-                begin = start
-                while begin > run.start() and text[begin - 1] in "+(" and (i == 0 or text[begin - 1] != ")"):
-                    begin -= 1
                 end = groups[j][1]
-                if j - i == 3 and text[start:end].count(".") == 3:
-                    out.append((begin, end, 1))
-                if digits >= 13:
-                    out.append((begin, end, 2))
-                if 7 <= digits <= 15:
-                    out.append((begin, end, 3))
-    return out
+                if j - i == 3 and text[start:end].count(".") == 3 and _octets(text[start:end].replace(" ", "")):
+                    yield begin, end, 1
+                if len(digits) >= 13 and luhn(digits):
+                    yield begin, end, 2
+                if 7 <= len(digits) <= 15:
+                    yield begin, end, 3
 
 
 WORDS = {
@@ -118,20 +137,35 @@ WORDS = {
     3: re.compile(r"phone|call|tel|mobile|cell|fax|anruf|appel|ring", re.IGNORECASE),
 }
 OTHER = re.compile(r"order|invoice|version|serial|isbn|part|item|page|date|total|price|ref|build|line|id\b", re.IGNORECASE)
+SPOKEN, LAST = re.compile(r"\b(?:at|dot)\b", re.IGNORECASE), re.compile(r"[^. )\]}]*$")
 NAMES = ("kind", "digits", "length", "groups", "first", "last", "longest", "shortest", "spaces", "dashes", "dots", "parens", "plus", "slashes", "luhn", "octets", "left_letter", "right_letter", "left_digit", "right_digit", "left_joint", "right_joint", "says_kind", "says_other", "at", "spoken", "letters", "tld", "starts")
 
 
-def describe(text: str, span: Span) -> list[float]:
+def _beside(text: str, start: int, kind: int) -> tuple:
+    """What stands to the left."""
+    left = text[max(0, start - 24) : start]
+    return (left[-1:].isalpha(), left.rstrip(" ")[-1:].isdigit(), left[-1:] in tuple(".-/_#=$%,:+"), bool(WORDS[kind].search(left)), bool(OTHER.search(left)))
+
+
+def _behind(text: str, end: int) -> tuple:
+    """What stands to the right."""
+    right = text[end : end + 12]
+    return (right[:1].isalpha(), right.lstrip(" ")[:1].isdigit(), right[:1] in tuple("-/_%$+@"))
+
+
+def describe(text: str, span: Span, beside=_beside, behind=_behind) -> list[float]:
     start, end, kind = span
-    body, left, right = text[start:end], text[max(0, start - 24) : start], text[end : end + 12]
+    body = text[start:end]
     groups = DIGITS.findall(body)
     digits = "".join(groups)
-    sizes = [len(g) for g in groups] or [0]
-    before, after = left.rstrip(" ")[-1:], right.lstrip(" ")[:1]
+    sizes = list(map(len, groups)) or [0]
+    left_letter, left_digit, left_joint, says_kind, says_other = beside(text, start, kind)
+    right_letter, right_digit, right_joint = behind(text, end)
+    spoken, letters = (len(SPOKEN.findall(body)), sum(map(str.isalpha, body))) if kind == 0 else (0, 0)
     return [
         kind, len(digits), len(body), len(groups), sizes[0], sizes[-1], max(sizes), min(sizes), body.count(" "), body.count("-"), body.count("."), body.count("("), body.startswith(("+", "(+")), body.count("/"),
-        luhn(digits), bool(groups) and all(len(g) <= 3 and int(g) <= 255 for g in groups), left[-1:].isalpha(), right[:1].isalpha(), before.isdigit(), after.isdigit(), left[-1:] in tuple(".-/_#=$%,:+"), right[:1] in tuple("-/_%$+@"),
-        bool(WORDS[kind].search(left)), bool(OTHER.search(left)), body.count("@"), len(re.findall(r"\b(?:at|dot)\b", body, re.IGNORECASE)), sum(map(str.isalpha, body)), len(re.split(r"[. )\]}]", body)[-1]), int(digits[:1] or 0),
+        luhn(digits), kind == 1 and bool(groups) and all(len(g) <= 3 and int(g) <= 255 for g in groups), left_letter, right_letter, left_digit, right_digit, left_joint, right_joint,
+        says_kind, says_other, body.count("@"), spoken, letters, len(LAST.search(body)[0]), int(digits[:1] or 0),
     ]
 
 
@@ -199,7 +233,8 @@ def examples(n: int, seed: int) -> list[tuple[str, Span, bool]]:
 
 
 ROUNDS, DEPTH, RATE, BINS = 80, 3, 0.2, 24
-LEAST_PRECISION, LEAST_SCORE = 0.998, 0.9
+LEAST_PRECISION = 0.997
+SCORED = 4096  # candidates described at once
 
 
 class Boosted:
@@ -239,8 +274,22 @@ class Boosted:
     def _bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, col, side="left") for c, col in zip(self.cuts, x.T)], axis=1)
 
-    def score(self, row: list[float]) -> float:
-        """The probability for one candidate; candidates are few, so no arrays are made."""
+    def scores(self, rows: list[list[float]]) -> np.ndarray:
+        """The probability of each candidate."""
+        if len(rows) < 8:
+            return np.array([self._score(row) for row in rows])
+        bins = self._bins(np.array(rows, float))
+        every, total = np.arange(len(rows)), np.zeros(len(rows))
+        for tree, leaf in self.trees:
+            node = np.zeros(len(rows), int)
+            for level in tree:
+                feature, cut = np.array(level).T
+                node = 2 * node + (bins[every, feature[node]] > cut[node])
+            total += np.array(leaf)[node]
+        return 1 / (1 + np.exp(-total))
+
+    def _score(self, row: list[float]) -> float:
+        """For one candidate; most texts have few, so no arrays are made."""
         bins = [bisect_left(c, v) for c, v in zip(self._lists, row)]
         total = 0.0
         for tree, leaf in self.trees:
@@ -265,27 +314,37 @@ def trained(n: int = 6000, seed: int = 11) -> tuple[Boosted, tuple[float, ...]]:
     x, y = np.array([describe(t, s) for t, s, _ in drawn], float), np.array([good for *_, good in drawn], float)
     split = 2 * n // 3
     model = Boosted(x[:split], y[:split])
-    scores = np.array([model.score(row) for row in x[split:].tolist()])
+    scores = model.scores(x[split:].tolist())
     least = []
     for kind in range(len(KINDS)):
         mine = x[split:, 0] == kind
         order = np.argsort(-scores[mine], kind="stable")
         good = y[split:][mine][order]
         precise = np.flatnonzero((np.cumsum(good) + 1) / (np.arange(len(good)) + 2) >= LEAST_PRECISION - 1 / (np.arange(len(good)) + 2))
-        least.append(max(LEAST_SCORE, float(scores[mine][order][precise[-1]]) if len(precise) else 1.1))
+        least.append(float(scores[mine][order][precise[-1]]) if len(precise) else 1.1)
     return model, tuple(least)
 
 
 def added_spans(text: str, base: list[Span], model: Boosted, least: tuple[float, ...]) -> list[Span]:
     """Candidates over their kind's threshold, the best first, that touch nothing taken before."""
-    taken = [s[:2] for s in base]
-    free = lambda s: all(s[1] <= a or b <= s[0] for a, b in taken)
-    scored = [(model.score(describe(text, s)), s) for s in candidates(text) if free(s)]
+    taken = sorted(s[:2] for s in base)  # base spans of two kinds may overlap: their outline counts
+    for k in range(1, len(taken)):
+        taken[k] = (taken[k][0], max(taken[k][1], taken[k - 1][1]))
+
+    def free(s: Span) -> bool:
+        k = bisect_left(taken, (s[1],))
+        return not k or taken[k - 1][1] <= s[0]
+
+    maybe = []
+    open_ = filter(free, candidates(text))
+    beside, behind = lru_cache(64)(_beside), lru_cache(64)(_behind)  # windows share their ends
+    while some := list(islice(open_, SCORED)):
+        maybe += [(score, s) for score, s in zip(model.scores([describe(text, s, beside, behind) for s in some]).tolist(), some) if score >= least[s[2]]]
     out = []
-    for score, s in sorted(scored, key=lambda x: (-x[0], x[1][0], -x[1][1], x[1][2])):
-        if score >= least[s[2]] and free(s):
+    for _, s in sorted(maybe, key=lambda x: (-x[0], x[1][0], -x[1][1], x[1][2])):
+        if free(s):
             out.append(s)
-            taken.append(s[:2])
+            insort(taken, s[:2])
     return out
 
 
@@ -316,4 +375,4 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     out = find(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", *map(count, KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *map(count, KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
