@@ -2,24 +2,31 @@
 
 A text is parsed into the longest phrases that occur in a language's sample text:
 the fewer phrases, the closer the language. A suffix automaton of each sample
-gives longest matches in one step a character. All automata are laid out in one
-transition table, whose entries also say how many phrases a step closes, and many
-texts are parsed at once: one table look-up moves a block of texts and languages
-by one character. Texts are cut into blocks of ``BLOCK`` characters, each parsed
-from the root, so a long text is as many rows of that look-up and not as many steps.
+gives longest matches in one step a character. Texts are parsed side by side: each
+step moves all of them, in all languages, by one character. Moves over the commonest
+letters are looked up in a dense table of at most ``DENSE_BYTES``, all others in the
+sorted list of the automata's edges, so no letter and no language is left out and
+memory grows with the samples only.
 
-The samples are bounded (``DOCS`` documents of at most ``DOC_CHARS`` characters a
-language, ``SAMPLE`` characters after folding, ``LANGUAGES`` languages); every
-text is parsed whole.
+Long texts are parsed in stretches of ``BLOCK`` characters, each from the root. A greedy
+parse has the fewest phrases there are, and a cut splits one phrase at most: the count
+exceeds that of an uncut parse by less than the number of stretches, in any language.
+
+The samples are bounded: ``DOCS`` documents of at most ``DOC_CHARS`` characters a
+language, of which ``SAMPLE`` characters after folding are used, or an equal share of
+``ALL_SAMPLES`` if there are more languages than that allows; more labels than
+``MOST_LANGUAGES`` are an error, as they can't be languages. Every text is parsed whole.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, as is any
 text if no language was learned; ties go to the language first in code-point
-order; an empty table gives no rows; repeated rows are all returned; other columns
-are ignored.
+order; an empty table gives no rows; repeated rows are all returned; rows without a key
+are no part of the sample and, as they have no place in the split, not held out; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,18 +37,20 @@ from pyspark.sql import functions as F
 
 from spanframe.llm.columns import small_batches
 
-DOCS, DOC_CHARS, SAMPLE, LANGUAGES = 60, 20_000, 24_000, 100
-BLOCK, HELD_CHARS = 1024, 3_000_000
+DOCS, DOC_CHARS, SAMPLE, ALL_SAMPLES, MOST_LANGUAGES = 60, 4000, 24_000, 2_400_000, 5000
+BLOCK, HELD_CHARS = 4096, 3_000_000
+DENSE_BYTES = 1 << 25
 UNKNOWN = "und"
 
 
 class Folder:
-    """Texts as small codes: 0 for runs of anything but letters, then the letters of the samples, last any other letter."""
+    """Texts as codes: 0 for runs of anything but letters, then the letters of the samples, the commonest first, last any other letter."""
 
     def __init__(self, samples: list[str]) -> None:
-        letters = sorted({c for s in samples for c in s.lower() if c.isalpha()})[:252]
+        times = Counter(c for s in samples for c in s.lower() if c.isalpha())
+        letters = sorted(times, key=lambda c: (-times[c], c))
         self.size = len(letters) + 2
-        self.table = np.fromiter((self.size - 1 if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint8, 0x110000)
+        self.table = np.fromiter((self.size - 1 if chr(c).isalpha() else 0 for c in range(0x110000)), np.int32, 0x110000)
         for k, c in enumerate(letters, 1):
             self.table[ord(c)] = k
 
@@ -90,25 +99,56 @@ class CrossParser:
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         self.names = [name for name, _ in samples]
         self.fold = Folder([text for _, text in samples])
-        size, parts, roots, at = self.fold.size, [], [], 0
-        self.weight = []
-        for _, text in samples:
-            codes = self.fold(text)[:SAMPLE].tolist()
+        size, n = self.fold.size, len(samples)
+        share = min(SAMPLE, ALL_SAMPLES // max(1, n))
+        self.weight, roots, keys, targets, at = [], [], [], [], 0
+        # by language and letter: the root's edges, and whether there is none
+        self.begin = np.zeros((n, size), np.int32)
+        self.strange = np.ones((n, size), bool)
+        for k, (_, text) in enumerate(samples):
+            codes = self.fold(text)[:share].tolist()
             edges = automaton(codes)
-            root = edges[0]
-            # an entry: the state after the step (times the row width) and, in two bits, the phrases that it closes
-            first = np.array([(at + root[c]) * size * 4 if c in root else at * size * 4 + 1 for c in range(size)], np.int64)
-            table = np.tile(first + np.array([1] * size), (len(edges), 1))
-            table[0] = first
-            for s, out in enumerate(edges):
-                for c, t in out.items():
-                    table[s, c] = (at + t) * size * 4
-            parts.append(table)
-            roots.append(at * size)
+            roots.append(at)
+            self.begin[k] = at
+            for c, t in edges[0].items():
+                self.begin[k, c], self.strange[k, c] = at + t, False
+            keys += [np.fromiter(((at + s) << 21 | c for s, out in enumerate(edges) for c in out), np.int64)]
+            targets += [np.fromiter((at + t for out in edges for t in out.values()), np.int32)]
             self.weight.append(np.log2(max(2, len(codes))))
             at += len(edges)
-        self.table = np.concatenate(parts).reshape(-1).astype(np.int32 if at * size * 4 < 2**31 else np.int64)
-        self.roots = np.array(roots, self.table.dtype)[:, None]
+        keys, targets = np.concatenate(keys or [np.zeros(0, np.int64)]), np.concatenate(targets or [np.zeros(0, np.int32)])
+        self.width = min(size, max(1, DENSE_BYTES // 4 // max(1, at)))
+        code = keys & (1 << 21) - 1
+        common = code < self.width
+        self.dense = np.full(at * self.width, -1, np.int32)
+        self.dense[(keys[common] >> 21) * self.width + code[common]] = targets[common]
+        rare = np.flatnonzero(~common)
+        rare = rare[np.argsort(keys[rare])]
+        self.rare_keys, self.rare_targets = keys[rare], targets[rare]
+        self.roots = np.array(roots, np.int32)[:, None]
+
+    def _step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(language, text): the states after one character each, and the phrases that it closes."""
+        if self.width == self.fold.size:
+            to = self.dense.take(state * self.width + codes)
+        else:
+            to = self.dense.take(state * self.width + np.where(codes < self.width, codes, 0))
+            rare = np.flatnonzero(codes >= self.width)
+            if len(rare):
+                key = state[:, rare].astype(np.int64) << 21 | codes[rare]
+                if len(self.rare_keys):
+                    place = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+                    to[:, rare] = np.where(self.rare_keys[place] == key, self.rare_targets[place], -1)
+                else:
+                    to[:, rare] = -1
+        stuck = to < 0
+        # an open phrase ends; a letter that the sample lacks is a phrase by itself
+        closed = (stuck & (state != self.roots)).astype(np.int32)
+        language, text = np.nonzero(stuck)
+        code = codes[text]
+        to[language, text] = self.begin[language, code]
+        closed[language, text] += self.strange[language, code]
+        return to, closed
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(text, language): the number of phrases."""
@@ -118,7 +158,7 @@ class CrossParser:
         begin = np.concatenate([np.arange(b) * BLOCK for b in blocks]) if len(owner) else np.zeros(0, np.int64)
         width = np.minimum(BLOCK, sizes[owner] - begin)
         order = np.argsort(-width, kind="stable")
-        flat = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
         start = (np.concatenate([[0], np.cumsum(sizes)[:-1]])[owner] + begin)[order]
         width = width[order]
         state = np.repeat(self.roots, len(order), axis=1)
@@ -127,16 +167,15 @@ class CrossParser:
         for step in range(int(width[0]) if len(width) else 0):
             while width[active - 1] <= step:
                 active -= 1
-            moved = self.table.take(state[:, :active] + flat[start[:active] + step])
-            closed[:, :active] += moved & 3
-            np.right_shift(moved, 2, out=state[:, :active])
+            state[:, :active], more = self._step(state[:, :active], flat[start[:active] + step])
+            closed[:, :active] += more
         closed += state != self.roots
         out = np.zeros((len(texts), len(self.names)), np.int64)
         np.add.at(out, owner[order], closed.T)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        codes = [self.fold(t) if t else np.zeros(0, np.uint8) for t in texts]
+        codes = [self.fold(t) if t else np.zeros(0, np.int32) for t in texts]
         cost = self.phrases(codes) * np.array(self.weight)
         best = cost.argmin(axis=1)
         out = []
@@ -158,20 +197,23 @@ def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
     """(language, sample) pairs from the labelled rows of ``docs``, drawn by a hash of the key."""
-    docs = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = docs.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()  # a bound of the fit, one row a language
+    docs = docs.select(F.col(key).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("key IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    counts = docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()  # one row a language
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different labels of languages")
     if not counts:
         return ()
     spread = 1 << 30
-    drawn = F.coalesce(*(F.when(F.col(lang) == r[0], F.lit(min(spread, DOCS * spread // r[1]))) for r in counts), F.lit(0))
-    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(spread))
-    rows = docs.filter(place < drawn).select(F.col(lang).alias("lang"), place.alias("place"), F.substring(text, 1, DOC_CHARS).alias("text")).collect()
+    drawn = docs.sparkSession.createDataFrame([(r["lang"], min(spread, DOCS * spread // r["count"])) for r in counts], "lang string, below long")
+    share = min(SAMPLE, ALL_SAMPLES // len(counts))
+    place = F.pmod(F.xxhash64("key"), F.lit(spread))
+    rows = docs.withColumn("place", place).join(F.broadcast(drawn), "lang").filter("place < below").select("lang", "place", F.substring("text", 1, min(DOC_CHARS, 10 * share)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.place, r.text)):
         kept = samples.setdefault(r.lang, [])
-        if sum(map(len, kept)) < 2 * SAMPLE:
+        if sum(map(len, kept)) < 2 * share:
             kept.append(r.text)
-    return tuple((name, "\n".join(kept)[: 2 * SAMPLE]) for name, kept in sorted(samples.items()))
+    return tuple((name, "\n".join(kept)[: 2 * share]) for name, kept in sorted(samples.items()))
 
 
 def identify(spark: SparkSession, docs: DataFrame, samples: tuple[tuple[str, str], ...], key: str = "doc_id", text: str = "text", *carried: str) -> DataFrame:
@@ -205,6 +247,6 @@ def identify(spark: SparkSession, docs: DataFrame, samples: tuple[tuple[str, str
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     samples = learn(docs.filter(~held))
     return identify(spark, docs.select("doc_id", held.alias("held_out"), "text"), samples, "doc_id", "text", "held_out")
