@@ -8,10 +8,15 @@ the rest is a weighted sample without replacement: documents in the order of
 Only DataFrame functions run here. Prefix sums go over range partitions, so a
 source that holds a third of all rows is spread over as many tasks as any other.
 
+What is taken of a source is a number of whole epochs and a prefix of its order, so
+``apply_mix`` needs one row a source, the last place taken: texts are not shuffled.
+
 Defined cases: a null or empty text has size 0 and is never taken; a null source
 is a source of its own, last in order; an empty table gives an empty result;
-equal rows are sampled one by one (ties broken by text hash); columns beyond
-those named are ignored by ``mix`` and kept by ``apply_mix``.
+equal rows are sampled one by one (ties broken by text hash), as many of them as ``mix``
+takes; a very long text is one row like any other, its source misses the target by less
+than its size; columns beyond those named are ignored by ``mix`` and kept by
+``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,6 +74,27 @@ def source_targets(spark: SparkSession, sizes: DataFrame, weights: Sequence[int]
     return stored(spark, per.crossJoin(F.broadcast(level)).select("source", "source_size", "source_start", target.alias("target")), "targets")
 
 
+def _weighed(docs: DataFrame, seed: int, key: str, text: str, source: str, *carried: Column) -> DataFrame:
+    """(key, source, size, tie, sample_key) and ``carried`` for every row."""
+    words = word_count(F.col(text))
+    base = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"), *carried)
+    others = [c for c in base.columns if c not in ("key", "source", "size", "tie", "text")]
+    return base.select("key", "source", "size", "tie", (-F.log(uniform(F.col("key"), seed)) / quality_weight(F.col("text"), F.col("size"))).alias("sample_key"), *others)
+
+
+def _mixed(spark: SparkSession, docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int, key: str, text: str, source: str) -> DataFrame:
+    """(key, source, size, tie, sample_key, source_size, target, epochs, extra) for every row of ``docs``."""
+    base = stored(spark, _weighed(docs, seed, key, text, source), "weighed")  # texts are read once; range partitioning samples its input first
+    order = [F.col("source").asc_nulls_last(), F.col("sample_key"), F.col("key"), F.col("tie")]
+    run = stored(spark, ranked(spark, base, order, "place", {"ahead": "size"}), "mix")
+    targets = source_targets(spark, run, weights, max_epochs)
+    at = run.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rest = F.col("target") - F.col("epochs") * F.col("source_size")
+    extra = (F.col("size") > 0) & (F.col("ahead") - F.col("source_start") + F.col("size") / 2.0 <= rest)
+    return at.withColumn("epochs", epochs).select("key", F.col("d.source").alias("source"), "size", "tie", "sample_key", "source_size", "target", "epochs", extra.alias("extra"))
+
+
 def mix(
     spark: SparkSession,
     docs: DataFrame,
@@ -84,36 +110,43 @@ def mix(
     ``copies`` is how often the row is taken whole; ``taken`` is that times its size. The last document of a
     fractional epoch is in if its midpoint lies below what is left, which brings the sum nearest the target.
     """
-    base = docs.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"),
-    )
-    base = base.select("key", "source", "size", "tie", (-F.log(uniform(F.col("key"), seed)) / quality_weight(F.col("text"), F.col("size"))).alias("sample_key"))
-    order = [F.col("source").asc_nulls_last(), F.col("sample_key"), F.col("key"), F.col("tie")]
-    run = stored(spark, ranked(spark, base, order, "place", {"ahead": "size"}), "mix")
-    targets = source_targets(spark, run, weights, max_epochs)
-    at = run.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    extra = (F.col("size") > 0) & (F.col("ahead") - F.col("source_start") + F.col("size") / 2.0 <= rest)
-    return (
-        at.withColumn("epochs", epochs)
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + extra.cast("long")).otherwise(0).cast("long"))
-        .select(F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "sample_key", F.col("d.source").alias("source"), "tie")
-    )
-
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("extra").cast("long")).otherwise(0).cast("long")
+    found = _mixed(spark, docs, weights, max_epochs, seed, key, text, source).withColumn("copies", copies)
+    return found.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "sample_key", "source", "tie")
 
-def apply_mix(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows that share key, text and source share their copies evenly, rounded up.
-    """
-    taken = mix(spark, docs, key=key, text=text, source=source, **options).filter("copies > 0")
-    taken = taken.groupBy(F.col(key).alias("k"), F.col("source").alias("s"), F.col("tie").alias("t")).agg(F.ceil(F.avg("copies")).cast("int").alias("n")).alias("m")
-    named = docs.alias("d")
-    same = F.col(f"d.`{key}`").eqNullSafe(F.col("m.k")) & F.col(f"d.`{source}`").eqNullSafe(F.col("m.s")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("m.t"))
-    joined = named.join(taken, same).select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("m.n"))))
-    return joined.select("row.*")
+def apply_mix(
+    spark: SparkSession,
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = 7,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, the copies of a row behind one another."""
+    found = stored(spark, _mixed(spark, docs, weights, max_epochs, seed, key, text, source), "mixed")
+    place = F.struct("sample_key", "key", "tie")
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    cuts = found.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("extra"), place)).alias("cut"))
+    # rows that tie with the last place taken: how many there are and how many are in
+    ties = found.alias("f").join(cuts.alias("c"), same("f", "c")).filter(place == F.col("cut")).groupBy("f.source").agg(F.count(F.lit(1)).alias("tied"), F.sum(F.col("extra").cast("long")).alias("inside"))
+    cuts = stored(spark, cuts.alias("c").join(ties.alias("t"), same("c", "t"), "left").select("c.source", "epochs", "cut", "tied", "inside"), "cuts")
+    rows = _weighed(docs, seed, key, text, source, F.struct("*").alias("row")).filter("size > 0").alias("d").join(cuts.alias("c"), same("d", "c"))
+    whole = (place < F.col("cut")) | ((place == F.col("cut")) & (F.col("tied") == F.col("inside")))
+    partly = F.coalesce((place == F.col("cut")) & (F.col("tied") > F.col("inside")), F.lit(False))
+    times = F.col("epochs") + F.coalesce(whole, F.lit(False)).cast("long")
+    copied = lambda df: df.filter("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
+    out = copied(rows.filter(~partly).select("row", times.alias("times")))
+    if cuts.filter("tied > inside").isEmpty():
+        return out
+    # equal rows of which some are in: any of them
+    equal = rows.filter(partly).select("row", "d.source", "epochs", "inside", F.monotonically_increasing_id().alias("id"))
+    equal = stored(spark, ranked(spark, equal, [F.col("source").asc_nulls_last(), F.col("id")], "nth"), "equal")
+    first = equal.groupBy("source").agg(F.min("nth").alias("first"))
+    numbered = equal.alias("e").join(first.alias("f"), same("e", "f"))
+    return out.union(copied(numbered.select("row", (F.col("epochs") + (F.col("nth") - F.col("first") < F.col("inside")).cast("long")).alias("times"))))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from spanframe.llm import line_dedup, mixing, queries, secrets
@@ -70,6 +71,18 @@ def test_mix_prefers_quality(spark):
     assert clean > 3 * got.filter("doc_id % 2 = 0").count()
 
 
+def test_applied_copies_are_those_of_the_mix(spark, docs):
+    """Row by row, with repeated rows at the cut and a null source."""
+    few = docs.limit(60).withColumn("size", F.lit("x"))
+    same = spark.createDataFrame([(900, "one and the same row " * 40, None if k % 3 else "s") for k in range(40)], "doc_id long, text string, source string")
+    rows = few.select("doc_id", "text", "source", "size").union(same.withColumn("size", F.lit("y")))
+    for seed in range(3):
+        want = mixing.mix(spark, rows, seed=seed).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).filter("n > 0").collect()
+        got = mixing.apply_mix(spark, rows, seed=seed)
+        assert got.columns == rows.columns
+        assert {(r.doc_id, r.source): r["count"] for r in got.groupBy("doc_id", "source").count().collect()} == {(r.doc_id, r.source): r.n for r in want}
+
+
 def test_mix_hard(spark, hard, nothing):
     got = mixing.mix(spark, hard).collect()
     assert len(got) == hard.count()
