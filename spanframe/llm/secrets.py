@@ -5,12 +5,15 @@ blob and rule version was found to contain; only pairs that it lacks are scanned
 each once however many paths share the blob, and findings are joined back to all
 paths. Scanning uses regular-expression and array functions of Spark only.
 
-Positions come from the matches themselves: scanning on from the end of a match,
-the next match is the first place where its string occurs, because any place
-where it occurs is a place where the pattern matches.
+Positions are sums: a text with matches is split at them, and what lies between them
+and the matches themselves are added up in order, in a window over one row a match.
+The time follows the number of matches. Only blobs that occur again, or that the ledger
+may know, are shuffled with their texts; a bitmap lets the others pass.
 
 Defined cases: a null text counts as empty; an empty table gives no rows; rows
-that repeat are all returned; paths may be null; other columns are ignored.
+that repeat are all returned; paths may be null; texts of any length are scanned whole;
+a pair that overlapping runs appended twice is read once; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.columns import let
+from spanframe.plans.bitmap import split
 from spanframe.plans.scratch import shared_dir, stored
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -58,28 +61,30 @@ def version(rules: Sequence[Rule]) -> str:
     return hashlib.sha256(repr([(r.kind, r.pattern, r.value, r.least) for r in rules]).encode()).hexdigest()[:16]
 
 
-def _spans(rule: Rule, k: int) -> Column:
-    text = F.col("text")
+def _hits(rule: Rule) -> Column:
+    """The matches of a rule in the column ``text``."""
+    return F.when(F.expr(rule.hint), F.call_function("regexp_extract_all", F.col("text"), F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
-    def placed(done: Column, hit: Column) -> Column:
-        start = F.call_function("locate", hit, text, done["at"] + 1) - 1
-        good = F.length(F.regexp_extract(hit, rule.pattern, rule.value)) >= rule.least if rule.least else F.lit(True)
-        return let(
-            start,
-            lambda at: F.struct(
-                (at + F.length(hit)).alias("at"),
-                F.when(good, F.array_append(done["out"], F.struct(at.alias("start"), F.lit(k).alias("rule"), (at + F.length(hit)).alias("end")))).otherwise(done["out"]).alias("out"),
-            ),
-        )
 
-    none = F.array().cast(f"array<{SPAN}>")
-    hits = F.call_function("regexp_extract_all", text, F.lit(rule.pattern), F.lit(0))
-    return F.when(F.expr(rule.hint), F.aggregate(hits, F.struct(F.lit(0).alias("at"), none.alias("out")), placed, lambda x: x["out"])).otherwise(none)
+def found(texts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(blob, found) for those of ``texts`` (blob, text; one row a blob) with matches: 0-based code points, ends exclusive, by start and then rule."""
+    hits = texts.select("blob", "text", *(_hits(r).alias(f"hits{k}") for k, r in enumerate(rules)))
+    some = hits.filter(" OR ".join(f"size(hits{k}) > 0" for k in range(len(rules))))
 
+    def parts(rule: Rule, k: int) -> Column:
+        """For each match: the length of what comes before it, its own, and whether it is long enough."""
+        good = (lambda hit: F.length(F.regexp_extract(hit, rule.pattern, rule.value)) >= rule.least) if rule.least else (lambda hit: F.lit(True))
+        between = F.when(F.size(f"hits{k}") > 0, F.split("text", rule.pattern, -1)).otherwise(F.array().cast("array<string>"))
+        gaps = F.transform(between, lambda gap: F.length(gap))
+        matched = F.transform(F.col(f"hits{k}"), lambda hit: F.struct(F.length(hit).alias("size"), good(hit).alias("good")))
+        both = F.arrays_zip(gaps.alias("gap"), matched.alias("hit"))
+        return F.filter(F.transform(both, lambda x, i: F.struct(F.lit(k).alias("rule"), i.alias("i"), x["gap"].alias("gap"), x["hit"].alias("hit"))), lambda x: x["hit"].isNotNull())
 
-def found(rules: Sequence[Rule] = RULES) -> Column:
-    """All spans in the column ``text`` (0-based code points, end exclusive), by start and then rule."""
-    return F.array_sort(F.concat(*(_spans(r, k) for k, r in enumerate(rules))))
+    each = some.select("blob", F.explode(F.concat(*(parts(r, k) for k, r in enumerate(rules)))).alias("m")).select("blob", "m.*")
+    upto = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("hit.size")).over(upto).cast("int")).filter("hit.good")
+    span = F.struct((F.col("end") - F.col("hit.size")).alias("start"), "rule", "end")
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found"))
 
 
 def scan(spark: SparkSession, versions: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,13 +96,19 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: str | None = None, ru
     spark.range(0).select(F.lit("").alias("blob"), F.lit("").alias("rules"), F.array().cast(f"array<{SPAN}>").alias("found")).write.mode("ignore").parquet(ledger)
     rows = versions.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     paths = stored(spark, rows.select("path", "blob"), "paths")
-    known = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rules") == now)
-    unseen = paths.groupBy("blob").agg(F.min("path").alias("path")).join(known, "blob", "left_anti")
-    rows, unseen = rows.alias("r"), unseen.alias("u")
-    texts = rows.join(unseen, F.col("r.path").eqNullSafe(F.col("u.path")) & (F.col("r.blob") == F.col("u.blob"))).select("r.blob", "r.text")
-    scanned = texts.select("blob", F.lit(now).alias("rules"), found(rules).alias("found")).dropDuplicates(["blob"])
-    scanned.write.mode("append").parquet(ledger)
-    known = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rules") == now)
+    entries = lambda: spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rules") == now)
+    blobs = paths.groupBy("blob").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("times"))
+    unseen = stored(spark, blobs.join(entries().select("blob"), "blob", "left_anti"), "unseen")
+    # a blob that comes once and has no entry needs no look at others
+    again = blobs.filter("times > 1").select("blob").union(entries().select("blob"))
+    maybe, once = split(spark, rows, F.col("blob"), again, F.col("blob"))
+    maybe, wanted = maybe.alias("r"), unseen.alias("u")
+    picked = maybe.join(wanted, F.col("r.path").eqNullSafe(F.col("u.path")) & (F.col("r.blob") == F.col("u.blob"))).select("r.blob", "r.text").dropDuplicates(["blob"])
+    scanned = stored(spark, found(once.select("blob", "text").union(picked), rules), "found")
+    empty = F.array().cast(f"array<{SPAN}>")
+    unseen.select("blob").join(scanned, "blob", "left").select("blob", F.lit(now).alias("rules"), F.coalesce("found", empty).alias("found")).write.mode("append").parquet(ledger)
+    # overlapping runs may append a pair twice; written, so that a blob with very many paths can be split
+    known = stored(spark, entries().groupBy("blob").agg(F.first("found").alias("found")), "known")
     return paths.join(known, "blob").select(F.col("path").alias(key), "blob", "found")
 
 

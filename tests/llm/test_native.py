@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -181,6 +182,27 @@ def test_secrets(spark, rows, tmp_path):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_very_many_secrets(spark):
+    """100,000 matches in one text: the time doesn't follow their square."""
+    text = "é" + "".join(f"x token={k:012d} " for k in range(100_000))
+    began = time.time()
+    got = secrets.scan(spark, spark.createDataFrame([(1, text), (2, "token=abcdefghijkl")], "doc_id long, text string")).collect()
+    spent = time.time() - began
+    found = {r.doc_id: [(s.start, s.rule, s.end) for s in r.found] for r in got}
+    assert found[1] == [s[:3] for s in spans(text)] and len(found[1]) == 100_000 and len(found[2]) == 1
+    assert spent < 120
+
+
+def test_pair_twice_in_the_ledger(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, SECRETS[0]), (2, "clean")], "doc_id long, text string")
+    secrets.scan(spark, docs, ledger).collect()
+    again = spark.read.parquet(ledger).persist()
+    again.count()
+    again.write.mode("append").parquet(ledger)
+    assert sorted(r.doc_id for r in secrets.scan(spark, docs, ledger).collect()) == [1, 2]
+
+
 def test_ledger_scans_what_is_new(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     size = lambda: spark.read.parquet(ledger).count()
