@@ -1,15 +1,24 @@
 """Media columns: documents as interleaved sequences of text and media.
 
-An HTML page is parsed into an ordered array of text and media-reference structs;
-a caption goes with the reference of its figure. Payloads are stored once a task
-and digest as 8-bit greyscale PNG, 64 samples a row, and read back where they
-lie: what is joined to references by digest are the payloads' measures, so stored
-bytes are never shuffled. Positions in a sequence stay those of the page.
-
-Defined cases: a null or empty page gives an empty sequence; unclosed and unknown
-elements are read as browsers read them, more or less, and never raise; a
+An HTML page is parsed into an ordered array of text and media-reference structs; the
+caption of a figure goes with every reference in it, wherever in the figure it stands.
+Payloads are stored once a task and digest as 8-bit greyscale PNG, 64 samples a row, and
+read back where they lie: what is joined to references by digest are the payloads'
+measures, so stored bytes are never shuffled. Positions in a sequence stay those of the
+page.
+
+The query takes the page of a document to be its paragraphs, one a line, and a figure
+behind them that refers to the document's payload; the figure's place in the sequence and
+its caption are returned with what the digest resolves to. ``page_sequences`` gives the
+sequences of the table ``pages``.
+
+Defined cases: a null or empty page gives an empty sequence; unknown elements are read as
+inline ones and nothing raises; an end tag closes all that was opened inside its element,
+also what isn't shown (a title is closed by the next block as well); nothing in an
+element that isn't shown is an item; a caption outside a figure is text; a
 reference with no stored payload keeps nulls; equal payloads share a digest and
-all values; an empty table gives no rows; other columns are ignored.
+all values; an empty table gives no rows; pages and payloads of any length are read
+whole, one at a time; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,6 +44,7 @@ ROW = 64
 BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "br", "tr", "table", "figure", "blockquote", "pre", "nav", "header", "footer", "body"}
 UNSEEN = {"script", "style", "noscript", "template", "title"}
 MEDIA = {"img", "video", "audio", "source"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 DIGEST = "sha256:"
 
 
@@ -42,9 +53,10 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
-        self.unseen: list[str] = []
+        self.open: list[str] = []
+        self.times: Counter[str] = Counter()  # of the tags in ``open``
+        self.figures: list[dict] = []  # of the open ones: the first item, and the caption
         self.caption: list[str] | None = None
-        self.figure = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -52,52 +64,75 @@ class _Page(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text})
 
+    def shown(self) -> bool:
+        return not any(self.times[tag] for tag in UNSEEN)
+
     def handle_starttag(self, tag, attrs) -> None:
+        if self.open and self.open[-1] == "title" and tag in BLOCKS:
+            self.close_top()
         got = dict(attrs)
-        if tag in UNSEEN:
-            self.unseen.append(tag)
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
-        elif tag in MEDIA and got.get("src"):
+        if tag in MEDIA and got.get("src") and self.shown():
             self.flush()
             src = got["src"]
             self.items.append({"kind": "media", "src": src, "digest": src.removeprefix(DIGEST) if src.startswith(DIGEST) else None, "alt": got.get("alt")})
         elif tag in BLOCKS:
             self.flush()
-            if tag == "figure":
-                self.figure = len(self.items)
+        if tag in VOID:
+            return
+        self.open.append(tag)
+        self.times[tag] += 1
+        if tag == "figure":
+            self.figures.append({"from": len(self.items), "caption": None})
+        elif tag == "figcaption" and self.figures and self.shown():
+            self.flush()
+            self.caption = []
+
+    def handle_startendtag(self, tag, attrs) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and self.open and self.open[-1] == tag:
+            self.close_top()
 
     def handle_endtag(self, tag) -> None:
-        if self.unseen and tag == self.unseen[-1]:
-            self.unseen.pop()
-        elif tag == "figcaption":
-            self.close_caption()
+        if self.times[tag]:
+            while self.open[-1] != tag:
+                self.close_top()
+            self.close_top()
         elif tag in BLOCKS:
-            self.close_caption()
             self.flush()
 
-    def close_caption(self) -> None:
-        if self.caption is not None:
+    def close_top(self) -> None:
+        tag = self.open.pop()
+        self.times[tag] -= 1
+        if tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure :]:
-                if item["kind"] == "media":
-                    item["caption"] = text
             self.caption = None
+            if self.figures[-1]["caption"] is None:
+                self.figures[-1]["caption"] = text
+        elif tag in BLOCKS:
+            self.flush()
+        if tag == "figure":
+            figure = self.figures.pop()
+            for item in self.items[figure["from"] :]:
+                if item["kind"] == "media" and figure["caption"] is not None:
+                    item.setdefault("caption", figure["caption"])  # that of an inner figure stays
 
     def handle_data(self, data) -> None:
-        if not self.unseen:
+        if self.shown():
             (self.run if self.caption is None else self.caption).append(data)
 
+    def done(self) -> list[dict]:
+        self.close()
+        while self.open:
+            self.close_top()
+        self.flush()
+        return self.items
+
 
 def sequence(html: str | None) -> list[dict]:
     """The page's items in order; ``pos`` counts them from 0."""
     page = _Page()
     page.feed(html or "")
-    page.close()
-    page.close_caption()
-    page.flush()
-    return [{"pos": k, **{x: item.get(x) for x in ("kind", "text", "src", "digest", "alt", "caption")}} for k, item in enumerate(page.items)]
+    return [{"pos": k, **{x: item.get(x) for x in ("kind", "text", "src", "digest", "alt", "caption")}} for k, item in enumerate(page.done())]
 
 
 def interleave(html: Column) -> Column:
@@ -209,10 +244,28 @@ def digest_of(text: Column) -> Column:
     return F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("00"), pad))), 256)
 
 
+def page_of(key: Column, text: Column) -> Column:
+    """A document as a page: a paragraph a line, then a figure with its payload."""
+    escaped = text
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(name))
+    lines = F.transform(F.split(escaped, "\n", -1), lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>")))
+    figure = F.concat(F.lit('<figure><img src="'), F.lit(DIGEST), digest_of(text), F.lit('"><figcaption>Document '), F.coalesce(key.cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), F.coalesce(F.array_join(lines, ""), F.lit("")), figure, F.lit("</article>"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    small_batches(spark)
     measures = stored(spark, measure(store(spark, docs)), "measures")
-    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("string")
-    page = F.concat(F.lit('<article><p>Text</p><figure><img src="sha256:'), digest_of(F.col("text")), F.lit('" alt="'), n, F.lit('"><figcaption>Payload</figcaption></figure></article>'))
-    items = docs.select("doc_id", page.alias("html")).select("doc_id", F.explode(interleave(F.col("html"))).alias("item"))
-    return resolve(items, measures, "doc_id").select("doc_id", F.col("alt").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    pages = docs.select(F.struct("doc_id", size.alias("n_bytes")).alias("of"), interleave(page_of(F.col("doc_id"), F.col("text"))).alias("items"))
+    refs = pages.select("of", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
+    return resolve(refs, measures, "of").select("of.doc_id", "of.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, pos, kind, text, src, caption) of every item of every page."""
+    small_batches(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(interleave(F.col("html"))).alias("item"))
+    return pages.select("page_id", "item.pos", "item.kind", "item.text", "item.src", "item.caption")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from spanframe.llm.language import op2_language
 from spanframe.llm.line_dedup import op4_line_dedup
-from spanframe.llm.media import op5_media
+from spanframe.llm.media import op5_media, page_sequences
 from spanframe.llm.mixing import OP10_SQL, op10_mixing
 from spanframe.llm.pii import op3_pii
 from spanframe.llm.quality import op7_quality
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
+    "page_sequences": page_sequences,
 }
 SQL = {"op9_secrets": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -2,7 +2,9 @@
 
 import hashlib
 import heapq
+import html
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -164,15 +166,87 @@ def test_png_round_trip(text):
         media.from_png(form[:-20] + bytes([form[-20] ^ 1]) + form[-19:])
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<figure><figcaption>before</figcaption><img src=a></figure>", [("media", "a", "before")]),
+    ("<figure><img src=a><figcaption>one</figcaption></figure><p>x<figcaption>loose</figcaption></p><img src=b>", [("media", "a", "one"), ("text", "xloose", None), ("media", "b", None)]),
+    ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><img src=c><figcaption>out</figcaption></figure>", [("media", "a", "out"), ("media", "b", "in"), ("media", "c", "out")]),
+    ("<figure><img src=a><figcaption>not closed", [("media", "a", "not closed")]),
+    ("<head><title>never closed<p>seen</p><p>too</p>", [("text", "seen", None), ("text", "too", None)]),
+    ("<div><noscript><img src=no>unseen</div><p>seen</p>", [("text", "seen", None)]),
+    ("<div><template>unseen<p>this as well</p></div>after<img src=yes>", [("text", "after", None), ("media", "yes", None)]),
+    ("<p>" * 3000 + "deep" + "</p>" * 10 + "</div>" * 3000, [("text", "deep", None)]),
+    ("<figure/><img src=a><video src=v><figcaption>x</figcaption></video>", [("media", "a", None), ("media", "v", None), ("text", "x", None)]),
+])
+def test_captions_and_unclosed_elements(page, want):
+    got = media.sequence(page)
+    assert [(x["kind"], x["text"] or x["src"], x["caption"]) for x in got] == want
+    assert [x["pos"] for x in got] == list(range(len(got)))
+
+
+def slow_png(form):
+    """The samples of a greyscale PNG, by its specification, filters included."""
+    assert form.startswith(b"\x89PNG\r\n\x1a\n") and form.endswith(b"IEND" + zlib.crc32(b"IEND").to_bytes(4, "big"))
+    at, parts, data = 8, {}, b""
+    while at < len(form):
+        n, kind = int.from_bytes(form[at : at + 4], "big"), form[at + 4 : at + 8]
+        assert zlib.crc32(form[at + 4 : at + 8 + n]) == int.from_bytes(form[at + 8 + n : at + 12 + n], "big")
+        parts[kind] = form[at + 8 : at + 8 + n]
+        data += parts[kind] if kind == b"IDAT" else b""
+        at += 12 + n
+    width, height = int.from_bytes(parts[b"IHDR"][:4], "big"), int.from_bytes(parts[b"IHDR"][4:8], "big")
+    assert parts[b"IHDR"][8:] == bytes([8, 0, 0, 0, 0])
+    raw, out, above = zlib.decompress(data), [], [0] * width
+    for y in range(height):
+        kind, line, done = raw[y * (width + 1)], raw[y * (width + 1) + 1 : (y + 1) * (width + 1)], []
+        for x, v in enumerate(line):
+            left = done[x - 1] if x else 0
+            done.append((v + (0, left, above[x], (left + above[x]) // 2)[kind]) % 256)
+        out += done
+        above = done
+    return bytes(out)
+
+
+def slow_feature(payload):
+    n = len(payload) // 64
+    cells = defaultdict(int)
+    sizes = defaultdict(int)
+    for k, v in enumerate(payload):
+        y, x = divmod(k, 64)
+        cells[y * 8 // n, x // 8] += v
+        sizes[y * 8 // n, x // 8] += 1
+    total = sum(payload)
+    bits = "".join(str(int(cells[b, c] * len(payload) > total * sizes[b, c])) for b in range(8) for c in range(8))
+    return f"{int(bits, 2):016x}:{total}:{sum(v > 0 for v in payload)}"
+
+
 def test_media_query(spark, sf, rows):
-    got = {r.doc_id: r for r in media.op5_media(spark, sf).collect()}
+    got = media.op5_media(spark, sf).collect()
     assert len(got) == len(rows)
-    for d, text, *_ in rows:
-        payload = media.payload_of(text)
+    texts = {d: text for d, text, *_ in rows}
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         form = media.to_png(payload)
-        want = (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(form), hashlib.sha256(form).hexdigest())
-        r = got[d]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == want
+        assert slow_png(form) == payload and (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        assert r.feature == slow_feature(payload)
+        # the payload's place among the paragraphs, and its own caption
+        assert (r.pos, r.caption) == (sum(bool(line.split()) for line in texts[r.doc_id].split("\n")), f"Document {r.doc_id}")
+
+
+def test_page_sequences(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = defaultdict(list)
+    for r in media.page_sequences(spark, sf).collect():
+        got[r.page_id].append((r.pos, r.kind, r.text))
+    assert set(got) <= set(pages)
+    for k, page in pages.items():
+        items = sorted(got[k])
+        assert [x[0] for x in items] == list(range(len(items)))
+        # the same words in the same order as without tags and what isn't shown
+        bare = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(script|style|title)\b.*?</\1>", " ", page)
+        words = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?(?:b|i|em|strong|a|span)\b[^>]*>", "", bare))).split()
+        assert " ".join(x[2] for x in items if x[1] == "text").split() == words
 
 
 def test_media_hard(spark, hard, nothing, tmp_path):
