@@ -99,7 +99,7 @@ def run_tabix(a: argparse.Namespace) -> dict:
     guard_output(a.output, [x for x in (a.data, a.index, a.regions_file, a.targets_file) if x], a.force)
     spark, out = _spark(), []
     if a.print_header or a.header_only:
-        out += native.header(spark, a.data, native.find_index(a.data, a.index).config)
+        out += native.header(a.data, native.find_index(a.data, a.index).config)
     if not a.header_only:
         asked = regions if regions or a.regions_file else None
         found = native.query_file(spark, a.data, asked, targets, a.index, a.unique, a.separate_regions)

@@ -7,6 +7,7 @@ tests hold the two against each other.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,17 +59,24 @@ def vcf_end(begin: Column, ref: Column, info: Column) -> Column:
     )
 
 
+#: Header lines that declare a reference's length, by kind of file.
+DECLARED = {"vcf": r"\A##contig=<(?:.*,)?length=([0-9]+)[,>]", "sam": r"\A@SQ\t(?:.*\t)?LN:([0-9]+)(?![^\t])"}
+
+
 def declared_length(raw: Column, config: Config) -> Column:
     """The reference length in a VCF contig or SAM sequence header line, else null."""
-    if config.kind == "vcf":
-        found = F.regexp_extract(raw, r"\A##contig=<(?:.*,)?length=([0-9]+)[,>]", 1)
-    elif config.kind == "sam":
-        found = F.regexp_extract(raw, r"\A@SQ\t(?:.*\t)?LN:([0-9]+)(?:\t|\z)", 1)
-    else:
+    if config.kind not in DECLARED:
         return F.lit(None).cast("long")
+    found = F.regexp_extract(raw, DECLARED[config.kind], 1)
     return F.when(found != "", found.cast("long"))
 
 
+def declared_lengths(header: Iterable[str], config: Config) -> list[int]:
+    """The lengths that header lines declare."""
+    found = (re.search(DECLARED[config.kind], line) for line in header) if config.kind in DECLARED else ()
+    return [int(m[1]) for m in found if m]
+
+
 def _step(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with more columns, each computed once a row.
 
@@ -81,10 +89,11 @@ def _step(df: DataFrame, **columns: Column) -> DataFrame:
 def records(lines: DataFrame, config: Config) -> DataFrame:
     """(record_id, line_no, raw, ref, start, end) of the data lines of (record_id, line_no, raw); malformed lines raise.
 
-    ``start`` and ``end`` are 1-based inclusive.
+    ``start`` and ``end`` are 1-based inclusive. A column ``next_id`` stays.
     """
+    carried = ["next_id"] if "next_id" in lines.columns else []
     raw = trim_end(F.col("raw"))
-    data = lines.select("record_id", "line_no", raw.alias("raw")).filter(~is_meta(F.col("raw"), F.col("line_no"), config))
+    data = lines.select("record_id", *carried, "line_no", raw.alias("raw")).filter(~is_meta(F.col("raw"), F.col("line_no"), config))
     df = _step(data, __cells=F.split("raw", "\t", config.max_column + 1))
     cell = lambda k: F.get(F.col("__cells"), F.lit(k - 1))
     name = cell(config.sequence)
@@ -107,7 +116,7 @@ def records(lines: DataFrame, config: Config) -> DataFrame:
         df = _step(df, __last=end)
         end = F.col("__last")
     start, end = (coords.half_open if config.zero_based else coords.one_based)(F.col("__begin"), end)
-    return _step(df, start=start, end=end).select("record_id", "line_no", "raw", "ref", "start", "end")
+    return _step(df, start=start, end=end).select("record_id", *carried, "line_no", "raw", "ref", "start", "end")
 
 
 def _uint(text: str, what: str) -> int:

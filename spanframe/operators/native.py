@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import islice, takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,14 @@ from spanframe.functions.config import Config, FormatError, detect
 from spanframe.functions.regions import RegionError, Request
 from spanframe.operators import index as tables
 from spanframe.operators.overlap import query
-from spanframe.sources.archive import bgzf_lines
+from spanframe.plans.scratch import stored
+from spanframe.sources.archive import ROWS_A_BATCH, bgzf_lines, block_starts, lines_between
 from spanframe.sources.bgzf import EOF_BLOCK, checked, inflate, members
-from spanframe.sources.tabix_codec import Index, Reference, candidate_chunks, dump, load
-from spanframe.sources.text import header_lines
+from spanframe.sources.tabix_codec import Index, Reference, chunks_of, dump, load, merged_chunks
 
 SAMPLE_BYTES = 1 << 20
+#: Compressed bytes that a task reads of an indexed file.
+TASK_BYTES = 1 << 22
 
 
 def sample(path: str) -> str:
@@ -41,30 +45,23 @@ def build(spark: SparkSession, path: str, config: Config | None = None, csi: boo
     if os.path.exists(output) and (not force or not os.path.isfile(output)):
         raise FileExistsError(output)
     config = config or detect(path, sample(path))
-    lines = bgzf_lines(spark, path)
-    declared = lines.filter(F.col("raw").startswith(config.comment)).agg(F.max(records.declared_length(F.col("raw"), config))).first()[0]
+    declared = max(records.declared_lengths(header(path, config), config), default=None)
     depth = coords.csi_depth(min_shift, config.kind is not None, declared) if csi else coords.TBI_DEPTH
     if not csi:
         min_shift = coords.TBI_SHIFT
-    parsed = records.records(lines, config)
-    after = lines.select((F.col("line_no") - 1).alias("line_no"), F.col("record_id").alias("next_id"))
-    with open(path, "rb") as f:
-        f.seek(-len(EOF_BLOCK), os.SEEK_END)
-        end = f.tell() << 16
-    parsed = parsed.join(after, "line_no", "left").withColumn("next_id", F.coalesce("next_id", F.lit(end))).persist()
-    try:
-        tables.validate(parsed, min_shift, depth)
-        order = {r["ref"]: Reference(r["ref"]) for r in tables.reference_order(parsed).orderBy("ref_ordinal").toLocalIterator()}
-        for r in tables.bin_chunks(parsed, min_shift, depth).orderBy("ref", "bin", "chunk_start").toLocalIterator():
-            order[r["ref"]].bins.setdefault(r["bin"], []).append((r["chunk_start"], r["chunk_end"]))
-        for r in tables.linear_index(parsed, min_shift).orderBy("ref", "window").toLocalIterator():
-            order[r["ref"]].linear.append(r["min_offset"])
-        n = 0
-        for r in tables.metadata(parsed).toLocalIterator():
-            order[r["ref"]].first, order[r["ref"]].last, order[r["ref"]].count = r["first_id"], r["last_id"], r["n"]
-            n += r["n"]
-    finally:
-        parsed.unpersist()
+    # the archive is read and parsed once; lines are numbered only if the first ones are to be skipped
+    lines = bgzf_lines(spark, path, numbered=config.skip > 0)
+    parsed = stored(spark, records.records(lines, config).select("record_id", "next_id", "ref", "start", "end"), "parsed")
+    tables.validate(parsed, min_shift, depth)
+    order = {r["ref"]: Reference(r["ref"]) for r in tables.reference_order(parsed).orderBy("ref_ordinal").toLocalIterator()}
+    for r in tables.bin_chunks(parsed, min_shift, depth).orderBy("ref", "bin", "chunk_start").toLocalIterator():
+        order[r["ref"]].bins.setdefault(r["bin"], []).append((r["chunk_start"], r["chunk_end"]))
+    for r in tables.linear_index(parsed, min_shift).orderBy("ref", "window").toLocalIterator():
+        order[r["ref"]].linear.append(r["min_offset"])
+    n = 0
+    for r in tables.metadata(parsed).toLocalIterator():
+        order[r["ref"]].first, order[r["ref"]].last, order[r["ref"]].count = r["first_id"], r["last_id"], r["n"]
+        n += r["n"]
     staged = output + ".staged"
     with open(staged, "wb") as f:
         f.write(dump(Index("csi" if csi else "tbi", config, list(order.values()), min_shift, depth)))
@@ -83,42 +80,44 @@ def find_index(path: str, index: str | None = None) -> Index:
         return load(f.read())
 
 
-def chunk_lines(spark: SparkSession, path: str, chunks: Sequence[tuple[int, int]]) -> DataFrame:
-    """(record_id, raw) of the lines that begin in the chunks (sorted, apart); each chunk is a task that seeks to it."""
+def pieces(path: str, chunks: Sequence[tuple[int, int]], most: int = TASK_BYTES) -> list[tuple[int, int, int, bool]]:
+    """(task, begin, end, aligned): chunks (sorted, apart), long ones cut at blocks and short ones packed to ``most`` bytes a task."""
+    out, task, held, starts = [], 0, 0, None
+    for begin, end in chunks:
+        if end < begin:
+            raise FormatError("an index chunk ends before it begins")
+        cuts = [begin, end]
+        if (end >> 16) - (begin >> 16) > most:
+            starts = starts or block_starts(path)[0]
+            inner = starts[bisect_right(starts, begin >> 16) : bisect_right(starts, end >> 16)]
+            for at in inner:
+                if at - (cuts[-2] >> 16) >= most and at << 16 < end:
+                    cuts.insert(-1, at << 16)
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            size = (b >> 16) - (a >> 16) + 65536
+            if held and held + size > most + 65536:
+                task, held = task + 1, 0
+            out.append((task, a, b, k == 0))
+            held += size
+    return out
 
-    def read(rows):
-        for begin, end in rows:
-            with open(path, "rb") as f:
-                carry, origin = b"", 0
-                for offset, member in members(f, begin >> 16):
-                    data = inflate(member)
-                    at = begin & 0xFFFF if offset == begin >> 16 else 0
-                    while at < len(data):
-                        if not carry:
-                            origin = (offset << 16) + at
-                            if origin >= end:
-                                break
-                        stop = data.find(b"\n", at)
-                        if stop < 0:
-                            carry += data[at:]
-                            break
-                        yield origin, (carry + data[at:stop]).decode("latin-1")
-                        carry, at = b"", stop + 1
-                    if not carry and (offset << 16) + len(data) >= end:
-                        break
-                if carry:
-                    yield origin, carry.decode("latin-1")
 
+def chunk_lines(spark: SparkSession, path: str, chunks: Sequence[tuple[int, int]]) -> DataFrame:
+    """(record_id, raw) of the lines that begin in the chunks (sorted, apart), read by seeking to them; chunks that don't fit the file raise."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            found = list(read(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], names=["record_id", "raw"])
+            with open(path, "rb") as f:
+                for begin, end, aligned in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                    found = lines_between(f, begin, end, aligned)
+                    while rows := list(islice(found, ROWS_A_BATCH)):
+                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[2].decode("latin-1") for x in rows], pa.string())], names=["record_id", "raw"])
 
     if not chunks:
         return spark.createDataFrame([], "record_id long, raw string")
-    asked = spark.createDataFrame(list(chunks), "begin long, stop long").repartitionByRange(len(chunks), "begin")
+    found = pieces(path, chunks)
+    asked = spark.createDataFrame(found, "task long, begin long, stop long, aligned boolean").repartitionByRange(found[-1][0] + 1, "task")
     return asked.mapInArrow(run, "record_id long, raw string")
 
 
@@ -148,21 +147,23 @@ def query_file(
     if not tail.endswith(EOF_BLOCK) or tail == EOF_BLOCK * 2:
         raise FormatError("the file doesn't end in one end marker")
     if requests is None:
-        lines = bgzf_lines(spark, path)
+        lines = bgzf_lines(spark, path, numbered=found.config.skip > 0)
     else:
-        merged: list[tuple[int, int]] = []
-        for begin, end in sorted(c for r in requests for c in candidate_chunks(found, r.ref, r.start, r.end)):
-            if merged and begin <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-            else:
-                merged.append((begin, end))
+        by_name = {r.name: r for r in found.references}
+        merged = merged_chunks(c for r in requests for c in chunks_of(found, by_name[r.ref], r.start, r.end))
         lines = chunk_lines(spark, path, merged).withColumn("line_no", F.lit(1 << 62))
     parsed = records.records(lines, found.config)
+    # whatever is read has to be a reference of the index
+    strange = F.raise_error(F.concat(F.lit("data reference "), F.col("ref"), F.lit(" is not in the index"))).cast("string")
+    parsed = parsed.withColumn("ref", F.when(F.col("ref").isin(*sorted(names)), F.col("ref")).otherwise(strange))
     return query(spark, parsed, requests, targets, unique, separate, found.config.comment)
 
 
-def header(spark: SparkSession, path: str, config: Config) -> list[str]:
-    return [r["raw"].removesuffix("\r") for r in header_lines(bgzf_lines(spark, path), config.comment).orderBy("record_id").toLocalIterator()]
+def header(path: str, config: Config) -> list[str]:
+    """The comment lines before the first line that is none; what follows is not read."""
+    with open(path, "rb") as f:
+        lines = (raw.decode("latin-1").removesuffix("\r") for _, _, raw in lines_between(f, 0, None))
+        return list(takewhile(lambda line: line.startswith(config.comment), lines))
 
 
 def references(path: str, index: str | None = None) -> list[str]:

@@ -1,10 +1,10 @@
 """Block archives as tables: a data source of blocks and lines, range reads, and a parallel writer.
 
-The driver walks member headers once (or reads the block index beside the file) and
-gives each task a run of blocks, which it reads by seeking. A task yields the lines
-that begin in its blocks and reads on to finish the last. Paths have to be visible
-to driver and executors alike; elsewhere ``inflated`` reads whole files through
-Spark's own file sources.
+The driver reads the block index beside the file, if it is as new as the file, or else
+the headers and trailers of the members, and gives each task a run of blocks, which it
+reads by seeking. A task yields the lines that begin in its blocks and reads on to finish
+the last. Paths have to be visible to driver and executors alike; elsewhere ``inflated``
+reads whole files through Spark's own file sources.
 """
 
 from __future__ import annotations
@@ -12,21 +12,100 @@ from __future__ import annotations
 import io
 import os
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from spanframe.sources.bgzf import EOF_BLOCK, Block, Gzi, cut, deflate, inflate, manifest, members, usize
+from spanframe.sources.bgzf import EOF_BLOCK, Block, BlockError, Gzi, cut, deflate, inflate, manifest, members, usize
 
 BLOCKS_A_TASK = 1024
 BLOCK_SCHEMA = "block_no long, coffset long, csize long, uoffset long, usize long"
 
 
+ROWS_A_BATCH = 8192
+
+
 class _Run(InputPartition):
-    def __init__(self, number: int, first: Block, last: Block) -> None:
-        self.number, self.first, self.last, self.start = number, first, last, number == 0
+    def __init__(self, number: int, first: int, end: int) -> None:
+        self.number, self.first, self.end = number, first, end  # compressed offsets
+
+
+def block_starts(path: str, policy: str = "strict") -> tuple[list[int], int]:
+    """The compressed offsets of the data blocks, and where the last one ends."""
+    index = f"{path}.gzi"
+    size = os.path.getsize(path)
+    with open(path, "rb", buffering=0) as f:
+        if policy == "strict" and os.path.exists(index) and os.path.getmtime(index) >= os.path.getmtime(path):
+            f.seek(max(0, size - len(EOF_BLOCK)))
+            if f.read(len(EOF_BLOCK)) != EOF_BLOCK:
+                raise BlockError("the end marker is missing")
+            with open(index, "rb") as g:
+                starts = [0, *(c for c, _ in Gzi.parse(g.read()).entries)]
+            if starts[-1] < size - len(EOF_BLOCK):
+                return starts, size - len(EOF_BLOCK)
+        found = manifest(f, policy)
+    return [b.coffset for b in found], found[-1].coffset + found[-1].csize if found else 0
+
+
+def lines_between(f: BinaryIO, begin: int, end: int | None, aligned: bool = True, strict: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(position, position after it, line) of the lines that begin in [begin, end), virtual positions; without an end, of all from ``begin`` on.
+
+    If ``begin`` is not ``aligned``, it is a block's and may lie inside a line, which then belongs to what comes before.
+    Positions that the file's blocks don't have raise; ``strict`` raises on blocks without content as well.
+    """
+    skipping = not aligned and not _after_line_end(f, begin >> 16)
+    carry, origin, follow, content, last = [], None, begin, begin, 1 << 63 if end is None else end
+    for offset, member in members(f, begin >> 16):
+        data = inflate(member)
+        at, follow = begin & 0xFFFF if offset == begin >> 16 else 0, (offset + len(member)) << 16
+        content = follow if data else content
+        if not data and strict and follow <= last and end is not None:
+            raise BlockError("a block without content before the end marker")
+        if at > len(data) or (offset == last >> 16 and last & 0xFFFF > len(data)):
+            raise BlockError("a position lies beyond its block")
+        if offset < last >> 16 < follow >> 16:
+            raise BlockError("a position is not in a block")
+        while at < len(data):
+            here = (offset << 16) + at
+            if origin is None and here >= last:
+                return
+            stop = data.find(b"\n", at)
+            if stop < 0:
+                if not skipping:
+                    carry.append(data[at:])
+                    origin = here if origin is None else origin
+                break
+            if not skipping:
+                line = data[at:stop] if not carry else b"".join([*carry, data[at:stop]])
+                yield here if origin is None else origin, follow if stop + 1 == len(data) else (offset << 16) + stop + 1, line
+            skipping, carry, origin, at = False, [], None, stop + 1
+        if origin is None and follow >= last:
+            return
+    if end is not None and follow < end:
+        raise BlockError("a position lies beyond the file")
+    if origin is not None:
+        yield origin, content, b"".join(carry)
+
+
+def _after_line_end(f: BinaryIO, coffset: int) -> bool:
+    """Whether the block before ``coffset`` ends a line; members are at most 64 KiB, so it begins in the 64 KiB before."""
+    back = min(coffset, 65536)
+    f.seek(coffset - back)
+    raw = f.read(back)
+    for at in range(len(raw)):
+        if raw[at : at + 4] == b"\x1f\x8b\x08\x04":
+            try:
+                parts = [m for _, m in members(io.BytesIO(raw[at:]))]
+                data = b"".join(inflate(m) for m in parts)
+            except ValueError:
+                continue
+            if data:
+                return data.endswith(b"\n")
+    return coffset == 0
 
 
 class _LineReader(DataSourceReader):
@@ -34,67 +113,27 @@ class _LineReader(DataSourceReader):
         self.path, self.policy, self.per_task = path, policy, per_task
 
     def partitions(self) -> list[_Run]:
+        starts, end = block_starts(self.path, self.policy)
+        bounds = [*starts[:: self.per_task], end]
+        return [_Run(k, a, b) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
+
+    def read(self, run: _Run) -> Iterator[pa.RecordBatch]:
+        if not isinstance(run, _Run):
+            return
+        names = ["record_id", "next_id", "run", "place", "raw"]
         with open(self.path, "rb") as f:
-            blocks = manifest(f, self.policy)
-        return [_Run(k // self.per_task, blocks[k], blocks[min(k + self.per_task, len(blocks)) - 1]) for k in range(0, len(blocks), self.per_task)]
-
-    def read(self, run: _Run) -> Iterator[tuple]:
-        if isinstance(run, _Run):
-            for k, (origin, raw) in enumerate(self._lines(run)):
-                yield origin, run.number, k, raw
-
-    def _lines(self, run: _Run) -> Iterator[tuple[int, str]]:
-        with open(self.path, "rb") as f:
-            skipping = not run.start and not self._before_is_line_end(f, run.first)
-            carry, origin = b"", None
-            for offset, member in members(f, run.first.coffset):
-                inside = offset <= run.last.coffset
-                data = inflate(member)
-                if not inside and not carry:
-                    return
-                at = 0
-                if skipping:
-                    end = data.find(b"\n")
-                    if end < 0:
-                        if not inside:
-                            return
-                        continue
-                    at, skipping = end + 1, False
-                while at < len(data):
-                    if not inside and not carry:
-                        return
-                    end = data.find(b"\n", at)
-                    if not carry:
-                        origin = (offset << 16) + at
-                    if end < 0:
-                        carry += data[at:]
-                        break
-                    yield origin, (carry + data[at:end]).decode("latin-1")
-                    carry, at = b"", end + 1
-            if carry:
-                yield origin, carry.decode("latin-1")
-
-    def _before_is_line_end(self, f, first: Block) -> bool:
-        """Whether the block before ``first`` ends a line; members are at most 64 KiB, so it begins in the 64 KiB before."""
-        back = min(first.coffset, 65536)
-        f.seek(first.coffset - back)
-        raw = f.read(back)
-        for at in range(len(raw)):
-            if raw[at : at + 4] == b"\x1f\x8b\x08\x04":
-                try:
-                    parts = [m for _, m in members(io.BytesIO(raw[at:]))]
-                    data = b"".join(inflate(m) for m in parts)
-                except ValueError:
-                    continue
-                if data:
-                    return data.endswith(b"\n")
-        return first.coffset == 0
+            found, place = lines_between(f, run.first << 16, run.end << 16, aligned=False, strict=self.policy == "strict"), 0
+            while rows := list(islice(found, ROWS_A_BATCH)):
+                n = len(rows)
+                columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([run.number] * n, pa.int64()), pa.array(range(place, place + n), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[2].decode("latin-1") for x in rows], pa.string())], names=names)
+                place += n
 
 
 class BgzfLines(DataSource):
-    """``spark.read.format("bgzf_lines").load(path)``: (record_id, run, place, raw), ids being virtual positions.
+    """``spark.read.format("bgzf_lines").load(path)``: (record_id, next_id, run, place, raw), ids being virtual positions.
 
-    ``run`` is the run of blocks in which a line begins and ``place`` its number there, from 0.
+    ``next_id`` is the position after the line, ``run`` is the run of blocks in which a line begins and ``place`` its number there, from 0.
 
     Options: ``policy`` (strict or reference), ``blocksPerTask``.
     """
@@ -104,27 +143,30 @@ class BgzfLines(DataSource):
         return "bgzf_lines"
 
     def schema(self) -> str:
-        return "record_id long, run long, place long, raw string"
+        return "record_id long, next_id long, run long, place long, raw string"
 
     def reader(self, schema) -> _LineReader:
         return _LineReader(self.options["path"], self.options.get("policy", "strict"), int(self.options.get("blocksPerTask", BLOCKS_A_TASK)))
 
 
-def bgzf_lines(spark: SparkSession, path: str, policy: str = "strict", blocks_per_task: int = BLOCKS_A_TASK) -> DataFrame:
-    """(record_id, line_no, raw): the lines of a block archive. Ids are virtual positions, so they order lines as the file does.
+def bgzf_lines(spark: SparkSession, path: str, policy: str = "strict", blocks_per_task: int = BLOCKS_A_TASK, numbered: bool = True) -> DataFrame:
+    """(record_id, next_id, line_no, raw): the lines of a block archive. Ids are virtual positions, so they order lines as the file does.
 
-    As for plain text, lines are numbered from the counts of the runs before, and don't move.
+    As for plain text, lines are numbered from the counts of the runs before, and don't move. Unless they are
+    ``numbered``, which reads the file twice, ``line_no`` is a number beyond any.
     """
     spark.dataSource.register(BgzfLines)
     lines = spark.read.format("bgzf_lines").option("policy", policy).option("blocksPerTask", str(blocks_per_task)).load(path)
+    if not numbered:
+        return lines.select("record_id", "next_id", F.lit(1 << 62).alias("line_no"), "raw")
     order = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row a run
     starts = lines.groupBy("run").agg(F.count(F.lit(1)).alias("__n")).select("run", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
-    return lines.join(F.broadcast(starts), "run").select("record_id", (F.col("__before") + F.col("place") + 1).alias("line_no"), "raw")
+    return lines.join(F.broadcast(starts), "run").select("record_id", "next_id", (F.col("__before") + F.col("place") + 1).alias("line_no"), "raw")
 
 
 def blocks(spark: SparkSession, path: str, policy: str = "strict") -> DataFrame:
     """The manifest: one row for each data block."""
-    with open(path, "rb") as f:
+    with open(path, "rb", buffering=0) as f:
         found = manifest(f, policy)
     columns = list(zip(*((b.number, b.coffset, b.csize, b.uoffset, b.usize) for b in found))) or [()] * 5
     return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")]))

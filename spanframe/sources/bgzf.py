@@ -120,15 +120,53 @@ def checked(found: Iterable[tuple[int, bytes]], policy: str = "strict") -> Itera
         raise BlockError("the end marker is missing")
 
 
+def walk(source: BinaryIO) -> Iterator[tuple[int, int, int]]:
+    """(compressed offset, size, content size) of every member: headers and trailers are read, bodies are passed over."""
+    offset = 0
+    source.seek(0)
+    head = _exactly(source, 18)
+    while head:
+        if len(head) >= 12:
+            extra = struct.unpack_from("<H", head, 10)[0]
+            if extra > 6:
+                source.seek(offset + len(head))
+                head += _exactly(source, 12 + extra - len(head))
+        _, size = header_size(head)
+        source.seek(offset + size - 4)
+        tail = _exactly(source, 22)
+        if len(tail) < 4:
+            raise BlockError("the file is cut off")
+        yield offset, size, struct.unpack_from("<I", tail)[0]
+        offset, head = offset + size, tail[4:]
+
+
+def _exactly(source: BinaryIO, n: int) -> bytes:
+    """``n`` bytes, fewer at the end only; unbuffered files may give less at a time."""
+    out = source.read(n)
+    while len(out) < n and (more := source.read(n - len(out))):
+        out += more
+    return out
+
+
 def manifest(source: BinaryIO, policy: str = "strict") -> list[Block]:
-    """The data blocks in order, from headers and trailers only."""
-    out, uoffset = [], 0
-    for offset, member in checked(members(source), policy):
-        n = usize(member)
+    """The data blocks in order, from headers and trailers only; what the policy forbids raises."""
+    out, uoffset, last, ended = [], 0, False, False
+    for offset, size, n in walk(source):
+        if ended and policy == "strict":
+            raise BlockError("data follows the end marker")
         if n > MOST_INFLATED:
             raise BlockError("a member inflates to more than 64 KiB")
-        out.append(Block(len(out), offset, len(member), uoffset, n))
-        uoffset += n
+        last = n == 0
+        if last and policy == "strict":
+            source.seek(offset)
+            if _exactly(source, size) != EOF_BLOCK:
+                raise BlockError("an empty block that is not the end marker")
+            ended = True
+        if n:
+            out.append(Block(len(out), offset, size, uoffset, n))
+            uoffset += n
+    if not last:
+        raise BlockError("the end marker is missing")
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from spanframe.functions import coords
@@ -176,18 +177,29 @@ def load(data: bytes) -> Index:
 def candidate_chunks(index: Index, name: str, start: int, end: int | None) -> list[Chunk]:
     """Merged chunks that can hold records of ``name`` in [start, end]; beyond the tree there are none."""
     reference = next((r for r in index.references if r.name == name), None)
+    return chunks_of(index, reference, start, end) if reference else []
+
+
+def chunks_of(index: Index, reference: Reference, start: int, end: int | None) -> list[Chunk]:
     most = coords.capacity(index.min_shift, index.depth)
-    if reference is None or start > most:
+    if start > most:
         return []
     last = min(end or most, most)
     lowest = reference.linear[min((start - 1) >> index.min_shift, len(reference.linear) - 1)] if reference.linear else 0
-    found = []
+    found, bins = [], reference.bins
     for level in range(index.depth + 1):
         shift = index.min_shift + 3 * (index.depth - level)
         low, high = coords.level_offset(level) + ((start - 1) >> shift), coords.level_offset(level) + ((last - 1) >> shift)
-        found += [c for b, chunks in reference.bins.items() if low <= b <= high for c in chunks if c[1] > lowest]
+        # few bins are looked up by number, many are sought among those there are
+        asked = range(low, high + 1) if high - low < len(bins) else (b for b in bins if low <= b <= high)
+        found += [c for b in asked if b in bins for c in bins[b] if c[1] > lowest]
+    return merged_chunks(found)
+
+
+def merged_chunks(chunks: Iterable[Chunk]) -> list[Chunk]:
+    """Sorted chunks of which none meet."""
     merged: list[Chunk] = []
-    for begin, stop in sorted(found):
+    for begin, stop in sorted(chunks):
         if merged and begin <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(stop, merged[-1][1]))
         else:

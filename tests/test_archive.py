@@ -176,7 +176,7 @@ def test_build_and_query(spark, vcf, csi, tmp_path):
     assert [r.raw for r in native.query_file(spark, path, targets=targets, index=index).collect()] == [x[3] for x in rows if hit(x, targets[0])]
     with pytest.raises(RegionError):
         native.query_file(spark, path, [parse_region("chr9")], index=index)
-    assert len(native.header(spark, path, PRESETS["vcf"])) == 3
+    assert len(native.header(path, PRESETS["vcf"])) == 3
     with pytest.raises(FileExistsError):
         native.build(spark, path, csi=csi, output=index)
     os.utime(path, (os.path.getmtime(index) + 10,) * 2)
@@ -199,3 +199,85 @@ def test_empty_input(spark, tmp_path):
     with open(path, "wb") as f:
         f.write(encode(b"#only a header\n"))
     assert native.build(spark, path)["records"] == 0 and native.references(path) == []
+
+
+class Counting(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def test_planning_passes_over_bodies():
+    packed = Counting(encode(NOISE * 40, 0, text=False))
+    blocks = manifest(packed)
+    assert len(blocks) > 80 and packed.taken < 30 * len(blocks) + 100
+    with open(os.devnull, "rb"):
+        assert [b.coffset for b in blocks] == [b.coffset for b in manifest(io.BytesIO(packed.getvalue()), "reference")]
+
+
+def test_planning_by_the_block_index(spark, tmp_path):
+    path = str(tmp_path / "w.gz")
+    archive.write_bgzf(spark, TEXT, path)
+    by_index = archive.block_starts(path)
+    os.remove(path + ".gzi")
+    assert archive.block_starts(path) == by_index
+
+
+@pytest.mark.parametrize("text", [True, False])
+def test_lines_of_any_runs(spark, tmp_path, text):
+    """However blocks are dealt out, each line comes once, with the place where the next one begins."""
+    path = str(tmp_path / "l.gz")
+    data = TEXT + b"x" * 150_000 + b"\n\n" + TEXT[:-1]
+    with open(path, "wb") as f:
+        f.write(encode(data, 1, text))
+    want = data.decode().split("\n")
+    for per_task in (1, 2, 1000):
+        rows = archive.bgzf_lines(spark, path, blocks_per_task=per_task).orderBy("record_id").collect()
+        assert [r.raw for r in rows] == want and [r.line_no for r in rows] == list(range(1, len(want) + 1))
+        with open(path, "rb") as f:
+            end = manifest(f)[-1]
+        assert [r.next_id for r in rows] == [r.record_id for r in rows[1:]] + [end.coffset + end.csize << 16]
+
+
+def test_pieces_of_chunks(spark, vcf, monkeypatch):
+    path, rows = vcf
+    with open(path, "rb") as f:
+        blocks = manifest(f)
+    first = sum(map(len, ("##fileformat=VCFv4.2", "##contig=<ID=chr1,length=900000>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"))) + 3
+    whole = [(first, blocks[-1].coffset + blocks[-1].csize << 16)]
+    for most in (1, 20_000, native.TASK_BYTES):
+        monkeypatch.setattr(native, "TASK_BYTES", most)
+        found = native.pieces(path, whole, most)
+        assert [x[1] for x in found[1:]] == [x[2] for x in found[:-1]] and (found[0][1], found[-1][2]) == whole[0]
+        assert len(found) >= (len(blocks) if most == 1 else 1)
+    few = native.pieces(path, [(k << 16, (k << 16) + 9) for k in range(0, 1000, 7)], 1 << 22)
+    assert len({x[0] for x in few}) < 10
+    monkeypatch.setattr(native.pieces, "__defaults__", (1,))
+    assert [r.raw for r in native.chunk_lines(spark, path, whole).orderBy("record_id").collect()] == [x[3] for x in rows]
+
+
+def test_chunks_that_do_not_fit(spark, vcf):
+    path, _ = vcf
+    with open(path, "rb") as f:
+        blocks = manifest(f)
+    size = os.path.getsize(path)
+    for chunk in ((65535, blocks[1].coffset << 16), (0, 5 << 16 | 3), (0, size + 10 << 16), (blocks[1].coffset << 16, (blocks[1].coffset << 16) + 65535)):
+        with pytest.raises(Exception, match="position|member"):
+            native.chunk_lines(spark, path, [chunk]).collect()
+    with pytest.raises(FormatError):
+        native.pieces(path, [(10, 5)])
+
+
+def test_references_that_the_index_lacks(spark, vcf, tmp_path):
+    path, _ = vcf
+    index = str(tmp_path / "i")
+    native.build(spark, path, output=index)
+    found = native.find_index(path, index)
+    found.references = [r for r in found.references if r.name == "chr1"]
+    with open(index, "wb") as f:
+        f.write(dump(found))
+    with pytest.raises(Exception, match="not in the index"):
+        native.query_file(spark, path, targets=[parse_region("chr1:1-100")], index=index).collect()
