@@ -54,23 +54,23 @@ def level_offset(level: int) -> int:
 
 
 def reg2bin(start: Column, end: Column, min_shift: int = TBI_SHIFT, depth: int = TBI_DEPTH) -> Column:
-    """The smallest bin that holds [start, end] (1-based inclusive)."""
+    """The smallest bin that holds [start, end] (1-based inclusive); the root beyond the capacity."""
     found = F.lit(0).cast("long")
     for level in range(1, depth + 1):
         shift = min_shift + 3 * (depth - level)
         low = F.shiftright(start - 1, shift)
         found = F.when(low == F.shiftright(end - 1, shift), low + level_offset(level)).otherwise(found)
-    return found
+    return F.when(end > capacity(min_shift, depth), F.lit(0).cast("long")).otherwise(found)
 
 
 def bins_of(start: Column, end: Column, min_shift: int = TBI_SHIFT, depth: int = TBI_DEPTH) -> Column:
-    """Every bin, on all levels, that can hold an interval meeting [start, end]; the end is capped at the capacity."""
+    """Every bin, on all levels, that can hold an interval meeting [start, end]; the root holds all that passes the capacity."""
     last = F.least(end, F.lit(capacity(min_shift, depth)))
     parts = [F.array(F.lit(0).cast("long"))]
     for level in range(1, depth + 1):
         shift = min_shift + 3 * (depth - level)
         parts.append(F.sequence(F.shiftright(start - 1, shift) + level_offset(level), F.shiftright(last - 1, shift) + level_offset(level)))
-    return F.when(start <= last, F.concat(*parts)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(start <= last, F.concat(*parts)).otherwise(parts[0])
 
 
 def bin_level(bin_: Column, depth: int = TBI_DEPTH) -> Column:

@@ -51,6 +51,30 @@ def test_long_interval_in_binned_plan(spark):
     assert sorted((x.ordinal, x.record_id) for x in got.collect()) == [(0, 0), (1, 0), (1, 5)]
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_plans_agree_at_any_coordinate(spark, seed):
+    """Around the borders of bins, trees and capacity, for points, wide and open requests."""
+    r = random.Random(seed)
+    edges = [1, 1 << 14, 1 << 17, 1 << 26, 1 << 29, 1 << 38, 1 << 41, (1 << 41) + (1 << 14), 1 << 50, coords.LONG_MAX - 10]
+    place = lambda: max(1, r.choice(edges) + r.randint(-3, 3))
+    span = lambda: sorted((place(), place())) if r.random() < 0.5 else (lambda p: [p, p + r.randint(0, 4)])(place())
+    rows = [(k, r.choice("ab"), *span()) for k in range(120)] + [(120, "a", (1 << 41) + 5, (1 << 41) + 5)]
+    asked = [(k, r.choice("ab"), *span()) for k in range(60)] + [(60, "a", (1 << 41) + 1, None), (61, "b", 1, None)]
+    asked = [q if k % 7 else (*q[:3], None) for k, q in enumerate(asked)]
+    want = sorted((q[0], x[0]) for q in asked for x in rows if meets(x, q))
+    for strategy in ("broadcast", "binned"):
+        got = overlap_join(frame(spark, rows), frame(spark, asked, "ordinal"), strategy)
+        assert got.columns == ["record_id", "ref", "start", "end", "ordinal"]
+        assert sorted((x.ordinal, x.record_id) for x in got.collect()) == want
+
+
+def test_many_wide_requests(spark):
+    """100,000 requests over whole references: some bins each, not one for each 16 kb."""
+    records = frame(spark, [(k, "a", 1 + k * 100_000_000, 5 + k * 100_000_000) for k in range(21)])
+    requests = spark.range(100_000).select(F.col("id").alias("ordinal"), F.lit("a").alias("ref"), F.lit(1).cast("long").alias("start"), F.when(F.col("id") % 2 == 0, F.lit(1 << 31)).cast("long").alias("end"))
+    assert overlap_join(records, requests, "binned").count() == 21 * 100_000
+
+
 def test_query_modes(spark):
     rows = [(0, "chr1", 7, 8, "x"), (1, "chr1", 20, 35, "y"), (2, "chr2", 5, 5, "z")]
     df = spark.createDataFrame(rows, "record_id long, ref string, start long, end long, raw string")
