@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spanframe.functions.config import FormatError
 from spanframe.functions.regions import Slice
 from spanframe.functions.sequences import aliases, graphic, is_sam_name, wrap
+from spanframe.plans.scratch import stored
 from spanframe.sources.bgzf import Gzi, read_range
 
 
@@ -30,10 +31,11 @@ def build_fai(lines: DataFrame) -> DataFrame:
 
 def stride_violations(lines: DataFrame) -> DataFrame:
     """The lines that break the layout of their sequence's first line: any but the last has to equal it, the last may be shorter."""
-    own = Window.partitionBy("ref").orderBy("line_in_ref")
-    laid = lines.withColumns({"__bases": F.first("bases").over(own), "__width": F.first("width").over(own), "__last": F.lead("line_in_ref").over(own).isNull()})
-    wrong = F.when(F.col("__last"), F.col("bases") > F.col("__bases")).otherwise((F.col("bases") != F.col("__bases")) | (F.col("width") != F.col("__width")))
-    return laid.filter(wrong | (F.col("bases") == 0)).drop("__bases", "__width", "__last")
+    first = lambda c: F.min_by(c, "line_in_ref")
+    layout = lines.groupBy(F.col("ref").alias("__of")).agg(first("bases").alias("__bases"), first("width").alias("__width"), F.max("line_in_ref").alias("__end"))
+    laid = lines.join(layout, F.col("ref") == F.col("__of"))
+    wrong = F.when(F.col("line_in_ref") == F.col("__end"), F.col("bases") > F.col("__bases")).otherwise((F.col("bases") != F.col("__bases")) | (F.col("width") != F.col("__width")))
+    return laid.filter(wrong | (F.col("bases") == 0)).select(*lines.columns)
 
 
 def validate_fai(fai: DataFrame) -> None:
@@ -49,15 +51,24 @@ def validate_fai(fai: DataFrame) -> None:
 def fetch(spark: SparkSession, lines: DataFrame, slices: Sequence[Slice] | DataFrame) -> DataFrame:
     """(ordinal, header, ref, start, end, seq): the asked parts (0-based half-open), in the order asked.
 
-    Lines know the bases before them from their place and the sequence's line length, so only lines in a
-    part's range are joined and cut.
+    Lines know the bases before them from their place and the sequence's line length, so each part is a range of
+    lines. Parts ask for blocks of ``LINES`` lines and meet them in an equal join on (ref, block): a long sequence is
+    spread over its blocks, and only lines in a part's range are cut. Few parts are broadcast.
     """
     if not isinstance(slices, DataFrame):
         slices = spark.createDataFrame([(k, s.header, s.ref, s.start, s.end) for k, s in enumerate(slices)], "ordinal long, header string, ref string, start long, end long")
-    asked = slices.select("ordinal", F.col("ref").alias("__ref"), F.col("start").alias("__from"), F.col("end").alias("__to"))
-    layout = lines.filter("line_in_ref = 0").select(F.col("ref").alias("__of"), F.col("bases").alias("__stride"))
-    placed = lines.join(layout, F.col("ref") == F.col("__of")).withColumn("__at", F.col("line_in_ref") * F.col("__stride"))
-    met = placed.join(asked, (F.col("ref") == F.col("__ref")) & (F.col("__at") < F.col("__to")) & (F.col("__at") + F.col("bases") > F.col("__from")))
+    stride = lines.filter("line_in_ref = 0").select("ref", F.col("bases").alias("__stride"))
+    asked = slices.filter("start < end").join(stride, "ref")
+    line = lambda at: F.floor(at / F.col("__stride")).cast("long")
+    asked = asked.select("ordinal", F.col("ref").alias("__ref"), F.col("start").alias("__from"), F.col("end").alias("__to"), "__stride", line(F.col("start")).alias("__first"), line(F.col("end") - 1).alias("__last"))
+    asked = stored(spark, asked, "parts")
+    low, high = F.floor(F.col("__first") / LINES), F.floor(F.col("__last") / LINES)
+    few = (asked.agg(F.sum(high - low + 1)).first()[0] or 0) <= BROADCAST_PARTS
+    asked = asked.withColumn("__block", F.explode(F.sequence(low, high)))
+    placed = lines.withColumn("__own", F.floor(F.col("line_in_ref") / LINES))
+    inside = (F.col("line_in_ref") >= F.col("__first")) & (F.col("line_in_ref") <= F.col("__last"))
+    met = placed.join(F.broadcast(asked) if few else asked, (F.col("ref") == F.col("__ref")) & (F.col("__own") == F.col("__block")) & inside)
+    met = met.withColumn("__at", F.col("line_in_ref") * F.col("__stride"))
     skip = F.greatest(F.col("__from") - F.col("__at"), F.lit(0))
     part = F.substring(F.col("seq"), (skip + 1).cast("int"), (F.least(F.col("__to") - F.col("__at"), F.col("bases")) - skip).cast("int"))
     joined = met.select("ordinal", "line_in_ref", part.alias("seq")).groupBy("ordinal").agg(
@@ -66,6 +77,8 @@ def fetch(spark: SparkSession, lines: DataFrame, slices: Sequence[Slice] | DataF
     return slices.join(joined, "ordinal", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
+#: Lines that are asked for together, and the asked blocks up to which they are broadcast: some numbers and a name each.
+LINES, BROADCAST_PARTS = 4096, 50_000
 PART = 1 << 20
 
 

@@ -17,6 +17,23 @@ from spanframe.plans.scratch import stored
 PART = "__range"
 
 
+def dealt(df: DataFrame, order: Sequence[Column], name: str = "ranges") -> DataFrame:
+    """``df`` written in ranges of ``order``, which ``PART`` numbers: a key that most rows share lies in several, side by side."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stored(spark, df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()), name)
+
+
+def carried(ranges: DataFrame, key: str, value: Column) -> DataFrame:
+    """(PART, key, carry): the largest ``value`` that the key has in earlier ranges, where it has one.
+
+    Only keys that begin in an earlier range are among them: one a range at most, as ranges follow the key.
+    """
+    tops = ranges.groupBy(PART, key).agg(F.max(value).alias("__top"))
+    before = Window.partitionBy(key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    return tops.select(PART, key, F.max("__top").over(before).alias("carry")).filter("carry IS NOT NULL")
+
+
 def ranked(
     spark: SparkSession,
     df: DataFrame,

@@ -18,6 +18,7 @@ from spanframe.functions import coords, records, sequences
 from spanframe.functions.config import PRESETS, detect
 from spanframe.functions.regions import Request, parse_region, resolve_sequence
 from spanframe.operators import index, islands, overlap, sequence
+from spanframe.plans.scratch import stored
 
 DAY = 86400
 #: 1-based inclusive requests on ``ev``: label, then reference and range; overlapping and repeated ones are meant.
@@ -339,7 +340,7 @@ def seq_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FA_SQL} SELECT doc_id, least(19, length(q)) AS \"start\", CAST(least(80, length(q)) AS BIGINT) AS \"end\", substr(q, 20, 61) AS seq FROM fa WHERE length(q) > 0".replace("least(19, length(q))", "CAST(least(19, length(q)) AS BIGINT)"))
 def seq_fetch_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request 20-80 of every sequence, clipped to it."""
-    rows = fasta(spark, sf_dir)
+    rows = stored(spark, fasta(spark, sf_dir), "fasta")  # read three times
     total = rows.groupBy("ref").agg(F.sum("bases").alias("n"), F.min("ref_ordinal").alias("ordinal"))
     asked = total.select("ordinal", F.lit("").alias("header"), "ref", F.least(F.lit(19), "n").cast("long").alias("start"), F.least(F.lit(80), "n").cast("long").alias("end"))
     return sequence.fetch(spark, rows, asked).select(F.col("ordinal").alias("doc_id"), "start", "end", "seq")
