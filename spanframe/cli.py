@@ -7,12 +7,13 @@ import json
 import os
 import sys
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from contextlib import ExitStack
 
 from spanframe import __version__
 from spanframe.functions.config import FormatError, resolve
 from spanframe.functions.regions import RegionError, parse_region, read_region_file, resolve_sequence
-from spanframe.sources.bgzf import BlockError, Gzi, decode, manifest, read_range
+from spanframe.sources.bgzf import BlockError, Gzi, checked, inflate, manifest, members, read_range
 
 
 def guard_output(output: str | None, inputs: Sequence[str], force: bool) -> None:
@@ -26,15 +27,47 @@ def guard_output(output: str | None, inputs: Sequence[str], force: bool) -> None
         raise FileExistsError(output)
 
 
-def _write(data: bytes, output: str | None) -> None:
+def _write(parts: Iterable[bytes], output: str | None) -> int:
+    """Write parts as they come, to a file that takes its name when it is whole; the number of bytes."""
+    n = 0
     if output is None:
-        sys.stdout.buffer.write(data)
+        for part in parts:
+            n += sys.stdout.buffer.write(part)
         sys.stdout.buffer.flush()
-        return
+        return n
     staged = output + ".staged"
-    with open(staged, "wb") as f:
-        f.write(data)
-    os.replace(staged, output)
+    try:
+        with open(staged, "wb") as f:
+            for part in parts:
+                n += f.write(part)
+        os.replace(staged, output)
+    finally:
+        if os.path.exists(staged):
+            os.remove(staged)
+    return n
+
+
+def _write_all(files: Sequence[tuple[str, bytes]]) -> None:
+    """Several files: none takes its name before all are written."""
+    try:
+        for name, data in files:
+            with open(name + ".staged", "wb") as f:
+                f.write(data)
+        for name, _ in files:
+            os.replace(name + ".staged", name)
+    finally:
+        for name, _ in files:
+            if os.path.exists(name + ".staged"):
+                os.remove(name + ".staged")
+
+
+def _spooled(stack: ExitStack, near: str | None) -> str:
+    """Standard input in a file, beside the output if there is one, as executors have to read it."""
+    f = stack.enter_context(tempfile.NamedTemporaryFile(dir=os.path.dirname(os.path.abspath(near)) if near else None, prefix=".stdin-"))
+    while part := sys.stdin.buffer.read(1 << 20):
+        f.write(part)
+    f.flush()
+    return f.name
 
 
 def _spark():
@@ -51,31 +84,51 @@ def run_bgzip(a: argparse.Namespace) -> dict:
         raise ValueError("a range needs decompress")
     if a.size is not None and a.offset is None:
         raise ValueError("size needs offset")
-    guard_output(a.output, [a.input], a.force)
-    if not modes:
-        from spanframe.sources.archive import write_bgzf
-
-        return {"operation": "compress", "summary": write_bgzf(_spark(), a.input, a.output or a.input + ".gz", a.level, not a.binary, a.force)}
-    with open(a.input, "rb") as f:
+    output = None if a.output == "-" else a.output
+    guard_output(output, [a.input], a.force)
+    with ExitStack() as stack:
+        if a.input == "-":
+            if a.reindex or a.offset is not None:
+                raise ValueError("this needs a named input")
+            source = _spooled(stack, output)
+        else:
+            source = a.input
+        if not modes:
+            return {"operation": "compress", "summary": _compress(stack, a, source, output)}
+        f = stack.enter_context(open(source, "rb"))
         if a.test:
             from spanframe.sources.archive import verify
 
-            return {"operation": "test", "summary": verify(a.input)}
+            return {"operation": "test", "summary": verify(source)}
         if a.reindex:
-            decode(f)
-            f.seek(0)
-            blocks = manifest(f)
-            out = a.output or a.input + ".gzi"
+            out = output or a.input + ".gzi"
             guard_output(out, [a.input], a.force)
-            _write(Gzi.of(blocks).to_bytes(), out)
+            for _, member in checked(members(f)):
+                inflate(member)
+            blocks = manifest(f)
+            _write([Gzi.of(blocks).to_bytes()], out)
             return {"operation": "reindex", "summary": {"blocks": len(blocks)}}
         if a.offset is not None:
-            with open(a.index_input or a.input + ".gzi", "rb") as g:
-                data = read_range(f, Gzi.parse(g.read()), a.offset, a.size)
+            index = a.index_input or a.input + ".gzi"
+            guard_output(output, [index], a.force)
+            with open(index, "rb") as g:
+                parts = [read_range(f, Gzi.parse(g.read()), a.offset, a.size)]
         else:
-            data = decode(f)
-    _write(data, a.output)
-    return {"operation": "decompress", "summary": {"bytes_out": len(data)}}
+            parts = (inflate(member) for _, member in checked(members(f)))
+        return {"operation": "decompress", "summary": {"bytes_out": _write(parts, output)}}
+
+
+def _compress(stack: ExitStack, a: argparse.Namespace, source: str, output: str | None) -> dict:
+    """A named input without an output gets ``.gz`` beside it; standard input goes to standard output."""
+    from spanframe.sources.archive import write_bgzf
+
+    if output is None and (a.input == "-" or a.output == "-"):
+        folder = stack.enter_context(tempfile.TemporaryDirectory())
+        summary = write_bgzf(_spark(), source, f"{folder}/out.gz", a.level, not a.binary)
+        with open(f"{folder}/out.gz", "rb") as f:
+            _write(iter(lambda: f.read(1 << 20), b""), None)
+        return summary
+    return write_bgzf(_spark(), source, output or a.input + ".gz", a.level, not a.binary, a.force)
 
 
 def run_tabix(a: argparse.Namespace) -> dict:
@@ -83,29 +136,38 @@ def run_tabix(a: argparse.Namespace) -> dict:
 
     if a.action == "list":
         names = native.references(a.data, a.index)
-        _write("".join(n + "\n" for n in names).encode("latin-1"), a.output)
+        _write([(n + "\n").encode("latin-1") for n in names], a.output)
         return {"operation": "list", "summary": {"references": len(names)}}
     if a.action == "build":
         config = resolve(a.preset, sequence=a.sequence, begin=a.begin, end=a.end, zero_based=a.zero_based, comment=a.comment, skip=a.skip)
         if a.min_shift is not None and not a.csi:
             raise ValueError("a minimum shift needs --csi")
-        guard_output(a.output, [a.data], a.force)
+        guard_output(a.output, [a.data, a.data + ".gzi"], a.force)
         return {"operation": "build", "summary": native.build(_spark(), a.data, config, a.csi, a.min_shift or 14, a.output, a.force)}
     regions = read_region_file(a.regions_file) if a.regions_file else []
     regions += [parse_region(r) for r in a.regions]
     targets = read_region_file(a.targets_file) if a.targets_file else None
     if not regions and targets is None and not a.header_only:
         raise RegionError("nothing is asked for")
-    guard_output(a.output, [x for x in (a.data, a.index, a.regions_file, a.targets_file) if x], a.force)
-    spark, out = _spark(), []
-    if a.print_header or a.header_only:
-        out += native.header(a.data, native.find_index(a.data, a.index).config)
-    if not a.header_only:
-        asked = regions if regions or a.regions_file else None
-        found = native.query_file(spark, a.data, asked, targets, a.index, a.unique, a.separate_regions)
-        out += [r["raw"] for r in found.select("raw").toLocalIterator()]
-    _write("".join(x + "\n" for x in out).encode("latin-1"), a.output)
-    return {"operation": "query", "summary": {"lines": len(out)}}
+    sidecars = [a.index] if a.index else [a.data + ".tbi", a.data + ".csi"]
+    guard_output(a.output, [x for x in (a.data, *sidecars, a.regions_file, a.targets_file) if x], a.force)
+    spark, n = _spark(), 0
+
+    def lines() -> Iterable[bytes]:
+        nonlocal n
+        if a.print_header or a.header_only:
+            for line in native.header(a.data, native.find_index(a.data, a.index).config):
+                n += 1
+                yield (line + "\n").encode("latin-1")
+        if not a.header_only:
+            asked = regions if regions or a.regions_file else None
+            found = native.query_file(spark, a.data, asked, targets, a.index, a.unique, a.separate_regions)
+            for r in found.select("raw").toLocalIterator():
+                n += 1
+                yield (r["raw"] + "\n").encode("latin-1")
+
+    size = _write(lines(), a.output)
+    return {"operation": "query", "summary": {"lines": n, "bytes_out": size}}
 
 
 def run_faidx(a: argparse.Namespace) -> dict:
@@ -114,15 +176,29 @@ def run_faidx(a: argparse.Namespace) -> dict:
 
     spark = _spark()
     if a.action == "build":
+        out, gzi = a.output or a.reference + ".fai", a.gzi_output or a.reference + ".gzi"
+        with open(a.reference, "rb") as f:
+            packed = f.read(4) == b"\x1f\x8b\x08\x04"
+        if a.gzi_output and not packed:
+            raise ValueError("a block index needs a block-compressed reference")
+        guard_output(out, [a.reference], a.force)
+        if packed:
+            guard_output(gzi, [a.reference, out], a.force)
+            if os.path.abspath(gzi) == os.path.abspath(out):
+                raise ValueError("both indexes have one name")
         lines = read_fasta(spark, a.reference)
         bad = sequence.stride_violations(lines).orderBy("ref_ordinal", "line_in_ref").first()
         if bad:
             raise FormatError(f"line {bad['line_in_ref']} of {bad['ref']} breaks the line length")
-        out = a.output or a.reference + ".fai"
-        guard_output(out, [a.reference], a.force)
         text = fai_text(sequence.build_fai(lines))
-        _write(text.encode(), out)
-        return {"operation": "build", "summary": {"sequences": text.count("\n")}}
+        files, summary = [(out, text.encode())], {"sequences": text.count("\n"), "bases": sum(int(x.split("\t")[1]) for x in text.splitlines()), "compressed": packed}
+        if packed:
+            with open(a.reference, "rb", buffering=0) as f:
+                index = Gzi.of(manifest(f, "reference"))
+            files.append((gzi, index.to_bytes()))
+            summary["gzi_entries"] = len(index.entries)
+        _write_all(files)
+        return {"operation": "build", "summary": summary}
     fai = read_fai(spark, a.fai or a.reference + ".fai")
     sequence.validate_fai(fai)
     lengths = {r["name"]: r["length"] for r in fai.toLocalIterator()}
@@ -131,7 +207,10 @@ def run_faidx(a: argparse.Namespace) -> dict:
         with open(a.region_file, encoding="utf-8") as f:
             asked = [x.rstrip("\r\n") for x in f]
     asked += a.regions
-    guard_output(a.output, [a.reference, a.region_file or a.reference], a.force)
+    if not asked:
+        raise RegionError("no region is asked for")
+    sidecars = [a.fai or a.reference + ".fai", a.gzi or a.reference + ".gzi"]
+    guard_output(a.output, [a.reference, *sidecars, a.region_file or a.reference], a.force)
     with open(a.reference, "rb") as f:
         packed = f.read(4) == b"\x1f\x8b\x08\x04"
     gzi = None
@@ -140,8 +219,8 @@ def run_faidx(a: argparse.Namespace) -> dict:
             gzi = f.read()
     found = sequence.fetch_indexed(spark, a.reference, fai, [resolve_sequence(r, lengths) for r in asked], gzi)
     rows = sequence.to_fasta(found, fai, a.length).orderBy("ordinal").toLocalIterator()
-    _write("".join(r["text"] + "\n" for r in rows).encode("latin-1"), a.output)
-    return {"operation": "query", "summary": {"regions": len(asked)}}
+    size = _write(((r["text"] + "\n").encode("latin-1") for r in rows), a.output)
+    return {"operation": "query", "summary": {"regions": len(asked), "bytes_out": size}}
 
 
 def run_dict(a: argparse.Namespace) -> dict:
@@ -158,7 +237,7 @@ def run_dict(a: argparse.Namespace) -> dict:
         path, uri = a.reference, a.uri or "file://" + os.path.realpath(a.reference)
     spark = _spark()
     text = dictionary_text(spark, read_fasta(spark, path), not a.no_header, alias=a.alias, uri=uri, assembly=a.assembly, species=a.species)
-    _write(text.encode(), a.output)
+    _write([text.encode()], a.output)
     return {"operation": "dict", "summary": {"sequences": text.count("@SQ")}}
 
 
@@ -175,7 +254,7 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     p = common(commands.add_parser("bgzip"))
-    p.add_argument("input")
+    p.add_argument("input", nargs="?", default="-", help="a file; - or nothing for standard input")
     p.add_argument("-d", "--decompress", action="store_true")
     p.add_argument("-t", "--test", action="store_true")
     p.add_argument("-r", "--reindex", action="store_true")
@@ -217,6 +296,7 @@ def parser() -> argparse.ArgumentParser:
     faidx = commands.add_parser("faidx").add_subparsers(dest="action", required=True)
     p = common(faidx.add_parser("build"))
     p.add_argument("reference")
+    p.add_argument("--gzi-output", help="the block index of a block-compressed reference; beside it if not given")
     p.set_defaults(run=run_faidx)
     p = common(faidx.add_parser("query"))
     p.add_argument("reference")

@@ -6,12 +6,15 @@ single base 20, here it is 20 to the end.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from spanframe.functions.coords import LONG_MAX
 
+log = logging.getLogger("spanframe")
+
 
 class RegionError(ValueError):
     """A request can't be read or names nothing."""
@@ -125,7 +128,7 @@ def resolve_sequence(request: str, lengths: Mapping[str, int]) -> Slice:
             name, span = whole, None
     if name not in lengths:
         raise RegionError(f"no sequence for {request}")
-    start, end = 0, lengths[name]
+    start, end, beyond = 0, lengths[name], False
     if span is not None:
         low, dash, high = span.partition("-")
         first = _free(low, request) if low else 1
@@ -138,5 +141,8 @@ def resolve_sequence(request: str, lengths: Mapping[str, int]) -> Slice:
             if first > last:
                 raise RegionError(f"{request} ends before it begins")
             end = min(end, last)
+            beyond = last > lengths[name]
         start = min(first - 1, lengths[name])
+        if beyond or first - 1 > lengths[name]:
+            log.warning("%s reaches past the end of its sequence and is cut there", request)
     return Slice(request, name, start, max(start, end))

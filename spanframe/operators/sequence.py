@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions.config import FormatError
+from spanframe.functions.coords import LONG_MAX
 from spanframe.functions.regions import Slice
 from spanframe.functions.sequences import aliases, graphic, is_sam_name, wrap
 from spanframe.plans.scratch import stored
@@ -43,6 +44,12 @@ def validate_fai(fai: DataFrame) -> None:
     bad = fai.filter((F.col("length") <= 0) | (F.col("line_bases") <= 0) | (F.col("line_bases") > F.col("length")) | ~(F.col("line_width") - F.col("line_bases")).between(0, 2)).first()
     if bad:
         raise FormatError(f"invalid index row for {bad['name']}")
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    # two factors of 19 digits fit in 38; a width that needs more is beyond any file by itself
+    place = exact("offset") + F.expr("(length - 1) div line_bases").cast("decimal(19,0)") * F.col("line_width").cast("decimal(19,0)") + F.expr("(length - 1) % line_bases").cast("decimal(19,0)")
+    far = fai.filter(place.isNull() | (place > F.lit(str(LONG_MAX)).cast("decimal(38,0)"))).first()
+    if far:
+        raise FormatError(f"the last base of {far['name']} lies beyond any file")
     twice = fai.groupBy("name").count().filter("count > 1").first()
     if twice:
         raise FormatError(f"{twice['name']} is indexed twice")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from spanframe.sources.bgzf import EOF_BLOCK, Block, BlockError, Gzi, cut, deflate, inflate, manifest, members, usize
+from spanframe.sources.bgzf import EOF_BLOCK, Block, BlockError, Gzi, cuts, deflate, inflate, manifest, members, usize
 
 BLOCKS_A_TASK = 1024
 BLOCK_SCHEMA = "block_no long, coffset long, csize long, uoffset long, usize long"
@@ -209,8 +209,9 @@ def range_of(blocks_: DataFrame, offset: int, size: int | None = None) -> DataFr
 def write_bgzf(spark: SparkSession, data: bytes | str, path: str, level: int = 6, text: bool = True, force: bool = False) -> dict[str, int]:
     """Write content (or the file at a path) as a block archive with a block index beside it.
 
-    Where a text block ends depends on the one before, so the cuts are planned in one pass over the source; blocks
-    are deflated in parallel and written in their order. Both files are staged and renamed together.
+    Where a text block ends depends on the one before, so the cuts are planned in one pass over the source, which
+    keeps two numbers a block; tasks read and deflate blocks, which are written in their order as they come. Both
+    files are staged and renamed together.
     """
     if not 0 <= level <= 9:
         raise ValueError("compression levels are 0 to 9")
@@ -221,21 +222,33 @@ def write_bgzf(spark: SparkSession, data: bytes | str, path: str, level: int = 6
     if isinstance(data, str):
         if os.path.exists(path) and os.path.samefile(data, path):
             raise ValueError("input and output are the same file")
+        source: str | bytes = data
         with open(data, "rb") as f:
-            data = f.read()
-    payloads = list(cut(data, text))
+            planned = list(cuts(f, text))
+    else:
+        source, planned = data, list(cuts(io.BytesIO(data), text))
     n_in, n_out, found = 0, 0, []
-    tasks = max(1, min(len(payloads), spark.sparkContext.defaultParallelism * 4))
-    source = spark.createDataFrame(pa.table({"n": pa.array(range(len(payloads)), pa.int64()), "p": pa.array(payloads, pa.binary())})).repartitionByRange(tasks, "n")
+    tasks = max(1, min(len(planned), max(spark.sparkContext.defaultParallelism * 4, len(planned) // 256)))
+    # a file's tasks read their own parts of it
+    parts = [(k, at, size, None if isinstance(source, str) else source[at : at + size]) for k, (at, size) in enumerate(planned)]
+    asked = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*parts) if parts else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["n", "at", "size", "p"])).repartitionByRange(tasks, "n")
+    name_in = source if isinstance(source, str) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([deflate(p, level) for p in batch.column(1).to_pylist()], pa.binary()), pa.array([len(p) for p in batch.column(1).to_pylist()], pa.int64())], names=["n", "m", "size"])
+        with open(name_in, "rb") if name_in else io.BytesIO() as f:
+            for batch in batches:
+                packed = []
+                for at, size, given in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                    if given is None:
+                        f.seek(at)
+                        given = f.read(size)
+                    packed.append(deflate(given, level))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["n", "m", "size"])
 
     staged = [f"{path}.staged", f"{index}.staged"]
     try:
         with open(staged[0], "wb") as out:
-            for row in source.mapInArrow(run, "n long, m binary, size long").orderBy("n").toLocalIterator():
+            for row in asked.mapInArrow(run, "n long, m binary, size long").orderBy("n").toLocalIterator():
                 found.append(Block(row["n"], n_out, len(row["m"]), n_in, row["size"]))
                 out.write(row["m"])
                 n_in, n_out = n_in + row["size"], n_out + len(row["m"])

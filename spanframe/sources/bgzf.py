@@ -8,6 +8,7 @@ wants the last member to be empty.
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from bisect import bisect_right
@@ -198,17 +199,24 @@ def read_range(source: BinaryIO, gzi: Gzi, offset: int, size: int | None = None)
     return b"".join(out)
 
 
-def cut(data: bytes, text: bool = True) -> Iterator[bytes]:
-    """Payloads of blocks. A full text block ends after its last line end, if it has one; the rest moves on."""
+def cuts(source: BinaryIO, text: bool = True) -> Iterator[tuple[int, int]]:
+    """(offset, size) of the payloads of blocks. A full text block ends after its last line end, if it has one; the rest moves on."""
     at = 0
-    while at < len(data):
-        part = data[at : at + PAYLOAD]
-        if text and len(part) == PAYLOAD:
-            line = part.rfind(b"\n")
-            if line >= 0:
-                part = part[: line + 1]
-        yield part
-        at += len(part)
+    while True:
+        source.seek(at)
+        part = _exactly(source, PAYLOAD)
+        if not part:
+            return
+        size = len(part)
+        if text and size == PAYLOAD:
+            size = part.rfind(b"\n") + 1 or size
+        yield at, size
+        at += size
+
+
+def cut(data: bytes, text: bool = True) -> Iterator[bytes]:
+    """The payloads of content in memory."""
+    return (data[at : at + size] for at, size in cuts(io.BytesIO(data), text))
 
 
 def deflate(payload: bytes, level: int = 6) -> bytes:

@@ -17,6 +17,10 @@ from spanframe.sources.bgzf import inflate, members
 from spanframe.sources.text import peek, text_lines
 
 
+#: Bytes that a row of an index may have.
+MOST_LINE = 1 << 20
+
+
 def fasta_lines(spark: SparkSession, lines: DataFrame, ends_in_newline: bool = True) -> DataFrame:
     """(ref, ref_ordinal, line_in_ref, byte_offset, bases, width, terminated, seq) from (record_id, raw) in file order.
 
@@ -87,7 +91,10 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """An index file of five columns."""
     from spanframe.functions.coords import uint
 
-    rows = text_lines(spark, path).select("record_id", F.split("raw", "\t").alias("x"))
+    lines = text_lines(spark, path)
+    if lines.filter(F.octet_length("raw") >= MOST_LINE).first():
+        raise FormatError("a row of an index is longer than 1 MiB")
+    rows = lines.select("record_id", F.split(F.regexp_replace("raw", r"\r\z", ""), "\t").alias("x"))
     if rows.filter(F.size("x") != 5).first() or rows.isEmpty():
         raise FormatError("an index has rows of exactly five columns")
     names = ("length", "offset", "line_bases", "line_width")

@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import io
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,7 +139,7 @@ def test_text_lines_over_splits(spark, tmp_path):
     assert [r.raw for r in got] == rows and [r.line_no for r in got] == list(range(1, 5001))
 
 
-def test_command_line(spark, fasta, tmp_path, capfd):
+def test_command_line(spark, fasta, tmp_path, capfd, caplog):
     path, fai = fasta
     bed = tmp_path / "a.bed"
     bed.write_text("#h\nchr1\t0\t10\talpha\nchr1\t10\t25\tbeta\nchr2\t2\t19\tgamma\n")
@@ -151,7 +153,7 @@ def test_command_line(spark, fasta, tmp_path, capfd):
     assert run("tabix", "build", gz) == 0
     out = tmp_path / "o"
     assert run("--json", "tabix", "query", gz, "chr2", "chr1:5", "-o", str(out)) == 0
-    assert json.loads(capfd.readouterr().out.splitlines()[-1])["report"]["summary"] == {"lines": 2}
+    assert json.loads(capfd.readouterr().out.splitlines()[-1])["report"]["summary"] == {"lines": 2, "bytes_out": out.stat().st_size}
     assert out.read_text() == "chr2\t2\t19\tgamma\nchr1\t0\t10\talpha\n"
     assert run("tabix", "list", gz, "-o", str(out), "-f") == 0 and out.read_text() == "chr1\nchr2\n"
     assert run("tabix", "query", gz, "--header-only", "-o", str(out), "-f") == 0 and out.read_text() == "#h\n"
@@ -163,6 +165,65 @@ def test_command_line(spark, fasta, tmp_path, capfd):
     with open(path + ".fai") as f:
         assert f.read() == fai
     assert run("faidx", "query", path, "MT:1-5", "-o", str(out), "-f") == 0 and out.read_text() == f">MT:1-5\n{bases(5)}\n"
+    # outputs may not be sidecars that are read without being named
+    for command in (("tabix", "query", gz, "chr1", "-o", gz + ".tbi", "-f"), ("faidx", "query", path, "MT", "-o", path + ".fai", "-f")):
+        assert run(*command) == 1
+    assert run("faidx", "query", path) == 1 and run("bgzip", "-r", "-") == 1
+    assert run("faidx", "query", path, "MT:1-99999999", "-o", str(out), "-f") == 0 and "past the end" in caplog.text
     with pytest.raises(SystemExit) as e:
         run("tabix", "query")
     assert e.value.code == 2
+
+
+class Stdin:
+    def __init__(self, data):
+        self.buffer = io.BytesIO(data)
+
+
+def test_command_line_streams(spark, tmp_path, monkeypatch, capfdbinary):
+    data = b"".join(b"row %d\n" % k for k in range(40_000))
+    out = str(tmp_path / "o.gz")
+    monkeypatch.setattr("sys.stdin", Stdin(data))
+    assert cli.main(["bgzip", "-o", out]) == 0
+    with open(out, "rb") as f:
+        packed = f.read()
+    assert packed == encode(data) and sorted(os.listdir(tmp_path)) == ["o.gz", "o.gz.gzi"]
+    monkeypatch.setattr("sys.stdin", Stdin(packed))
+    capfdbinary.readouterr()
+    assert cli.main(["bgzip", "-d", "-"]) == 0 and capfdbinary.readouterr().out == data
+    monkeypatch.setattr("sys.stdin", Stdin(data))
+    assert cli.main(["bgzip", "-"]) == 0 and capfdbinary.readouterr().out == packed
+    monkeypatch.setattr("sys.stdin", Stdin(packed[:-40]))
+    assert cli.main(["bgzip", "-t", "-"]) == 1
+
+
+def test_compressed_reference(spark, fasta, tmp_path):
+    """One command makes both indexes of a compressed reference, with empty blocks in it too; a query then needs nothing else."""
+    path, fai = fasta
+    with open(path, "rb") as f:
+        data = f.read()
+    packed, run = str(tmp_path / "r.fa.gz"), lambda *a: cli.main(list(a))
+    with open(packed, "wb") as f:
+        f.write(encode(data[:50], text=False)[:-28] + EOF_BLOCK + encode(data[50:], text=False))
+    assert run("faidx", "build", packed) == 0
+    with open(packed + ".fai") as f:
+        assert f.read() == fai
+    with open(packed + ".gzi", "rb") as f:
+        assert len(Gzi.parse(f.read(), "reference").entries) == 1
+    for request in ("MT:1-5", "MT:3-40"):
+        a, b = str(tmp_path / "a"), str(tmp_path / "b")
+        assert run("faidx", "query", packed, request, "-o", a, "-f") == run("faidx", "query", path, request, "-o", b, "-f") == 0
+        with open(a) as x, open(b) as y:
+            assert x.read() == y.read()
+    assert run("faidx", "build", packed) == 1  # both are there
+    assert run("faidx", "build", path, "-f", "--gzi-output", str(tmp_path / "x")) == 1
+
+
+@pytest.mark.parametrize("row", ["a\t9223372036854775807\t10\t1\t2", "a\t100\t9223372036854775800\t60\t61"])
+def test_index_rows_beyond_any_file(spark, tmp_path, row):
+    (tmp_path / "x.fai").write_text(row + "\n")
+    with pytest.raises(FormatError):
+        sequence.validate_fai(read_fai(spark, str(tmp_path / "x.fai")))
+    (tmp_path / "y.fai").write_text("a" * (1 << 20) + "\t1\t1\t1\t2\n")
+    with pytest.raises(FormatError):
+        read_fai(spark, str(tmp_path / "y.fai"))
