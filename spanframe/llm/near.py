@@ -207,7 +207,8 @@ def late_pairs(spark: SparkSession, reps: DataFrame, tokens: DataFrame, roots: D
     rooted = tokens.join(roots.withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
     rooted = stored(spark, rooted, "rooted")
     mixed = stored(spark, rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h"), "mixed")
-    full = stored(spark, rooted.join(mixed, "h").join(reps.select("no", *SKETCHES), "no"), "asked")
+    full = rooted.join(mixed, "h").join(reps.select("no", "n", *SKETCHES), "no")
+    full = stored(spark, full.withColumn("near", F.col("place") % 2 == 1).withColumn("pos", F.shiftright("place", 1)), "asked")
     shorter = side(full.filter("near"), "a", "root", "pos")
     longer = side(full, "b", "root", "pos")
     first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("noa") < F.col("nob")))
@@ -252,8 +253,10 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     some = reps.filter("n > 0")
     # the shorter text of a pair needs fewer of its first shingles than the longer one
     near = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * part) / (part + whole)) + 1
-    every = some.select("no", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "no", "n", "pos", near.alias("near"))
-    shared = stored(spark, every.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.max("near").alias("near")).filter("times > 1 AND near").select("h"), "shared")
+    # three numbers a token: its place in the set, and in the last bit whether the shorter text's are enough
+    place = (F.col("pos") * 2 + near.cast("int")).alias("place")
+    every = some.select("no", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "no", place)
+    shared = stored(spark, every.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("place") % 2).alias("near")).filter("times > 1 AND near = 1").select("h"), "shared")
     tokens = stored(spark, every.join(shared, "h"), "tokens")
     check = lambda pairs: similar(spark, docs, reps, pairs, key, text, shingle, part, whole)
     early = check(early_pairs(spark, some, tokens, part, whole))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from spanframe.llm.columns import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, SEED, HELD_CHARS, KEPT_CHARS = 2, 17, 600_000, 600_000
+SAMPLES, SEED, HELD_CHARS, KEPT_CHARS = 2, 17, 300_000, 300_000
 SPACE, LITERAL = "▁", "\ud800"  # the second stands for a literal U+2581: no text holds a surrogate
 STOP = 0xDFFF
 DENSE = 128

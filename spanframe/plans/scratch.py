@@ -23,9 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: The tables that this process has written and not released.
+_made: list[str] = []
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back; ``bucket`` partitions it by a column."""
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(bucket) if bucket else df.write
+    _made.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the tables written after the mark ``since``, but for those that ``kept`` read: nothing else may need them any more."""
+    used = {name.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in kept for name in df.inputFiles()}
+    gone = [path for path in _made[since:] if path.split(":", 1)[-1].lstrip("/") not in used]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
