@@ -43,8 +43,11 @@ def mark() -> int:
 
 def release(spark: SparkSession, since: int, *kept: DataFrame) -> None:
     """Delete the tables written after the mark ``since``, but for those that ``kept`` read: nothing else may need them any more."""
-    used = {name.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in kept for name in df.inputFiles()}
-    gone = [path for path in _made[since:] if path.split(":", 1)[-1].lstrip("/") not in used]
+    bare = lambda path: path.split(":", 1)[-1].lstrip("/")
+    used = {bare(name.rsplit("/", 1)[0]) for df in kept for name in df.inputFiles()} & set(map(bare, _made))
+    if len(used) < len(kept):
+        return  # what is kept can't be told from the rest
+    gone = [path for path in _made[since:] if bare(path) not in used]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -31,3 +31,26 @@ def test_stored_goes_to_the_named_folder(spark):
     df = stored(spark, spark.range(5), "five")
     assert df.count() == 5 and all(shared_dir(spark).removeprefix("file:") in f for f in df.inputFiles())
     assert stored(spark, spark.range(0), "none").count() == 0
+
+
+def test_release_keeps_what_is_read(spark):
+    from spanframe.plans import scratch
+
+    older = scratch.stored(spark, spark.range(3), "older")
+    begun = scratch.mark()
+    inner, kept = scratch.stored(spark, spark.range(5), "inner"), scratch.stored(spark, spark.range(7), "kept")
+    scratch.release(spark, begun, kept)
+    assert older.count() == 3 and kept.count() == 7
+    with pytest.raises(Exception):
+        inner.count()
+    scratch.release(spark, begun)
+    with pytest.raises(Exception):
+        kept.count()
+    assert older.count() == 3
+
+
+def test_split_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(k, "x", "y", "z") for k in range(50)], "k long, __place string, __word string, __BITS string")
+    maybe, others = split(spark, df, F.col("k"), df.filter("k % 7 = 0").select("k"), F.col("k"))
+    assert maybe.columns == others.columns == df.columns
+    assert {r.k for r in maybe.collect()} >= set(range(0, 50, 7)) and maybe.count() + others.count() == 50
