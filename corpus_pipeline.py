@@ -9,7 +9,7 @@ from spanframe.llm.mixing import apply_mix
 from spanframe.llm.near import keep_one
 from spanframe.llm.quality import keep_good
 from spanframe.llm.segments import sample
-from spanframe.plans.scratch import stored
+from spanframe.plans.scratch import mark, release, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage wrote on its way goes once its result is written."""
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES:
         docs = stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        release(spark, begun, docs)
     return docs

@@ -25,5 +25,5 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name, "-1").rstrip("b")) <= size:
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= size:
         spark.conf.set(name, f"{size}b")

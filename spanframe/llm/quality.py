@@ -8,8 +8,9 @@ and the next one grows. The list leaves Python as one Spark conditional expressi
 
 Defined cases: a null or empty text has no words and fails the base rules; labels
 that are null, missing or of one class teach nothing, and the base rules decide
-alone; an empty table gives no rows; rows that repeat are judged alike; other
-columns pass through ``keep_good``.
+alone; an empty table gives no rows; rows that repeat are judged alike; texts of any
+length are counted whole; other columns pass through ``keep_good``, whatever their names;
+a key that repeats counts once in the sample of labels.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm.columns import small_batches
+from spanframe.plans.bitmap import unused
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks")
 BLANKS, SYMBOLS, MARKS = " \t\n\v\f\r", "#*$%&|<>", "!?"
@@ -176,7 +178,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "d
     n = labels.count()
     few = labels.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < min(1 << 20, (max_labelled << 20) // max(n, 1)))
     # at most about max_labelled pairs of a key and a label: small by construction
-    rows = docs.select(key, text).join(F.broadcast(few), key).withColumn("s", statistics(F.col(text))).select("__label", "s")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few.select(F.col(key).alias("k"), "__label")), "k")
+    rows = rows.groupBy("k").agg(F.min("t").alias("t"), F.min("__label").alias("__label")).withColumn("s", statistics(F.col("t"))).select("__label", "s")
     x = features(F.col("s"))
     found = rows.select(F.col("__label").cast("double").alias("__label"), *(c.cast("double").alias(k) for k, c in x.items())).toPandas()
     found = found.sort_values(list(found.columns), kind="stable")  # the same order on every run
@@ -190,17 +193,22 @@ def base_failed(s: Column) -> Column:
     return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
-def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with ``__s`` (statistics), ``__base`` (base rules failed) and ``__rule`` (first learned rule, or 0)."""
+VERDICT = ("__s", "__base", "__rule")
+
+
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, str, str] = VERDICT, **options) -> DataFrame:
+    """``docs`` with three columns of ``names``: statistics, whether the base rules failed, and the first learned rule that holds (or 0)."""
     small_batches(spark)
     rules = train(spark, docs, labels, key, text, **options)
-    s = F.col("__s")
-    return docs.withColumn("__s", statistics(F.col(text))).withColumns({"__base": base_failed(s), "__rule": expression(rules, features(s))})
+    counts_, base, rule = names
+    s = F.col(counts_)
+    return docs.withColumn(counts_, statistics(F.col(text))).withColumns({base: base_failed(s), rule: expression(rules, features(s))})
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor a learned rule rejects."""
-    return judge(spark, docs, labels, **options).filter(~F.col("__base") & (F.col("__rule") == 0)).select(*(f"`{c}`" for c in docs.columns))
+    names = tuple(unused(docs, *VERDICT))
+    return judge(spark, docs, labels, names=names, **options).filter(~F.col(names[1]) & (F.col(names[2]) == 0)).drop(*names)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

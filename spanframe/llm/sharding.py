@@ -9,20 +9,23 @@ partitions; neither groups nor documents ever come together in one place.
 
 Defined cases: null texts form one group of size 1 a row, equal to no text; an
 empty table gives no rows; repeated rows stay with their group; a group larger
-than a fair share stays whole, and the other shards share the rest.
+than a fair share stays whole, and the other shards share the rest; a text of any length
+is a size and a hash; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice, tee
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.plans.ordering import ranked
-from spanframe.plans.scratch import stored
+from spanframe.plans.scratch import shared_dir, stored
 
 
 def lpt(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
@@ -52,6 +55,25 @@ def lpt(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int,
         yield size, given
 
 
+PLANNED = 50_000  # rows of the plan that the driver holds at once
+
+
+def planned(spark: SparkSession, classes: Iterable[tuple[int, int, int]], shards: int) -> DataFrame:
+    """(load, first, ends) for (size, count, first place), the largest size first: the places at which each shard's groups of a size end, from its first.
+
+    The heap runs as the sizes stream by; what it says is written in parts.
+    """
+    path = f"{shared_dir(spark)}/scratch/plan-{uuid.uuid4().hex}"
+    kinds = pa.schema([("load", pa.int64()), ("first", pa.int64()), ("ends", pa.list_(pa.int64()))])
+    classes, again = tee(classes)
+    rows = ((size, first, list(accumulate(given))) for (_, _, first), (size, given) in zip(again, lpt(((size, n) for size, n, _ in classes), shards)))
+    spark.createDataFrame(kinds.empty_table()).write.parquet(path)
+    while part := list(islice(rows, PLANNED)):
+        table = pa.table([pa.array(c, t) for c, t in zip(zip(*part), kinds.types)], schema=kinds)
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+    return spark.read.schema("load long, first long, ends array<long>").parquet(path)
+
+
 def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, size, text_crc32, shard, slot) for every row of ``docs``; slots are gapless in each shard."""
     rows = docs.select(
@@ -64,19 +86,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, key: str = "doc
     groups = rows.groupBy("together").agg(F.sum("size").alias("load"))
     groups = stored(spark, ranked(spark, groups, [F.col("load").desc(), F.col("together")], "place"), "groups")
     classes = groups.groupBy("load").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    found = [(r.load, r.n, r.first) for r in classes.orderBy(F.desc("load")).toLocalIterator()]
-    given = {size: n for size, n in lpt(((size, n) for size, n, _ in found), shards)}
-    ends, first = [], []
-    for size, _, start in found:
-        total, run = 0, []
-        for n in given[size]:
-            total += n
-            run.append(total)
-        ends.append(run)
-        first.append(start)
-    plan = spark.createDataFrame(
-        pa.table({"load": pa.array([x[0] for x in found], pa.int64()), "first": pa.array(first, pa.int64()), "ends": pa.array(ends, pa.list_(pa.int64()))})
-    )
+    plan = planned(spark, ((r.load, r.n, r.first) for r in classes.orderBy(F.desc("load")).toLocalIterator()), shards)
     placed = groups.join(plan, "load").select("together", F.size(F.filter("ends", lambda end: end <= F.col("place") - F.col("first"))).alias("shard"))
     rows = rows.join(placed, "together").select("key", "size", "text_crc32", "shard")
     rows = ranked(spark, rows, [F.col("shard"), F.col("key"), F.col("size"), F.col("text_crc32")], "place")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from spanframe.llm.columns import small_batches
 from spanframe.llm.components import components
-from spanframe.plans.bitmap import split
+from spanframe.plans.bitmap import split, unused
 from spanframe.plans.scratch import stored
 
 SHINGLE = 3
@@ -119,10 +119,11 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
 
 def keep_named(spark: SparkSession, docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose class in ``found`` (key, component) is named after another key."""
-    gone = found.filter(F.col("component") != F.col(key)).select(F.col(key).alias("__gone"))
+    (name,) = unused(docs, "__gone")
+    gone = found.filter(F.col("component") != F.col(key)).select(F.col(key).alias(name))
     gone = stored(spark, gone.distinct(), "gone")
-    maybe, others = split(spark, docs, F.col(key), gone, F.col("__gone"))
-    return maybe.join(gone, F.col(key) == F.col("__gone"), "left_anti").unionByName(others)
+    maybe, others = split(spark, docs, F.col(key), gone, F.col(name))
+    return maybe.join(gone, F.col(key) == F.col(name), "left_anti").unionByName(others)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

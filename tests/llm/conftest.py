@@ -23,7 +23,7 @@ def hard(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(HARD, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
-    for name in ("size", "shard", "key", "k", "t", "h", "fp", "component", "sample", "target", "copies", "blob", "found", "gone", "place", "row", "n", "__key"):
+    for name in ("size", "shard", "key", "k", "t", "h", "fp", "component", "sample", "target", "copies", "blob", "found", "gone", "place", "row", "n", "__key", "__place", "__word", "__bits", "__gone", "__s", "__base", "__rule", "__label", "__range", "__n", "id", "no", "fp_", "prefix", "root", "epochs", "cut", "extra", "tie", "sample_key", "copy", "spans", "base", "items", "digest", "s0"):
         df = df.withColumn(name, F.lit("x"))
     return df
 
