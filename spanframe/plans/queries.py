@@ -412,9 +412,10 @@ def comment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINE_SQL} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no FROM line WHERE line_no < coalesce((SELECT min(l.line_no) FROM line l WHERE l.doc_id = line.doc_id AND NOT starts_with(l.seq, 'T')), 1000000000)")
 def header_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir)
-    body = F.min(F.when(~F.col("seq").startswith("T"), F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    return rows.withColumn("body", body).filter("body IS NULL OR line_no < body").select("doc_id", F.col("line_no").cast("long"))
+    from spanframe.sources.text import header_lines
+
+    rows = lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("record_id"), F.col("seq").alias("raw"))
+    return header_lines(rows, "T", "doc_id").select("doc_id", F.col("record_id").alias("line_no"))
 
 
 @query(f"WITH {LINE_SQL} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no FROM line WHERE line_no >= 2 AND NOT starts_with(seq, 'T')")

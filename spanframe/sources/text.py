@@ -35,10 +35,15 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(F.broadcast(starts), "__split").select(place.alias("record_id"), (place + 1).alias("line_no"), "raw")
 
 
-def header_lines(lines: DataFrame, comment: str) -> DataFrame:
-    """The comment lines before the first line that is none."""
-    body = lines.filter(~F.col("raw").startswith(comment)).agg(F.min("record_id").alias("__body"))  # one row
-    return lines.crossJoin(F.broadcast(body)).filter(F.col("__body").isNull() | (F.col("record_id") < F.col("__body"))).drop("__body")
+def header_lines(lines: DataFrame, comment: str, by: str | None = None) -> DataFrame:
+    """The comment lines before the first line that is none: of one file, or of each that the column ``by`` names."""
+    body = lines.filter(~F.col("raw").startswith(comment))
+    first = F.min("record_id").alias("__body")
+    ahead = F.col("__body").isNull() | (F.col("record_id") < F.col("__body"))
+    heads = lines.filter(F.col("raw").startswith(comment))
+    if by is None:
+        return heads.crossJoin(F.broadcast(body.agg(first))).filter(ahead).drop("__body")  # one row
+    return heads.join(body.groupBy(by).agg(first), by, "left").filter(ahead).drop("__body")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
