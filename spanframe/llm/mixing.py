@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.plans.ordering import ranked
-from spanframe.plans.scratch import stored
+from spanframe.plans.scratch import mark, release, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>!]"
@@ -126,6 +126,7 @@ def apply_mix(
     source: str = "source",
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, the copies of a row behind one another."""
+    begun = mark()
     found = stored(spark, _mixed(spark, docs, weights, max_epochs, seed, key, text, source), "mixed")
     place = F.struct("sample_key", "key", "tie")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
@@ -133,6 +134,7 @@ def apply_mix(
     # rows that tie with the last place taken: how many there are and how many are in
     ties = found.alias("f").join(cuts.alias("c"), same("f", "c")).filter(place == F.col("cut")).groupBy("f.source").agg(F.count(F.lit(1)).alias("tied"), F.sum(F.col("extra").cast("long")).alias("inside"))
     cuts = stored(spark, cuts.alias("c").join(ties.alias("t"), same("c", "t"), "left").select("c.source", "epochs", "cut", "tied", "inside"), "cuts")
+    release(spark, begun, cuts)
     rows = _weighed(docs, seed, key, text, source, F.struct("*").alias("row")).filter("size > 0").alias("d").join(cuts.alias("c"), same("d", "c"))
     whole = (place < F.col("cut")) | ((place == F.col("cut")) & (F.col("tied") == F.col("inside")))
     partly = F.coalesce((place == F.col("cut")) & (F.col("tied") > F.col("inside")), F.lit(False))

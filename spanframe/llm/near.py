@@ -40,13 +40,15 @@ from spanframe.llm import simhash
 from spanframe.llm.columns import small_batches
 from spanframe.llm.components import components
 from spanframe.plans.bitmap import split
-from spanframe.plans.scratch import stored
+from spanframe.plans.scratch import mark, release, stored
 
 SHINGLE = 5
 PART, WHOLE = 4, 5
 #: What the order of shingles is learned from; these change the time and no result.
 STRETCH, MOST_LATE = 1 << 20, 100_000
 LATE = np.int64(1 << 62)
+#: Texts of candidates up to which their numbers and keys are broadcast (a few MB), so that no text is shuffled.
+BROADCAST_ASKED = 100_000
 SKETCH = 16  # longs
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
 U64 = np.uint64
@@ -224,14 +226,19 @@ def similar(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFr
     pairs = stored(spark, pairs, "pairs")
     ids = pairs.select(F.explode(F.array("noa", "nob")).alias("no")).distinct()
     asked = stored(spark, reps.select("no", "least").join(ids, "no", "left_semi").select("no", "least.k", "least.t"), "asked")
+    few = asked.limit(BROADCAST_ASKED + 1).count() <= BROADCAST_ASKED
     # only texts of candidates move
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     maybe, _ = split(spark, rows, F.struct("k", "t"), asked, F.struct("k", "t"))
-    maybe, named = maybe.alias("r"), asked.alias("u")
-    met = maybe.join(named, F.col("r.k").eqNullSafe(F.col("u.k")) & F.col("r.t").eqNullSafe(F.col("u.t"))).select("no", "text").dropDuplicates(["no"])
+    maybe, named = maybe.alias("r"), (F.broadcast(asked) if few else asked).alias("u")
+    met = maybe.join(named, F.col("r.k").eqNullSafe(F.col("u.k")) & F.col("r.t").eqNullSafe(F.col("u.t"))).select("no", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()  # equal rows: a set comes once from each task
         for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            new = [i for i, no in enumerate(numbers) if not (no in told or told.add(no))]
+            batch = batch.take(pa.array(new, pa.int64()))
             values, sizes = distinct(*shingled(batch.column(1).to_pylist(), shingle))
             found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["no", "found"])
@@ -239,25 +246,29 @@ def similar(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFr
     sets = stored(spark, met.mapInArrow(run, "no long, found array<long>"), "sets")
     both = pairs.join(sets.select(F.col("no").alias("noa"), F.col("found").alias("fa")), "noa").join(sets.select(F.col("no").alias("nob"), F.col("found").alias("fb")), "nob")
     shared = F.size(F.array_intersect("fa", "fb"))
-    return stored(spark, both.filter(shared * (part + whole) >= (F.col("na") + F.col("nb")) * part).select(F.col("noa").alias("a"), F.col("nob").alias("b")), "similar")
+    return stored(spark, both.filter(shared * (part + whole) >= (F.col("na") + F.col("nb")) * part).select(F.col("noa").alias("a"), F.col("nob").alias("b")).distinct(), "similar")
 
 
 def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, part: int = PART, whole: int = WHOLE) -> DataFrame:
     """(key, component): ``component`` is the smallest key whose text can be reached by links."""
     late = frequent(spark, docs, text, shingle)
+    begun = mark()
     rows = stored(spark, prefixes(spark, docs, late, key, text, shingle, part, whole), "prefixes")
     once = [F.first(c).alias(c) for c in ("n", "fp", "prefix", *SKETCHES)]
     reps = rows.groupBy("id").agg(F.min("k").alias("least_key"), F.min(F.struct("k", "t")).alias("least"), *once)
     # numbers are unique and, once written, fixed
     reps = stored(spark, reps.withColumn("no", F.monotonically_increasing_id()), "sets")
+    rows = stored(spark, rows.select("k", "id"), "members")
+    release(spark, begun, reps, rows)
     some = reps.filter("n > 0")
     # the shorter text of a pair needs fewer of its first shingles than the longer one
     near = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * part) / (part + whole)) + 1
     # three numbers a token: its place in the set, and in the last bit whether the shorter text's are enough
     place = (F.col("pos") * 2 + near.cast("int")).alias("place")
-    every = some.select("no", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "no", place)
-    shared = stored(spark, every.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("place") % 2).alias("near")).filter("times > 1 AND near = 1").select("h"), "shared")
-    tokens = stored(spark, every.join(shared, "h"), "tokens")
+    every = some.select("no", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "no", place).repartition("h")
+    # counted and picked where they lie: both read one shuffle
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("place") % 2).alias("near")).filter("times > 1 AND near = 1").select("h")
+    tokens = stored(spark, every.join(shared.hint("merge"), "h"), "tokens")
     check = lambda pairs: similar(spark, docs, reps, pairs, key, text, shingle, part, whole)
     early = check(early_pairs(spark, some, tokens, part, whole))
     more = check(late_pairs(spark, some, tokens, components(spark, early), part, whole))
@@ -269,4 +280,5 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
 
 def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The row of ``docs`` that names each class; rows of one key stay or go together, rows without a key stay."""
-    return simhash.keep_named(spark, docs, classes(spark, docs, key=key, **options), key)
+    begun = mark()
+    return simhash.keep_named(spark, docs, classes(spark, docs, key=key, **options), key, begun)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from spanframe.llm.columns import small_batches
 from spanframe.llm.components import components
 from spanframe.plans.bitmap import split, unused
-from spanframe.plans.scratch import stored
+from spanframe.plans.scratch import mark, release, stored
 
 SHINGLE = 3
 SEED = 42
@@ -117,18 +117,24 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def keep_named(spark: SparkSession, docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose class in ``found`` (key, component) is named after another key."""
+def keep_named(spark: SparkSession, docs: DataFrame, found: DataFrame, key: str = "doc_id", begun: int | None = None) -> DataFrame:
+    """``docs`` without the rows whose class in ``found`` (key, component) is named after another key.
+
+    What was stored for ``found`` since the mark ``begun`` is released.
+    """
     (name,) = unused(docs, "__gone")
     gone = found.filter(F.col("component") != F.col(key)).select(F.col(key).alias(name))
     gone = stored(spark, gone.distinct(), "gone")
+    if begun is not None:
+        release(spark, begun, gone)
     maybe, others = split(spark, docs, F.col(key), gone, F.col(name))
     return maybe.join(gone, F.col(key) == F.col(name), "left_anti").unionByName(others)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The row of ``docs`` that names each class; rows of one key stay or go together, rows without a key stay."""
-    return keep_named(spark, docs, classes(spark, docs, key=key, **options), key)
+    begun = mark()
+    return keep_named(spark, docs, classes(spark, docs, key=key, **options), key, begun)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
