@@ -3,8 +3,10 @@
 The lines of a text are hashed; a hash rolling over two line hashes closes a
 chunk where it falls into one class of ``divisor``, so an insertion moves no
 boundary but its neighbours. A line of ``long_words`` words or more is a chunk by
-itself. Chunks that occur more than once in the whole table (first by hash, then
-by SHA-256) stay where (key, text hash, line) is smallest and go elsewhere.
+itself: a passage of that size may be one line. Chunks of several lines or a long one
+that occur more than once in the whole table (first by hash, then by SHA-256) stay where
+(key, text hash, line) is smallest and go elsewhere, whatever their size; chunks without
+a word stay, as they part paragraphs.
 
 Chunk boundaries leave residue: a repeated passage of few lines may end up in chunks
 of one line or merged with its neighbours. With ``passages`` the shortest run of
@@ -19,8 +21,9 @@ ones that a bitmap of bounded size can't rule out: the others pass by.
 
 Defined cases: a null text stays null; an empty text has one empty line and stays;
 a text that loses every line becomes empty; rows equal in key and text are treated
-alike; an empty table gives no rows; other columns pass through, ``n_chars`` (if
-there) is counted anew where lines went.
+alike; texts of any length and number of lines are cut whole; an empty table gives no
+rows; other columns pass through, whatever their names, ``n_chars`` (if there) is
+counted anew where lines went.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 
 from spanframe.llm.columns import let
 from spanframe.plans.bitmap import split
-from spanframe.plans.scratch import stored
+from spanframe.plans.scratch import mark, release, stored
 
 DIVISOR = 2
 LONG_WORDS = 50
-LEAST_CHARS = 40
+BLANKS = " \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,11 +45,8 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def chunks(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_chars: int = LEAST_CHARS) -> Column:
-    """Array of (start, n, h): first line, number of lines and hash of the chunks that count.
-
-    Chunks of one line count only if the line is long, and any chunk needs ``least_chars`` characters.
-    """
+def chunks(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> Column:
+    """Array of (start, n, h): first line, number of lines and hash of the chunks that count: of several lines or of a long one, with a word."""
 
     def ends(rows: Column) -> Column:
         last = F.size(rows) - 1
@@ -70,7 +70,7 @@ def chunks(text: Column, divisor: int = DIVISOR, long_words: int = LONG_WORDS, l
                         F.coalesce(F.get(stops, k - 1) + 1, F.lit(0)),
                         lambda start: let(
                             F.array_join(F.slice(lines, start + 1, stop - start + 1), "\n"),
-                            lambda body: F.struct(start.alias("start"), (stop - start + 1).alias("n"), F.xxhash64(body).alias("h"), ((F.length(body) >= least_chars) & ((stop > start) | F.get(rows, stop)["long"])).alias("counts")),
+                            lambda body: F.struct(start.alias("start"), (stop - start + 1).alias("n"), F.xxhash64(body).alias("h"), (((stop > start) & (F.btrim(body, F.lit(BLANKS)) != "")) | F.get(rows, stop)["long"]).alias("counts")),
                         ),
                     ),
                 ),
@@ -127,6 +127,7 @@ def repeats(spark: SparkSession, rows: DataFrame, passages: bool = False, **opti
         long_words = options.get("long_words", LONG_WORDS)
         # a long line is a run as well
         refs = F.concat(F.filter(refs, lambda x: x["n"] > 1), named(runs(F.col("text"), long_words), True))
+    begun = mark()
     refs = rows.select("k", "t", F.explode(refs).alias("c")).select("k", "t", "c.*")
     refs = stored(spark, refs, "chunks")
     # written, so that both sides of the join are dealt anew and a hash that a third of all rows share can be split
@@ -151,7 +152,9 @@ def repeats(spark: SparkSession, rows: DataFrame, passages: bool = False, **opti
     first = stored(spark, first, "first")
     later = bodies.join(first, ["h", "body"]).filter(~F.struct("k", "t", "start").eqNullSafe(F.col("first")))
     lines = F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
-    return stored(spark, later.groupBy("k", "t").agg(lines.alias("gone")), "gone")
+    gone = stored(spark, later.groupBy("k", "t").agg(lines.alias("gone")), "gone")
+    release(spark, begun, gone)
+    return gone
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", told: bool = False, **options) -> DataFrame:

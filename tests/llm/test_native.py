@@ -107,7 +107,7 @@ def chunks(text):
             rolled = xxh64_intdigest(hashes[i].to_bytes(8, "little"), 42)
         if i == len(lines) - 1 or long_[i] or long_[i + 1] or signed(rolled) % line_dedup.DIVISOR == 0:
             body = "\n".join(lines[start : i + 1])
-            if len(body) >= line_dedup.LEAST_CHARS and (i > start or long_[i]):
+            if (i > start and WORD.search(body)) or long_[i]:
                 out.append((start, i + 1 - start, body))
             start = i + 1
     return out
