@@ -1,0 +1,25 @@
+"""Queries with SQL agree with DuckDB on the small tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from spanframe.llm.queries import QUERIES, SQL
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    c = duckdb.connect()
+    for name in os.listdir(sf):
+        c.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{name}'")
+    return c
+
+
+@pytest.mark.parametrize("name", [n for n in SQL if n in ("op11_turns", "op12_search", "op13_decontam")])
+def test_query(spark, duck, sf, name):
+    got, expected = QUERIES[name](spark, sf), duck.sql(SQL[name])
+    names = sorted(got.columns)
+    assert names == sorted(expected.columns)
+    rows = lambda data, columns: sorted(repr(tuple(r[columns.index(n)] for n in names)) for r in data)
+    assert rows([tuple(r) for r in got.collect()], got.columns) == rows(expected.fetchall(), expected.columns)
