@@ -57,7 +57,8 @@ def luhn(digits: str) -> bool:
 
 
 def _octets(text: str) -> bool:
-    return all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in text.split(".")))
+    """Whether the parts between dots are digits alone and at most 255."""
+    return all(part.isdecimal() and len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in text.split("."))
 
 
 def addresses(text: str, signs: Iterable[tuple[int, int, re.Pattern]]) -> Iterator[tuple[int, int]]:
