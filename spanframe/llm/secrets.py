@@ -34,7 +34,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 
 @dataclass(frozen=True)
 class Rule:
-    """``hint`` (SQL over ``text``) is true wherever the pattern can match; ``value`` and ``least`` bound a group's length."""
+    """``hint`` (SQL over ``text``) is true wherever the pattern can match; ``value`` and ``least`` bound a group's length.
+
+    A match may not follow a character of ``apart``: a run of such characters is tried once, at its begin.
+    """
 
     kind: str
     pattern: str
@@ -42,6 +45,11 @@ class Rule:
     base: bool = True
     value: int = 0
     least: int = 0
+    apart: str = ""
+
+    @property
+    def search(self) -> str:
+        return f"(?<![{self.apart}]){self.pattern}" if self.apart else self.pattern
 
 
 #: A run that is as long as it can be needs no second test: the length is in the pattern. Assignments are filtered after matching.
@@ -50,7 +58,7 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]{14,}", "contains(text, 'AKIA')"),
     Rule("hex", "[0-9a-f]{16,}", "text RLIKE '[0-9a-f]{16}'"),
     Rule("pem", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "contains(text, '-----BEGIN ')", base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "contains(text, 'eyJ')", base=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "contains(text, 'eyJ')", base=False, apart="A-Za-z0-9_-"),
 )
 
 SPAN = "struct<start:int,rule:int,end:int>"
@@ -58,12 +66,12 @@ LEDGER = f"blob string, rules string, found array<{SPAN}>"
 
 
 def version(rules: Sequence[Rule]) -> str:
-    return hashlib.sha256(repr([(r.kind, r.pattern, r.value, r.least) for r in rules]).encode()).hexdigest()[:16]
+    return hashlib.sha256(repr([(r.kind, r.search, r.value, r.least) for r in rules]).encode()).hexdigest()[:16]
 
 
 def _hits(rule: Rule) -> Column:
     """The matches of a rule in the column ``text``."""
-    return F.when(F.expr(rule.hint), F.call_function("regexp_extract_all", F.col("text"), F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.expr(rule.hint), F.call_function("regexp_extract_all", F.col("text"), F.lit(rule.search), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def found(texts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -74,7 +82,7 @@ def found(texts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     def parts(rule: Rule, k: int) -> Column:
         """For each match: the length of what comes before it, its own, and whether it is long enough."""
         good = (lambda hit: F.length(F.regexp_extract(hit, rule.pattern, rule.value)) >= rule.least) if rule.least else (lambda hit: F.lit(True))
-        between = F.when(F.size(f"hits{k}") > 0, F.split("text", rule.pattern, -1)).otherwise(F.array().cast("array<string>"))
+        between = F.when(F.size(f"hits{k}") > 0, F.split("text", rule.search, -1)).otherwise(F.array().cast("array<string>"))
         gaps = F.transform(between, lambda gap: F.length(gap))
         matched = F.transform(F.col(f"hits{k}"), lambda hit: F.struct(F.length(hit).alias("size"), good(hit).alias("good")))
         both = F.arrays_zip(gaps.alias("gap"), matched.alias("hit"))
@@ -125,11 +133,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     kinds = [("assign", ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), *((r.kind, r.pattern) for r in RULES if not r.base)]
+    apart = {r.kind: r.apart for r in RULES}
     part = "SELECT doc_id, {k} AS k, '{kind}' AS kind, unnest(regexp_extract_all(t, '{p}', 1)) AS gap, unnest(regexp_extract_all(t, '{p}', 2)) AS hit, {value} AS value, unnest(range(len(regexp_extract_all(t, '{p}', 1)))) AS i FROM d"
     parts = []
     for k, (kind, pattern) in enumerate(kinds):
         flags = "(?is)" if pattern.startswith("(?i)") else "(?s)"
-        p = (f"{flags}(.*?)(" + pattern.removeprefix("(?i)") + ")").replace("'", "''")
+        # what lies before a match, without a look behind: nothing, or it ends in a character that may
+        lead = f"((?:.*?[^{apart[kind]}])??)" if apart[kind] else "(.*?)"
+        p = (f"{flags}{lead}(" + pattern.removeprefix("(?i)") + ")").replace("'", "''")
         parts.append(part.format(k=k, kind=kind, p=p, value=f"unnest(regexp_extract_all(t, '{p}', 4))" if kind == "assign" else "''"))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
