@@ -95,27 +95,41 @@ def runs(text: Column, long_words: int = LONG_WORDS) -> Column:
             return F.when(run["words"] >= long_words, run).otherwise(F.struct((run["lines"] + 1).alias("lines"), (run["words"] + n).alias("words")))
 
         # a line has a word at least
-        count = lambda i: F.aggregate(F.slice(words, i + 1, long_words), none, more, lambda run: F.when(run["words"] >= long_words, run["lines"]).otherwise(0))
-        return F.transform(words, lambda _, i: count(i))
+        count = lambda words, i: F.aggregate(F.slice(words, i + 1, long_words), none, more, lambda run: F.when(run["words"] >= long_words, run["lines"]).otherwise(0))
+        return let(words, lambda words: F.transform(words, lambda _, i: count(words, i)))
 
     def found(rows: Column, size: Column) -> Column:
-        hashes, words, last = F.transform(rows, lambda x: x["h"]), F.transform(rows, lambda x: x["words"]), F.size(rows) - 1
-        ahead = F.transform(reach(words), lambda n, i: F.struct(i.alias("at"), n.alias("lines")))
+        words, last = F.transform(rows, lambda x: x["words"]), F.size(rows) - 1
         back = F.transform(reach(F.reverse(words)), lambda n, i: F.struct((last - i - n + 1).alias("at"), n.alias("lines")))
-        both = F.array_distinct(F.filter(F.concat(ahead, back), lambda x: x["lines"] > 0))
 
-        def run(x: Column) -> Column:
+        def both(ahead: Column) -> Column:
+            """All runs once: ahead there is one from each place, so one back is there already if that has its size."""
+            fresh = F.filter(back, lambda x: (x["lines"] > 0) & (F.get(ahead, x["at"]) != x["lines"]))
+            return F.concat(F.filter(F.transform(ahead, lambda n, i: F.struct(i.alias("at"), n.alias("lines"))), lambda x: x["lines"] > 0), fresh)
+
+        def run(x: Column, hashes: Column) -> Column:
             start = F.when(x["at"] == 0, F.lit(0)).otherwise(F.get(rows, x["at"])["i"])
             end = F.coalesce(F.get(rows, x["at"] + x["lines"])["i"], size)
             return F.struct(start.alias("start"), (end - start).alias("n"), F.xxhash64(F.slice(hashes, x["at"] + 1, x["lines"])).alias("h"))
 
-        return F.transform(both, run)
+        return let(F.transform(rows, lambda x: x["h"]), lambda hashes: F.transform(let(reach(words), both), lambda x: run(x, hashes)))
 
     def rows(lines: Column) -> Column:
         every = F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words"), i.alias("i")))
         return F.filter(every, lambda x: x["words"] > 0)
 
-    return let(_lines(text), lambda lines: let(rows(lines), lambda x: found(x, F.size(lines))))
+    # what lambdas use for each line is evaluated once before: the time follows the number of lines
+    return let(_lines(text), lambda lines: let(F.size(lines), lambda size: let(rows(lines), lambda x: found(x, size))))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines less those whose numbers are in ``gone`` (ascending): what lies between two of them is a slice."""
+
+    def kept(edges: Column) -> Column:
+        between = F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda i: F.slice(lines, F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1))
+        return F.flatten(between)
+
+    return let(F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines))), kept)
 
 
 def repeats(spark: SparkSession, rows: DataFrame, passages: bool = False, **options) -> DataFrame:
@@ -151,7 +165,7 @@ def repeats(spark: SparkSession, rows: DataFrame, passages: bool = False, **opti
     first = bodies.groupBy("h", "body").agg(F.min(F.struct("k", "t", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     first = stored(spark, first, "first")
     later = bodies.join(first, ["h", "body"]).filter(~F.struct("k", "t", "start").eqNullSafe(F.col("first")))
-    lines = F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
+    lines = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))))
     gone = stored(spark, later.groupBy("k", "t").agg(lines.alias("gone")), "gone")
     release(spark, begun, gone)
     return gone
@@ -167,10 +181,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     named = touched.alias("d")
     joined = named.join(gone, F.col(f"d.{key}").eqNullSafe(F.col("g.k")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("g.t")), "left")
     body = F.col(f"d.{text}")
-    clean = F.when(F.col("g.gone").isNull(), body).otherwise(F.array_join(F.filter(_lines(body), lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n"))
+    clean = F.when(F.col("g.gone").isNull(), body).otherwise(F.array_join(let(_lines(body), lambda lines: _without(lines, F.col("g.gone"))), "\n"))
     out = [clean.alias(c) if c == text else F.when(F.col("g.gone").isNull(), F.col(f"d.{c}")).otherwise(F.length(clean)).cast(t).alias(c) if c == "n_chars" else F.col(f"d.`{c}`") for c, t in docs.dtypes]
     if told:
-        out += [F.coalesce(F.size(_lines(body)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_join(F.array_sort("g.gone"), ","), F.lit("")).alias("removed")]
+        out += [F.coalesce(F.size(_lines(body)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_join("g.gone", ","), F.lit("")).alias("removed")]
     # rows that lose nothing meet an empty table, which the optimizer replaces by nulls
     return joined.select(*out).unionByName(others.alias("d").join(F.broadcast(nobody), F.lit(False), "left").select(*out))
 
