@@ -24,11 +24,12 @@ whole, one at a time; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -48,9 +49,66 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DIGEST = "sha256:"
 
 
-class _Page(HTMLParser):
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: A quoted value that ends, or anything else inside a tag.
+INSIDE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')|[^>=]+|=""")
+ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: Elements whose content has no tags.
+RAW = {"script", "style"}
+
+
+def tokens(html: str) -> Iterator[tuple]:
+    """("text", text), ("start", tag, attributes, whether it closes itself) and ("end", tag), in one pass.
+
+    A tag ends at the first ``>`` outside quoted values; where quotes leave none, at the first ``>`` at all, for the
+    rest of the page. A sign that begins nothing that ends is text: what no end was found for once is not
+    looked for again, so the time follows the page's length. Comments and declarations are passed over, an open
+    comment to the page's end.
+    """
+    at = text = 0
+    last, quoted, raw_open = html.rfind(">"), True, set()
+    while 0 <= (at := html.find("<", at)) < last:
+        tag = TAG.match(html, at)
+        if tag:
+            end = tag.end()
+            if quoted:
+                while (part := INSIDE.match(html, end)) is not None:
+                    end = part.end()
+                quoted = end < len(html)
+            if not quoted:
+                end = html.find(">", tag.end())
+            begin, stop, at = at, end, end + 1
+        elif html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            begin, at = at, len(html) if end < 0 else end + 3
+        elif html.startswith(("<!", "<?", "</"), at):
+            begin, at = at, html.find(">", at) + 1
+        else:
+            at += 1
+            continue
+        if begin > text:
+            yield "text", unescape(html[text:begin])
+        text = at
+        if not tag:
+            continue
+        name = tag[2].lower()
+        if tag[1]:
+            yield "end", name
+            continue
+        body = html[tag.end() : stop]
+        yield "start", name, {a[1].lower(): unescape(a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or "") for a in ATTRIBUTE.finditer(body)}, body.endswith("/")
+        if name in RAW and name not in raw_open:
+            close = re.compile(f"</{name}", re.IGNORECASE).search(html, at)
+            if close is None:
+                raw_open.add(name)
+            else:
+                at = text = close.start()  # what an element that isn't shown holds is no text
+    if text < len(html):
+        yield "text", unescape(html[text:])
+
+
+class _Page:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
         self.open: list[str] = []
@@ -70,7 +128,7 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag, attrs) -> None:
         if self.open and self.open[-1] == "title" and tag in BLOCKS:
             self.close_top()
-        got = dict(attrs)
+        got = attrs
         if tag in MEDIA and got.get("src") and self.shown():
             self.flush()
             src = got["src"]
@@ -120,8 +178,15 @@ class _Page(HTMLParser):
         if self.shown():
             (self.run if self.caption is None else self.caption).append(data)
 
+    def feed(self, html: str) -> None:
+        handlers = {"text": self.handle_data, "start": self.handle_start, "end": self.handle_endtag}
+        for kind, *rest in tokens(html):
+            handlers[kind](*rest)
+
+    def handle_start(self, tag, attrs, closes: bool) -> None:
+        (self.handle_startendtag if closes else self.handle_starttag)(tag, attrs)
+
     def done(self) -> list[dict]:
-        self.close()
         while self.open:
             self.close_top()
         self.flush()
