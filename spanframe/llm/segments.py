@@ -21,9 +21,8 @@ decoding gives back every text exactly.
 
 Defined cases: a null text counts as empty; an empty text has one segmentation,
 without pieces; a text with fewer than k segmentations returns them all, with
-inclusion 1; an empty table gives no rows; rows equal in key and text that follow one
-another in a partition (as mixing writes them) are numbered by ``copy`` and sampled
-each for itself, elsewhere they get the same samples; a text of any length is one
+inclusion 1; an empty table gives no rows; rows equal in key and text are numbered by
+``copy``, wherever they lie, and sampled each for itself; a text of any length is one
 lattice walk, in memory in proportion to its pieces; other columns are ignored,
 whatever their names.
 """
@@ -37,10 +36,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.columns import small_batches
+from spanframe.plans.bitmap import split
+from spanframe.plans.scratch import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, HELD_CHARS, KEPT_CHARS = 2, 17, 300_000, 300_000
@@ -468,31 +469,27 @@ def vocabulary(model: str) -> Vocabulary:
 def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, copy, sample, ids, log_prob, perturbed, inclusion, exact): up to ``k`` rows for each row of ``docs``.
 
-    ``exact`` says that decoding ``ids`` gave back the text.
+    ``exact`` says that decoding ``ids`` gave back the text. Rows equal in key and text are copies, numbered from 0
+    wherever they lie: all hashes are counted, and only rows that a bitmap takes for copies are shuffled.
     """
     from xxhash import xxh64_intdigest
 
     small_batches(spark)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    same = F.struct("key", F.xxhash64("text").alias("t"))
+    often = stored(spark, rows.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same"), "copies")
+    maybe, once = split(spark, rows, same, often, F.col("same"))
+    numbered = F.row_number().over(Window.partitionBy("key", F.xxhash64("text")).orderBy(F.lit(0))) - 1
+    rows = once.withColumn("copy", F.lit(0)).unionByName(maybe.withColumn("copy", numbered))
     names = ["key", "copy", "sample", "ids", "log_prob", "perturbed", "inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(vocabulary(model), k, seed)
         raw, raw_size = sampler.vocabulary.raw, sampler.vocabulary.raw_size
-        last, copy = None, 0
-
-        def copies(keys: list, texts: list[str | None]) -> list[int]:
-            nonlocal last, copy
-            out = []
-            for row in zip(keys, texts):
-                copy, last = (copy + 1, last) if row == last else (0, row)
-                out.append(copy)
-            return out
-
         def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
             keys, texts = table.column(0).combine_chunks(), table.column(1).to_pylist()
-            copy_of = copies(keys.to_pylist(), texts)
+            copy_of = table.column(2).to_pylist()
             texts = [x or "" for x in texts]
             seeds = np.fromiter((xxh64_intdigest(str(x).encode()) for x in keys.to_pylist()), U64, len(texts))
             seeds += np.array(copy_of, U64) * U64(0xD6E8FEB86659FD93)
