@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from spanframe.functions import coords, records, sequences
 from spanframe.functions.config import PRESETS, detect
 from spanframe.functions.regions import Request, parse_region, resolve_sequence
-from spanframe.operators import index, islands, overlap, sequence
-from spanframe.plans.scratch import stored
+from spanframe.operators import asof, index, islands, overlap, sequence
+from spanframe.plans.ordering import ranked
+from spanframe.plans.scratch import shared_dir, stored
+from spanframe.sources import splits
 
 DAY = 86400
 #: 1-based inclusive requests on ``ev``: label, then reference and range; overlapping and repeated ones are meant.
@@ -392,8 +395,60 @@ def block_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BLOCK_SQL} SELECT doc_id, CAST(max(block_no) AS BIGINT) AS block_no, CAST(1000 - max(uoffset) AS BIGINT) AS skip FROM bl WHERE uoffset <= 1000 GROUP BY doc_id")
 def block_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _blocks(spark, sf_dir).filter("uoffset <= 1000").groupBy("doc_id").agg(F.max_by("block_no", "uoffset").alias("block_no"), (1000 - F.max("uoffset")).alias("skip"))
-    return found
+    """The block of content byte 1000, or of the last byte before it."""
+    known = _table(spark, sf_dir, "documents").filter(F.octet_length("text") > 0).select("doc_id", F.lit(1000).cast("long").alias("at"))
+    starts = _blocks(spark, sf_dir).select("doc_id", F.col("uoffset").alias("at"), "block_no", "uoffset")
+    return asof.asof_join(known, starts, "at", ["doc_id"]).select("doc_id", "block_no", (F.col("at") - F.col("uoffset")).alias("skip"))
+
+
+@query(f"""WITH {LINE_SQL}, {BLOCK_SQL}, l AS (SELECT doc_id, line_no, sum(strlen(seq) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - strlen(seq) - 1 AS pos FROM line)
+SELECT l.doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(block_no AS BIGINT) AS block_no, CAST(pos - uoffset AS BIGINT) AS skip FROM l ASOF LEFT JOIN bl ON l.doc_id = bl.doc_id AND bl.uoffset <= l.pos""")
+def line_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block in which each line of each text begins, and where in it."""
+    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long"), F.octet_length("seq").cast("long").alias("n"))
+    placed = rows.select("doc_id", "line_no", F.coalesce(F.sum(F.col("n") + 1).over(order), F.lit(0)).alias("at"))
+    starts = _blocks(spark, sf_dir).select("doc_id", F.col("uoffset").alias("at"), "block_no", "uoffset")
+    return asof.asof_join(placed, starts, "at", ["doc_id"]).select("doc_id", "line_no", "block_no", (F.col("at") - F.col("uoffset")).alias("skip"))
+
+
+ASCII_SQL = r"txt AS (SELECT doc_id, regexp_replace(text, '[^ -~\n]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)"
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """(doc_id, t), the texts in ASCII, and an archive of them in the order of their ids, a line feed behind each."""
+    rows = _table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^ -~\n]", "").alias("t"))
+    folder = f"{shared_dir(spark)}/scratch/texts-{uuid.uuid4().hex}"
+    source = splits.write_lines(rows.select("doc_id", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "raw")), [F.col("doc_id"), F.col("line_no")], f"{folder}/plain")
+    splits.write_archive(spark, source, f"{folder}/texts.gz", split=ARCHIVE_SPLIT)
+    return rows, f"{folder}/texts.gz"
+
+
+#: Small, so that small tables are several splits.
+ARCHIVE_SPLIT = 1 << 18
+FULL = 65239
+
+
+@query(f"""WITH RECURSIVE {ASCII_SQL}, line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS seq, unnest(range(len(string_split(t, chr(10))))) AS line_no FROM txt),
+ln AS (SELECT length(seq) + 1 AS n, sum(length(seq) + 1) OVER (ORDER BY doc_id, line_no) AS e FROM line), total AS (SELECT max(e) AS size FROM ln),
+ways AS (SELECT 0 AS pos UNION SELECT e FROM ln UNION SELECT unnest(range(CAST(e - n + {FULL} AS BIGINT), CAST(e AS BIGINT), {FULL})) FROM ln),
+nxt AS (SELECT w.pos, CASE WHEN w.pos + {FULL} > size THEN size WHEN ln.e > w.pos THEN ln.e ELSE w.pos + {FULL} END AS stop FROM (SELECT pos, pos + {FULL} AS reach, size FROM ways, total) w ASOF LEFT JOIN ln ON ln.e <= w.reach),
+cut AS (SELECT CAST(0 AS BIGINT) AS block_no, pos, stop FROM nxt WHERE pos = 0 UNION ALL SELECT block_no + 1, nxt.pos, nxt.stop FROM cut JOIN nxt ON nxt.pos = cut.stop, total WHERE cut.stop < size)
+SELECT block_no, CAST(pos AS BIGINT) AS uoffset, CAST(stop - pos AS BIGINT) AS usize FROM cut""")
+def archive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of an archive of all texts: cut and written in splits, found again in other splits without an index."""
+    return splits.manifest(spark, _archive(spark, sf_dir)[1], split=ARCHIVE_SPLIT // 2).select("block_no", "uoffset", "usize")
+
+
+@query(f"WITH {ASCII_SQL} SELECT doc_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS md5 FROM txt WHERE length(t) > 0")
+def archive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a range of the archive's content: planned on the block table, inflated in tasks."""
+    rows, path = _archive(spark, sf_dir)
+    placed = ranked(spark, rows.select("doc_id", F.length("t").cast("long").alias("size"), (F.length("t") + 1).cast("long").alias("step")), [F.col("doc_id")], "place", {"offset": "step"})
+    blocks = stored(spark, splits.manifest(spark, path, split=ARCHIVE_SPLIT), "blocks")
+    pieces = splits.read_ranges(spark, path, placed.select(F.col("doc_id").alias("id"), "offset", "size"), blocks)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", F.col("data").cast("string").alias("data")))), lambda x: x["data"]), "")
+    return pieces.groupBy(F.col("id").alias("doc_id")).agg(text.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("md5"))
 
 
 @query(f"WITH {BLOCK_SQL} SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, CAST(greatest(700 - uoffset, 0) AS BIGINT) AS skip, CAST(least(1500 - uoffset, usize) - greatest(700 - uoffset, 0) AS BIGINT) AS take FROM bl WHERE uoffset < 1500 AND uoffset + usize > 700")

@@ -1,9 +1,9 @@
 """Block archives as tables: a data source of blocks and lines, range reads, and a parallel writer.
 
-The driver reads the block index beside the file, if it is as new as the file, or else
-the headers and trailers of the members, and gives each task a run of blocks, which it
-reads by seeking. A task yields the lines that begin in its blocks and reads on to finish
-the last. Paths have to be visible to driver and executors alike; elsewhere ``inflated``
+Runs of blocks come from the block index beside the file, if it is as new as the file, or
+else from tasks that find the blocks of their splits (``splits``). A task reads its run by
+seeking, yields the lines that begin in its blocks and reads on to finish the last. Paths
+have to be visible to driver and executors alike; elsewhere ``inflated``
 reads whole files through Spark's own file sources.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import os
+import tempfile
 from collections.abc import Iterator
 from itertools import islice
 from typing import BinaryIO
@@ -20,7 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from spanframe.sources.bgzf import EOF_BLOCK, Block, BlockError, Gzi, cuts, deflate, inflate, manifest, members, usize
+from spanframe.plans.scratch import stored
+from spanframe.sources import splits
+from spanframe.sources.bgzf import EOF_BLOCK, BlockError, Gzi, inflate, manifest, members, usize
+from spanframe.sources.store import Joined, opened
 
 BLOCKS_A_TASK = 1024
 BLOCK_SCHEMA = "block_no long, coffset long, csize long, uoffset long, usize long"
@@ -118,21 +122,28 @@ class _LineReader(DataSourceReader):
         return [_Run(k, a, b) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
 
     def read(self, run: _Run) -> Iterator[pa.RecordBatch]:
-        if not isinstance(run, _Run):
-            return
-        names = ["record_id", "next_id", "run", "place", "raw"]
-        with open(self.path, "rb") as f:
-            found, place = lines_between(f, run.first << 16, run.end << 16, aligned=False, strict=self.policy == "strict"), 0
-            while rows := list(islice(found, ROWS_A_BATCH)):
-                n = len(rows)
-                columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([run.number] * n, pa.int64()), pa.array(range(place, place + n), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[2].decode("latin-1") for x in rows], pa.string())], names=names)
-                place += n
+        if isinstance(run, _Run):
+            yield from _lines_of(self.path, self.policy, run.number, run.first, run.end)
+
+
+LINES = ["record_id", "next_id", "run", "place", "raw"]
+
+
+def _lines_of(path: str, policy: str, number: int, first: int, end: int) -> Iterator[pa.RecordBatch]:
+    with opened(path) as f:
+        found, place = lines_between(f, first << 16, end << 16, aligned=False, strict=policy == "strict"), 0
+        while rows := list(islice(found, ROWS_A_BATCH)):
+            n = len(rows)
+            columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([number] * n, pa.int64()), pa.array(range(place, place + n), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[2].decode("latin-1") for x in rows], pa.string())], names=LINES)
+            place += n
 
 
 class BgzfLines(DataSource):
     """``spark.read.format("bgzf_lines").load(path)``: (record_id, next_id, run, place, raw), ids being virtual positions.
 
+    Without a block index its planner reads all headers of the file; ``bgzf_lines`` finds them in tasks.
+
     ``next_id`` is the position after the line, ``run`` is the run of blocks in which a line begins and ``place`` its number there, from 0.
 
     Options: ``policy`` (strict or reference), ``blocksPerTask``.
@@ -155,8 +166,15 @@ def bgzf_lines(spark: SparkSession, path: str, policy: str = "strict", blocks_pe
     As for plain text, lines are numbered from the counts of the runs before, and don't move. Unless they are
     ``numbered``, which reads the file twice, ``line_no`` is a number beyond any.
     """
-    spark.dataSource.register(BgzfLines)
-    lines = spark.read.format("bgzf_lines").option("policy", policy).option("blocksPerTask", str(blocks_per_task)).load(path)
+    bounds = runs(spark, path, policy, blocks_per_task)
+    asked = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))], "number long, first long, stop long").repartitionByRange(max(1, len(bounds) - 1), "number")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _lines_of(path, policy, *run)
+
+    lines = asked.mapInArrow(read, "record_id long, next_id long, run long, place long, raw string")
     if not numbered:
         return lines.select("record_id", "next_id", F.lit(1 << 62).alias("line_no"), "raw")
     order = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row a run
@@ -164,12 +182,20 @@ def bgzf_lines(spark: SparkSession, path: str, policy: str = "strict", blocks_pe
     return lines.join(F.broadcast(starts), "run").select("record_id", "next_id", (F.col("__before") + F.col("place") + 1).alias("line_no"), "raw")
 
 
+def runs(spark: SparkSession, path: str, policy: str = "strict", blocks_per_task: int = BLOCKS_A_TASK) -> list[int]:
+    """Compressed offsets that part an archive into runs of blocks, its data's end included: a number for each task."""
+    fresh = os.path.exists(f"{path}.gzi") and policy == "strict" and os.path.getmtime(f"{path}.gzi") >= os.path.getmtime(path)
+    if fresh or os.path.getsize(path) <= splits.SPLIT:  # a single split is walked at once
+        starts, end = block_starts(path, policy)
+        return [*starts[::blocks_per_task], end]
+    found = stored(spark, splits.manifest(spark, path, policy), "blocks")
+    heads = found.filter(F.col("block_no") % blocks_per_task == 0).select("coffset").orderBy("coffset").collect()
+    return [*(r.coffset for r in heads), found.agg(F.max(F.col("coffset") + F.col("csize"))).first()[0] or 0]
+
+
 def blocks(spark: SparkSession, path: str, policy: str = "strict") -> DataFrame:
     """The manifest: one row for each data block."""
-    with open(path, "rb", buffering=0) as f:
-        found = manifest(f, policy)
-    columns = list(zip(*((b.number, b.coffset, b.csize, b.uoffset, b.usize) for b in found))) or [()] * 5
-    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")]))
+    return splits.manifest(spark, path, policy)
 
 
 def inflated(spark: SparkSession, path: str, policy: str = "strict") -> DataFrame:
@@ -207,61 +233,16 @@ def range_of(blocks_: DataFrame, offset: int, size: int | None = None) -> DataFr
 
 
 def write_bgzf(spark: SparkSession, data: bytes | str, path: str, level: int = 6, text: bool = True, force: bool = False) -> dict[str, int]:
-    """Write content (or the file at a path) as a block archive with a block index beside it.
+    """Write the file at a path (or content at hand) as a block archive with a block index beside it.
 
-    Where a text block ends depends on the one before, so the cuts are planned in one pass over the source, which
-    keeps two numbers a block; tasks read and deflate blocks, which are written in their order as they come. Both
-    files are staged and renamed together.
+    Files are cut, deflated and put together in tasks, split by split. Both files are staged and renamed together.
     """
-    if not 0 <= level <= 9:
-        raise ValueError("compression levels are 0 to 9")
-    index = f"{path}.gzi"
-    for name in (path, index):
-        if os.path.exists(name) and (not force or not os.path.isfile(name)):
-            raise FileExistsError(name)
     if isinstance(data, str):
-        if os.path.exists(path) and os.path.samefile(data, path):
-            raise ValueError("input and output are the same file")
-        source: str | bytes = data
-        with open(data, "rb") as f:
-            planned = list(cuts(f, text))
-    else:
-        source, planned = data, list(cuts(io.BytesIO(data), text))
-    n_in, n_out, found = 0, 0, []
-    tasks = max(1, min(len(planned), max(spark.sparkContext.defaultParallelism * 4, len(planned) // 256)))
-    # a file's tasks read their own parts of it
-    parts = [(k, at, size, None if isinstance(source, str) else source[at : at + size]) for k, (at, size) in enumerate(planned)]
-    asked = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*parts) if parts else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["n", "at", "size", "p"])).repartitionByRange(tasks, "n")
-    name_in = source if isinstance(source, str) else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(name_in, "rb") if name_in else io.BytesIO() as f:
-            for batch in batches:
-                packed = []
-                for at, size, given in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                    if given is None:
-                        f.seek(at)
-                        given = f.read(size)
-                    packed.append(deflate(given, level))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["n", "m", "size"])
-
-    staged = [f"{path}.staged", f"{index}.staged"]
-    try:
-        with open(staged[0], "wb") as out:
-            for row in asked.mapInArrow(run, "n long, m binary, size long").orderBy("n").toLocalIterator():
-                found.append(Block(row["n"], n_out, len(row["m"]), n_in, row["size"]))
-                out.write(row["m"])
-                n_in, n_out = n_in + row["size"], n_out + len(row["m"])
-            out.write(EOF_BLOCK)
-        with open(staged[1], "wb") as out:
-            out.write(Gzi.of(found).to_bytes())
-        for a, b in zip(staged, (path, index)):
-            os.replace(a, b)
-    finally:
-        for name in staged:
-            if os.path.exists(name):
-                os.remove(name)
-    return {"bytes_in": n_in, "bytes_out": n_out + len(EOF_BLOCK), "blocks": len(found)}
+        return splits.write_archive(spark, Joined.of(data), path, level, text, force)
+    with tempfile.NamedTemporaryFile(dir=os.path.dirname(os.path.abspath(path)), prefix=".content-") as f:
+        f.write(data)
+        f.flush()
+        return splits.write_archive(spark, Joined.of(f.name), path, level, text, force)
 
 
 def verify(path: str, policy: str = "strict") -> dict[str, int]:
