@@ -217,8 +217,9 @@ def run_faidx(a: argparse.Namespace) -> dict:
     if packed:
         with open(a.gzi or a.reference + ".gzi", "rb") as f:
             gzi = f.read()
-    found = sequence.fetch_indexed(spark, a.reference, fai, [resolve_sequence(r, lengths) for r in asked], gzi)
-    rows = sequence.to_fasta(found, fai, a.length).orderBy("ordinal").toLocalIterator()
+    slices = sequence.slices_df(spark, [resolve_sequence(r, lengths) for r in asked])
+    found = sequence.parts_indexed(spark, a.reference, fai, slices, gzi)
+    rows = sequence.fasta_rows(slices, found, fai, a.length).orderBy("ordinal", "block").select("text").toLocalIterator()
     size = _write(((r["text"] + "\n").encode("latin-1") for r in rows), a.output)
     return {"operation": "query", "summary": {"regions": len(asked), "bytes_out": size}}
 

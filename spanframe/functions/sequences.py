@@ -14,11 +14,12 @@ def graphic(seq: Column) -> Column:
     return F.upper(F.regexp_replace(seq, "[^!-~]", ""))
 
 
-def wrap(seq: Column, width: int) -> Column:
-    """Lines of ``width`` characters; 0 leaves one line."""
-    if width == 0:
+def wrap(seq: Column, width: int | Column) -> Column:
+    """Lines of ``width`` characters, in one pass; 0 leaves one line."""
+    if isinstance(width, int) and width == 0:
         return seq
-    return F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n\\z", "")
+    line = F.lit(f"(.{{{width}}})(?!\\z)") if isinstance(width, int) else F.concat(F.lit("(.{"), width.cast("string"), F.lit("})(?!\\z)"))
+    return F.regexp_replace(seq, line, F.lit("$1\n"))
 
 
 def name_token(header: Column) -> Column:

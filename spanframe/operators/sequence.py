@@ -55,15 +55,13 @@ def validate_fai(fai: DataFrame) -> None:
         raise FormatError(f"{twice['name']} is indexed twice")
 
 
-def fetch(spark: SparkSession, lines: DataFrame, slices: Sequence[Slice] | DataFrame) -> DataFrame:
-    """(ordinal, header, ref, start, end, seq): the asked parts (0-based half-open), in the order asked.
+def parts(spark: SparkSession, lines: DataFrame, slices: DataFrame) -> DataFrame:
+    """(ordinal, at, seq): the asked parts line by line; ``at`` counts bases from the part's begin.
 
     Lines know the bases before them from their place and the sequence's line length, so each part is a range of
     lines. Parts ask for blocks of ``LINES`` lines and meet them in an equal join on (ref, block): a long sequence is
     spread over its blocks, and only lines in a part's range are cut. Few parts are broadcast.
     """
-    if not isinstance(slices, DataFrame):
-        slices = spark.createDataFrame([(k, s.header, s.ref, s.start, s.end) for k, s in enumerate(slices)], "ordinal long, header string, ref string, start long, end long")
     stride = lines.filter("line_in_ref = 0").select("ref", F.col("bases").alias("__stride"))
     asked = slices.filter("start < end").join(stride, "ref")
     line = lambda at: F.floor(at / F.col("__stride")).cast("long")
@@ -78,24 +76,39 @@ def fetch(spark: SparkSession, lines: DataFrame, slices: Sequence[Slice] | DataF
     met = met.withColumn("__at", F.col("line_in_ref") * F.col("__stride"))
     skip = F.greatest(F.col("__from") - F.col("__at"), F.lit(0))
     part = F.substring(F.col("seq"), (skip + 1).cast("int"), (F.least(F.col("__to") - F.col("__at"), F.col("bases")) - skip).cast("int"))
-    joined = met.select("ordinal", "line_in_ref", part.alias("seq")).groupBy("ordinal").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_in_ref", "seq"))), lambda x: x["seq"]), "").alias("seq")
-    )
+    return met.select("ordinal", (F.col("__at") + skip - F.col("__from")).alias("at"), part.alias("seq"))
+
+
+def slices_df(spark: SparkSession, slices: Sequence[Slice] | DataFrame) -> DataFrame:
+    if isinstance(slices, DataFrame):
+        return slices
+    return spark.createDataFrame([(k, s.header, s.ref, s.start, s.end) for k, s in enumerate(slices)], "ordinal long, header string, ref string, start long, end long")
+
+
+def _whole(slices: DataFrame, found: DataFrame) -> DataFrame:
+    """The slices with all their bases in a row each."""
+    joined = found.groupBy("ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda x: x["seq"]), "").alias("seq"))
     return slices.join(joined, "ordinal", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
+def fetch(spark: SparkSession, lines: DataFrame, slices: Sequence[Slice] | DataFrame) -> DataFrame:
+    """(ordinal, header, ref, start, end, seq): the asked parts (0-based half-open), each in a row. For long ones see ``fasta_rows``."""
+    slices = slices_df(spark, slices)
+    return _whole(slices, parts(spark, lines, slices))
+
+
 #: Lines that are asked for together, and the asked blocks up to which they are broadcast: some numbers and a name each.
 LINES, BROADCAST_PARTS = 4096, 50_000
 PART = 1 << 20
 
 
-def fetch_indexed(spark: SparkSession, path: str, fai: DataFrame, slices: Sequence[Slice], gzi: bytes | None = None, part: int = PART) -> DataFrame:
-    """As ``fetch``, but by seeking: the index gives each part's bytes, and only those are read.
+def parts_indexed(spark: SparkSession, path: str, fai: DataFrame, slices: Sequence[Slice] | DataFrame, gzi: bytes | None = None, part: int = PART) -> DataFrame:
+    """As ``parts``, but by seeking: the index gives each part's bytes, and only those are read.
 
     Long requests are cut into parts of ``part`` bases, each read by itself. A block-compressed file needs its
     block index. Line ends have to lie where the index says.
     """
-    asked = spark.createDataFrame([(k, s.header, s.ref, s.start, s.end) for k, s in enumerate(slices)], "ordinal long, header string, ref string, start long, end long")
+    asked = slices_df(spark, slices)
     begins = F.sequence(F.col("start"), F.greatest(F.col("start"), F.col("end") - 1), F.lit(part).cast("long"))
     cut = asked.filter(F.col("end") > F.col("start")).select("ordinal", "ref", "end", F.explode(begins).alias("a"))
     cut = cut.join(fai.select(F.col("name").alias("ref"), "length", "offset", "line_bases", "line_width"), "ref")
@@ -124,22 +137,52 @@ def fetch_indexed(spark: SparkSession, path: str, fai: DataFrame, slices: Sequen
                 rows = list(zip(*(c.to_pylist() for c in batch.columns)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bases(f, *r[1:]) for r in rows], pa.string())], names=["ordinal", "a", "seq"])
 
-    parts = cut.repartition("ordinal", "a").mapInArrow(run, "ordinal long, a long, seq string")
-    joined = parts.groupBy("ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    return asked.join(joined, "ordinal", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+    found = cut.repartition("ordinal", "a").mapInArrow(run, "ordinal long, a long, seq string")
+    return found.join(asked.select("ordinal", "start"), "ordinal").select("ordinal", (F.col("a") - F.col("start")).alias("at"), "seq")
+
+
+def fetch_indexed(spark: SparkSession, path: str, fai: DataFrame, slices: Sequence[Slice], gzi: bytes | None = None, part: int = PART) -> DataFrame:
+    """As ``fetch``, but by seeking, as ``parts_indexed`` does."""
+    asked = slices_df(spark, slices)
+    return _whole(asked, parts_indexed(spark, path, fai, asked, gzi, part))
 
 
 def to_fasta(found: DataFrame, fai: DataFrame, width: int | None = None) -> DataFrame:
     """(ordinal, text): header and wrapped bases; without ``width`` the sequence's own line length holds, 0 is one line."""
-    if width is not None:
-        body = wrap(F.col("seq"), width)
-        named = found
+    if width is None:
+        found = found.join(fai.select(F.col("name").alias("__name"), "line_bases"), F.col("ref") == F.col("__name"))
+    body = wrap(F.col("seq"), F.col("line_bases") if width is None else width)
+    return found.select("ordinal", F.concat(F.lit(">"), "header", F.when(F.col("seq") == "", "").otherwise(F.concat(F.lit("\n"), body))).alias("text"))
+
+
+#: Bases of a row of ``fasta_rows``, if a line isn't longer.
+ROW = 1 << 18
+
+
+def fasta_rows(slices: DataFrame, found: DataFrame, fai: DataFrame, width: int | None = None, row: int = ROW) -> DataFrame:
+    """(ordinal, block, text): the FASTA text of the slices whose parts are ``found``, by rows of whole lines, in this order.
+
+    Where a base goes is known from its place in the slice: lines of ``width`` bases (without it, of the sequence's own
+    line length) are dealt into blocks of about ``row`` bases, and each block is put together and wrapped by
+    itself. A slice of any length is many rows, none of them longer than a block or a line. Block -1 is the header.
+    """
+    asked = slices.select("ordinal", "header", "ref")
+    if width is None:
+        asked = asked.join(fai.select(F.col("name").alias("ref"), F.col("line_bases").alias("__width")), "ref")
     else:
-        named = found.join(fai.select(F.col("name").alias("__name"), "line_bases"), F.col("ref") == F.col("__name"))
-        n = F.col("line_bases").cast("int")
-        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("seq") / n) - 1, F.lit(0)).cast("int")), lambda k: F.substring(F.col("seq"), k * n + 1, n))
-        body = F.array_join(cut, "\n")
-    return named.select("ordinal", F.concat(F.lit(">"), "header", F.when(F.col("seq") == "", "").otherwise(F.concat(F.lit("\n"), body))).alias("text"))
+        asked = asked.withColumn("__width", F.lit(width if width else 1 << 62).cast("long"))
+    size = F.greatest(F.lit(1), F.expr(f"{row} div __width")) * F.col("__width")
+    heads = asked.select("ordinal", F.lit(-1).cast("long").alias("block"), F.concat(F.lit(">"), "header").alias("text"))
+    placed = found.filter(F.length("seq") > 0).join(asked.select("ordinal", "__width", size.alias("__size")), "ordinal")
+    end = F.col("at") + F.length("seq")
+    placed = placed.withColumn("block", F.explode(F.sequence(F.expr("at div __size"), F.expr("(at + length(seq) - 1) div __size"))))
+    low = F.greatest(F.col("at"), F.col("block") * F.col("__size"))
+    # a block's end may lie beyond any number where there is one line
+    high = F.when(F.col("block") < F.expr("9223372036854775807 div __size") - 1, F.least(end, (F.col("block") + 1) * F.col("__size"))).otherwise(end)
+    cut = placed.select("ordinal", "block", "__width", low.alias("at"), F.substring("seq", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("seq"))
+    joined = cut.groupBy("ordinal", "block", "__width").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    text = F.when(F.col("__width") >= F.length("seq"), F.col("seq")).otherwise(wrap(F.col("seq"), F.col("__width")))
+    return heads.unionByName(joined.select("ordinal", "block", text.alias("text")))
 
 
 def digests(spark: SparkSession, lines: DataFrame) -> DataFrame:

@@ -75,8 +75,8 @@ def fasta(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
     """Documents as sequences, cut into lines of ``width`` bases with a header line ahead of each."""
     seq = sequences.graphic(F.col("text"))
     rows = _table(spark, sf_dir, "documents").select(F.col("doc_id"), seq.alias("all")).filter(F.length("all") > 0)
-    cut = F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("all") - 1) / width).cast("int")), lambda k: F.substring(F.col("all"), k * width + 1, width)))
-    rows = rows.select("doc_id", F.length("all").alias("n"), cut.alias("line_in_ref", "seq"))
+    cut = F.posexplode(F.regexp_extract_all("all", F.lit(f".{{1,{width}}}"), F.lit(0)))
+    rows = rows.select("doc_id", cut.alias("line_in_ref", "seq"))
     bases = F.length("seq").cast("long")
     # a file for each document: the header is ">" and the id
     at = F.length(F.col("doc_id").cast("string")) + 2 + F.col("line_in_ref") * (width + 1)
@@ -354,6 +354,22 @@ def seq_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", sequences.wrap(sequences.graphic(F.col("text")), 60).alias("wrapped"))
 
 
+REGION_SQL = f"{FA_SQL}, part AS (SELECT doc_id, least(10, length(q)) AS a, length(q) AS b, substr(q, 11) AS p FROM fa WHERE length(q) > 0)"
+
+
+@query(f"WITH {REGION_SQL}, rows AS (SELECT doc_id, unnest(range(greatest(1, (length(p) + 699) // 700))) AS block, p FROM part WHERE length(p) > 0) "
+       "SELECT doc_id, CAST(-1 AS BIGINT) AS block, '>' || doc_id || ':11' AS text FROM part UNION ALL "
+       "SELECT doc_id, CAST(block AS BIGINT), regexp_replace(regexp_replace(substr(p, block * 700 + 1, 700), '(.{70})', '\\1' || chr(10), 'g'), '\\n$', '') FROM rows")
+def seq_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bases of every sequence from the eleventh on, as FASTA text of 70 bases a line, ten lines a row."""
+    rows = stored(spark, fasta(spark, sf_dir), "fasta")
+    total = rows.groupBy("ref").agg(F.sum("bases").alias("n"), F.min("ref_ordinal").alias("ordinal"))
+    asked = total.select("ordinal", F.concat("ref", F.lit(":11")).alias("header"), "ref", F.least(F.lit(10), "n").cast("long").alias("start"), F.col("n").alias("end"))
+    asked = stored(spark, asked, "asked")
+    text = sequence.fasta_rows(asked, sequence.parts(spark, rows, asked), sequence.build_fai(rows), 70, 700)
+    return text.select(F.col("ordinal").alias("doc_id"), "block", "text")
+
+
 @query(f"WITH {FA_SQL} SELECT CAST(doc_id AS VARCHAR) AS name, CAST(length(q) AS BIGINT) AS length, CAST(length(CAST(doc_id AS VARCHAR)) + 2 AS BIGINT) AS \"offset\", CAST(least(60, length(q)) AS BIGINT) AS line_bases, CAST(least(60, length(q)) + 1 AS BIGINT) AS line_width FROM fa WHERE length(q) > 0")
 def fai_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.build_fai(fasta(spark, sf_dir)).drop("ref_ordinal")

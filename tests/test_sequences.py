@@ -5,13 +5,14 @@ import hashlib
 import io
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanframe import cli
 from spanframe.functions.config import FormatError
-from spanframe.functions.regions import resolve_sequence
+from spanframe.functions.regions import Slice, resolve_sequence
 from spanframe.operators import sequence
 from spanframe.sources.bgzf import EOF_BLOCK, Gzi, decode, deflate, encode, manifest
 from spanframe.sources.fasta import fai_text, read_fai, read_fasta
@@ -227,3 +228,33 @@ def test_index_rows_beyond_any_file(spark, tmp_path, row):
     (tmp_path / "y.fai").write_text("a" * (1 << 20) + "\t1\t1\t1\t2\n")
     with pytest.raises(FormatError):
         read_fai(spark, str(tmp_path / "y.fai"))
+
+
+@pytest.mark.parametrize("width", [None, 1, 7, 60, 1000, 0])
+def test_rows_of_whole_lines(spark, tmp_path, width):
+    r = random.Random(8)
+    seqs = {f"s{k}": "".join(r.choice("ACGT") for _ in range(n)) for k, n in enumerate([1, 59, 60, 61, 1000, 5003])}
+    (tmp_path / "a.fa").write_text("".join(f">{n}\n" + "\n".join(s[k : k + 60] for k in range(0, len(s), 60)) + "\n" for n, s in seqs.items()))
+    lines = read_fasta(spark, str(tmp_path / "a.fa"))
+    fai = sequence.build_fai(lines)
+    slices = [Slice(f"{n}:{a}", n, a, b) for n, s in seqs.items() for a, b in [(0, len(s)), (min(13, len(s)), len(s)), (len(s) // 2, len(s) // 2 + 1), (0, 0)]]
+    asked = sequence.slices_df(spark, slices)
+    for found in (sequence.parts(spark, lines, asked), sequence.parts_indexed(spark, str(tmp_path / "a.fa"), fai, asked, part=777)):
+        got = sequence.fasta_rows(asked, found, fai, width, row=240).orderBy("ordinal", "block").collect()
+        want = []
+        for s in slices:
+            body, w = seqs[s.ref][s.start : s.end], {None: min(60, len(seqs[s.ref]))}.get(width, width) or 1 << 40
+            want += [f">{s.header}", *(body[k : k + w] for k in range(0, len(body), w))]
+        assert "\n".join(x.text for x in got).split("\n") == want
+        assert width == 0 or max(len(x.text) for x in got) <= max(240, 2 * (width or 60)) + 240
+
+
+def test_long_regions_take_linear_time(spark):
+    import time
+
+    n = 4_000_000
+    found = spark.createDataFrame([(0, "h", "r", "ACGT" * (n // 4))], "ordinal long, header string, ref string, seq string")
+    fai = spark.createDataFrame([("r", 60)], "name string, line_bases long")
+    began = time.perf_counter()
+    text = sequence.to_fasta(found, fai).first().text
+    assert time.perf_counter() - began < 20 and text.count("\n") == -(-n // 60) and not text.endswith("\n")
