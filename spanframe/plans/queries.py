@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from spanframe.functions import coords, records, sequences
 from spanframe.functions.config import PRESETS, detect
 from spanframe.functions.regions import Request, parse_region, resolve_sequence
-from spanframe.operators import asof, index, islands, overlap, sequence
+from spanframe.operators import asof, index, islands, lookup, overlap, sequence
 from spanframe.plans.ordering import ranked
 from spanframe.plans.scratch import shared_dir, stored
 from spanframe.sources import splits
@@ -231,6 +231,43 @@ def bin_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.bin_chunks(_sorted(spark, sf_dir))
 
 
+#: A request for every event: from its start on, most of them short, some for most of the reference, some open.
+ASKED_SQL = f"asked AS (SELECT record_id AS ordinal, ref, s, CASE record_id % 16 WHEN 0 THEN NULL WHEN 1 THEN s + 2000000 ELSE s + record_id % 60000 END AS e FROM ev)"
+WIDE_SQL = "(14 + 3 * (5 - level))"
+
+
+@query(f"""WITH {SORTED_SQL}, {ASKED_SQL}, b AS (SELECT ref, record_id, next_id, e, CAST({BIN_SQL} AS BIGINT) AS bin FROM so),
+r AS (SELECT *, CASE WHEN lag(next_id) OVER (PARTITION BY ref, bin ORDER BY record_id) = record_id THEN 0 ELSE 1 END AS fresh FROM b),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY ref, bin ORDER BY record_id ROWS UNBOUNDED PRECEDING) AS k FROM r),
+c AS (SELECT ref, bin, {LEVEL_SQL} AS level, min(record_id) AS cs, max(next_id) AS ce FROM g GROUP BY ref, bin, k),
+low AS (SELECT ordinal, min(record_id) AS least FROM asked JOIN (SELECT ref, record_id, (e - 1) >> 14 AS w, max((e - 1) >> 14) OVER (PARTITION BY ref) AS top FROM so) v ON v.ref = asked.ref AND v.w >= least((asked.s - 1) >> 14, top) GROUP BY ordinal),
+met AS (
+  SELECT a.ordinal, cs, ce FROM asked a JOIN low USING (ordinal) JOIN c ON c.ref = a.ref AND ce > least
+    AND bin - ((1 << (3 * level)) - 1) // 7 BETWEEN (a.s - 1) >> {WIDE_SQL} AND (least(coalesce(a.e, 536870912), 536870912) - 1) >> {WIDE_SQL}),
+m AS (SELECT *, CASE WHEN cs <= max(ce) OVER (PARTITION BY ordinal ORDER BY cs, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM met),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY ordinal ORDER BY cs, ce ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT ordinal, min(cs) AS chunk_start, max(ce) AS chunk_end FROM k GROUP BY ordinal, island""")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that hold what a request for every event can meet."""
+    rows = stored(spark, _sorted(spark, sf_dir), "sorted")
+    i = F.col("record_id")
+    end = F.when(i % 16 == 0, F.lit(None).cast("long")).when(i % 16 == 1, F.col("start") + 2_000_000).otherwise(F.col("start") + i % 60_000)
+    asked = ev(spark, sf_dir).select(i.alias("ordinal"), "ref", "start", end.alias("end"))
+    return lookup.merged(lookup.lookup(asked, index.bin_chunks(rows), index.linear_index(rows)))
+
+
+@query(f"""WITH {EV_SQL}, q AS (SELECT o_orderkey AS ordinal, ['view', 'click', 'purchase'][1 + o_orderkey % 3] AS ref, 1 + o_orderkey * 37 % 300000 AS a, 501 + o_orderkey * 37 % 300000 AS b FROM orders)
+SELECT ordinal, record_id, v.ref, s AS "start", e AS "end" FROM ev v JOIN q ON v.ref = q.ref AND v.e >= q.a AND v.s <= q.b""")
+def layout_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every order against the laid out events: they fall into the first days, so most slabs aren't scanned."""
+    path, i = f"{shared_dir(spark)}/scratch/layout-{uuid.uuid4().hex}", F.col("o_orderkey")
+    index.write_layout(ev(spark, sf_dir), path)
+    ref = F.element_at(F.array(*map(F.lit, ("view", "click", "purchase"))), (1 + i % 3).cast("int"))
+    start = 1 + i * 37 % 300_000
+    asked = _table(spark, sf_dir, "orders").select(i.alias("ordinal"), ref.alias("ref"), start.alias("start"), (start + 500).alias("end"))
+    return index.read_layout(spark, path, asked).select("ordinal", "record_id", "ref", "start", "end")
+
+
 @query(f"""WITH {SORTED_SQL}, w AS (SELECT ref, max((e - 1) >> 14) AS top FROM so GROUP BY ref), all_w AS (SELECT ref, unnest(range(top + 1)) AS win FROM w)
 SELECT all_w.ref, CAST(win AS BIGINT) AS "window", min(record_id) AS min_offset FROM all_w JOIN so ON so.ref = all_w.ref AND (e - 1) >> 14 >= win GROUP BY ALL""")
 def linear_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,12 +160,48 @@ def test_index_takes_its_last_position(spark):
 
 
 def test_layout_prunes(spark, tmp_path):
-    rows = draw(5, 300)
-    index.write_layout(frame(spark, rows), str(tmp_path / "layout"))
-    df = index.read_layout(spark, str(tmp_path / "layout"), "a", 100, 500, 901)
-    assert sorted(r.record_id for r in df.collect()) == sorted(r[0] for r in rows if meets(r, (0, "a", 100, 500)))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(ref" in plan and "LessThanOrEqual(start,500)" in plan and "GreaterThan(start," in plan
+    """Many requests: hits as without a layout, from few of its slabs; names of references stay text."""
+    rows = [(k, "01" if k % 3 else "a", 1 + k * 9973 % 5_000_000, 1 + k * 9973 % 5_000_000 + k % 500) for k in range(3000)]
+    path = str(tmp_path / "layout")
+    index.write_layout(frame(spark, rows), path)
+    asked = [(k, "01", 1 + k * 31, 200 + k * 31) for k in range(2500)] + [(9000, "a", 4_900_000, None), (9001, "b", 1, None)]
+    requests = spark.createDataFrame(asked, "ordinal long, ref string, start long, end long")
+    df = index.read_layout(spark, path, requests)
+    want = sorted((o, r[0]) for o, ref, a, b in asked for r in rows if r[1] == ref and r[3] >= a and (b is None or r[2] <= b))
+    assert sorted((r.ordinal, r.record_id) for r in df.collect()) == want
+    read = index.slabs_for(spark, path, requests).agg(F.sum("n")).first()[0]
+    assert read < 0.1 * len(rows)
+    plan = df._jdf.queryExecution().toString()
+    assert "PartitionFilters: [concat_ws" in plan
+    assert index.read_layout(spark, path, requests.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("csi", [False, True])
+def test_lookup_against_the_codec(spark, csi):
+    """Chunks of requests of any width, near the tree's end and beyond, with and without windows."""
+    from spanframe.operators.lookup import index_tables, lookup, merged
+    from spanframe.sources.tabix_codec import Index, Reference, chunks_of
+    from spanframe.functions.config import PRESETS
+
+    r, most = random.Random(csi), coords.capacity()
+    rows, at = [], 0
+    for ref in ("a", "b"):
+        for start in sorted(r.choice([r.randint(1, 3_000_000), r.randint(1, most - 1)]) for _ in range(400)):
+            rows.append((at, at + 10, ref, start, min(most, start + r.choice([0, 50, 40_000, 3_000_000]))))
+            at += r.choice([10, 10, 700_000])
+    df = spark.createDataFrame(rows, "record_id long, next_id long, ref string, start long, end long")
+    found = {n: Reference(n) for n in ("a", "b")}
+    for x in index.bin_chunks(df).orderBy("ref", "bin", "chunk_start").collect():
+        found[x.ref].bins.setdefault(x.bin, []).append((x.chunk_start, x.chunk_end))
+    for x in [] if csi else index.linear_index(df).orderBy("ref", "window").collect():
+        found[x.ref].linear.append(x.min_offset)
+    held = Index("csi" if csi else "tbi", PRESETS["bed"], list(found.values()))
+    asked = [(k, r.choice("aabc"), (a := r.choice([1, r.randint(1, 3_000_000), r.randint(1, most + 5)])), r.choice([None, a, a + 20_000, a + 5_000_000, most, most + 9])) for k in range(300)]
+    asked = [x for x in asked if x[3] is None or x[3] >= x[2]]
+    got: dict = {}
+    for x in merged(lookup(spark.createDataFrame(asked, "ordinal long, ref string, start long, end long"), *index_tables(spark, held))).collect():
+        got.setdefault(x.ordinal, []).append((x.chunk_start, x.chunk_end))
+    assert {k: sorted(v) for k, v in got.items()} == {k: c for k, ref, a, b in asked if ref in found and (c := chunks_of(held, found[ref], a, b))}
 
 
 def test_ranked(spark):
