@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
 
 
 class FormatError(ValueError):
@@ -74,19 +78,28 @@ def _by_name(name: str) -> str | None:
 
 def detect(name: str, sample: str) -> Config:
     """The preset that the file's name, its header lines and its first data row agree on."""
-    from spanframe.functions.records import parse_line
-
     lines = [x.removesuffix("\r") for x in sample.split("\n")]
     said = {kind for kind, pattern in HINTS for line in lines if line[:1] in ("#", "@") and pattern.match(line)}
+    rows = {mark: next((x for x in lines if x and not x.startswith(mark)), None) for mark in MARKS}
+    return PRESETS[decide(name, said, rows)]
+
+
+#: The comment markers of the presets.
+MARKS = ("#", "@")
+
+
+def decide(name: str, said: set[str], rows: dict[str, str | None]) -> str:
+    """The preset's name, from what header lines say and the first data row for each comment marker."""
+    from spanframe.functions.records import parse_line
+
     named = _by_name(name)
-    if named:
-        said.add(named)
+    said = said | ({named} if named else set())
     if len(said) > 1:
         raise FormatError(f"name and header disagree on the format: {', '.join(sorted(said))}")
 
     def parses(kind: str) -> bool:
         config = PRESETS[kind]
-        row = next((x for x in lines if x and not x.startswith(config.comment)), None)
+        row = rows[config.comment]
         if row is None:
             return bool(said)
         try:
@@ -98,7 +111,35 @@ def detect(name: str, sample: str) -> Config:
     kinds = [k for k in (said or PRESETS) if parses(k)]
     if len(kinds) != 1:
         raise FormatError("the format can't be told; name a preset" if not said else f"the first row is not {said.pop()}")
-    return PRESETS[kinds[0]]
+    return kinds[0]
+
+
+def detect_files(lines: DataFrame) -> DataFrame:
+    """(path, format, error) for each path of (path, line_no, raw): what ``detect`` says of each file, conflicts as results.
+
+    One aggregate a path keeps three flags and two lines, which are judged in batches; files of any number.
+    """
+    from pyspark.sql import functions as F
+
+    raw = F.regexp_replace("raw", r"\r\z", "")
+    cut = lines.select("path", "line_no", raw.alias("raw"))
+    hint = lambda pattern: F.coalesce(F.bool_or(F.col("raw").rlike("\\A[#@]") & F.col("raw").rlike(f"\\A(?:{pattern.pattern})")), F.lit(False))
+    first = lambda mark: F.min(F.when((F.col("raw") != "") & ~F.col("raw").startswith(mark), F.struct("line_no", "raw")))["raw"]
+    told = cut.groupBy("path").agg(*(hint(p).alias(kind) for kind, p in HINTS), *(first(mark).alias(f"row{k}") for k, mark in enumerate(MARKS)))
+
+    def judge(frames):
+        for frame in frames:
+            found, errors = [], []
+            for row in frame.itertuples(index=False):
+                try:
+                    found.append(decide(row.path, {kind for kind, _ in HINTS if getattr(row, kind)}, {mark: getattr(row, f"row{k}") for k, mark in enumerate(MARKS)}))
+                    errors.append(None)
+                except FormatError as e:
+                    found.append(None)
+                    errors.append(str(e))
+            yield frame[["path"]].assign(format=found, error=errors)
+
+    return told.mapInPandas(judge, "path string, format string, error string")
 
 
 def to_header(config: Config) -> dict[str, int]:

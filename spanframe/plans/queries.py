@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import coords, records, sequences
-from spanframe.functions.config import PRESETS, detect
-from spanframe.functions.regions import Request, parse_region, resolve_sequence
+from spanframe.functions.config import PRESETS, detect_files
+from spanframe.functions.regions import Request, parse_region
+from spanframe.functions.request_tables import parse_regions, resolve_regions
 from spanframe.operators import asof, index, islands, lookup, overlap, sequence
 from spanframe.plans.ordering import ranked
 from spanframe.plans.scratch import shared_dir, stored
@@ -327,32 +329,103 @@ def vcf_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", records.vcf_end(i, F.repeat(F.lit("A"), (i % 9 + 1).cast("int")), info).alias("end"))
 
 
-@query("SELECT * FROM (VALUES ('a.vcf.gz', '##fileformat=VCFv4.3', 'vcf'), ('b.bed', 'c' || chr(9) || '1' || chr(9) || '2', 'bed'), ('c.txt', '##gff-version 3', 'gff'), ('d', '@SQ' || chr(9) || 'SN:c', 'sam')) AS x(name, sample, format)")
+#: Documents as files: names and header lines by id, then a row a line of text: line number, its length, and more columns for some.
+FILES_SQL = r"""files AS (SELECT doc_id || CASE doc_id % 7 WHEN 0 THEN '.bed' WHEN 1 THEN '.vcf.gz' WHEN 2 THEN '.gff3' WHEN 3 THEN '.txt' WHEN 4 THEN '' WHEN 5 THEN '.SAM' ELSE '.bed.gz' END AS path,
+  CASE doc_id % 5 WHEN 0 THEN '##fileformat=VCFv4.3' WHEN 1 THEN '##gff-version 3' WHEN 2 THEN '# a comment' WHEN 3 THEN '@SQ' || chr(9) || 'SN:c' ELSE 'c' || chr(9) || '7' || chr(9) || '9' || chr(13) END AS head,
+  CASE doc_id % 3 WHEN 0 THEN 'c' || chr(9) || doc_id || chr(9) || length(text) WHEN 1 THEN 'c' || chr(9) || (doc_id + 1) || chr(9) || '.' || chr(9) || 'A' || chr(9) || '.' || chr(9) || '.' || chr(9) || '.' || chr(9) || 'DP=1' ELSE 'c' || chr(9) || 's' || chr(9) || 'f' || chr(9) || (doc_id + 1) || chr(9) || (doc_id + length(text)) END AS body, text FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(rf"""WITH {FILES_SQL},
+lines AS (SELECT path, 0 AS line_no, regexp_replace(head, '\r$', '') AS raw FROM files UNION ALL SELECT path, 1, body FROM files UNION ALL SELECT path, 2 + unnest(range(len(string_split(text, chr(10))))), regexp_replace(unnest(string_split(text, chr(10))), '\r$', '') FROM files),
+said AS (SELECT path, bool_or(regexp_matches(raw, '^(##fileformat=VCF|#CHROM\tPOS\t)')) AS vcf, bool_or(regexp_matches(raw, '^##gff-version')) AS gff, bool_or(regexp_matches(raw, '^@(HD|SQ|RG|PG|CO)\t')) AS sam,
+  arg_min(raw, line_no) FILTER (raw <> '' AND NOT starts_with(raw, '#')) AS hash_row, arg_min(raw, line_no) FILTER (raw <> '' AND NOT starts_with(raw, '@')) AS at_row FROM lines GROUP BY path),
+named AS (SELECT *, regexp_extract(regexp_replace(lower(path), '\.(gz|bgz|bgzf)$', ''), '\.(bed|gff3|gff|gtf|sam|vcf)$', 1) AS ext FROM said),
+kinds AS (SELECT *, list_distinct(list_filter([CASE WHEN vcf OR ext = 'vcf' THEN 'vcf' END, CASE WHEN gff OR starts_with(ext, 'g') THEN 'gff' END, CASE WHEN sam OR ext = 'sam' THEN 'sam' END, CASE WHEN ext = 'bed' THEN 'bed' END], lambda x: x IS NOT NULL)) AS told,
+  string_split(hash_row, chr(9)) AS h, string_split(at_row, chr(9)) AS s FROM named),
+fits AS (SELECT *,
+  len(h) >= 3 AND h[1] <> '' AND regexp_full_match(h[2], '[0-9]+') AND regexp_full_match(h[3], '[0-9]+') AND TRY_CAST(h[3] AS BIGINT) > TRY_CAST(h[2] AS BIGINT) AS is_bed,
+  len(h) >= 5 AND h[1] <> '' AND regexp_full_match(h[4], '[0-9]+') AND regexp_full_match(h[5], '[0-9]+') AND TRY_CAST(h[4] AS BIGINT) >= 1 AND TRY_CAST(h[5] AS BIGINT) >= TRY_CAST(h[4] AS BIGINT) AS is_gff,
+  len(h) >= 8 AND h[1] <> '' AND regexp_full_match(h[2], '[0-9]+') AND TRY_CAST(h[2] AS BIGINT) >= 1 AND h[4] NOT IN ('', '.') AND NOT contains(h[8], 'END=') AS is_vcf,
+  len(s) >= 6 AND s[3] NOT IN ('', '*') AND regexp_full_match(s[4], '[0-9]+') AND TRY_CAST(s[4] AS BIGINT) >= 1 AND s[6] = '*' AS is_sam FROM kinds),
+good AS (SELECT path, told, list_filter([CASE WHEN is_bed THEN 'bed' END, CASE WHEN is_gff THEN 'gff' END, CASE WHEN is_sam THEN 'sam' END, CASE WHEN is_vcf THEN 'vcf' END], lambda x: x IS NOT NULL) AS fitting FROM fits)
+SELECT path, CASE WHEN len(told) > 1 THEN NULL WHEN len(told) = 1 THEN CASE WHEN list_contains(fitting, told[1]) THEN told[1] END WHEN len(fitting) = 1 THEN fitting[1] END AS format,
+  CASE WHEN len(told) > 1 THEN 'conflict' WHEN len(told) = 1 THEN CASE WHEN list_contains(fitting, told[1]) THEN 'none' ELSE 'row' END WHEN len(fitting) = 1 THEN 'none' ELSE 'unknown' END AS trouble FROM good""")
 def format_detect_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = [("a.vcf.gz", "##fileformat=VCFv4.3"), ("b.bed", "c\t1\t2"), ("c.txt", "##gff-version 3"), ("d", "@SQ\tSN:c")]
-    names = {config: name for name, config in PRESETS.items()}
-    return spark.createDataFrame([(n, s, names[detect(n, s)]) for n, s in cases], "name string, sample string, format string")
+    """Every document as a file: name, header line, first rows; what the three agree on, or how they don't."""
+    i, n = F.col("doc_id"), F.length("text")
+    rows = _table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    pick = lambda by, *values: F.element_at(F.array(*values), (i % by + 1).cast("int"))
+    tabs = lambda *cells: F.concat_ws("\t", *(F.lit(c) if isinstance(c, str) else c.cast("string") for c in cells))
+    path = F.concat(i.cast("string"), pick(7, *map(F.lit, (".bed", ".vcf.gz", ".gff3", ".txt", "", ".SAM", ".bed.gz"))))
+    head = pick(5, *map(F.lit, ("##fileformat=VCFv4.3", "##gff-version 3", "# a comment", "@SQ\tSN:c", "c\t7\t9\r")))
+    body = pick(3, tabs("c", i, n), tabs("c", i + 1, ".", "A", ".", ".", ".", "DP=1"), tabs("c", "s", "f", i + 1, i + n))
+    all_ = rows.select(path.alias("path"), F.posexplode(F.concat(F.array(head, body), F.split("text", "\n", -1))).alias("line_no", "raw"))
+    found = detect_files(all_)
+    trouble = F.when(F.col("error").isNull(), "none").when(F.col("error").startswith("name and header"), "conflict").when(F.col("error").startswith("the first row"), "row").otherwise("unknown")
+    return found.select("path", "format", trouble.alias("trouble"))
+
+
+#: A request of each form, and of each mistake, by event; ``{t}``, ``{i}`` and ``{j}`` are its type, its id and a number above.
+FORMS = ("{t}", "{t}:{i}", "{t}:{i}-{j}", "{t}:{i}-", "{t}:-{j}", "{t}:-", "HLA:{t}:{i}-{j}", "{t}:1,{p}-2,{p}", "{t}:", "{t}:0-{j}", "{t}:{j}-{i}", "{t}:1,{i}x", ":{i}", "{t}:{i}-{j}-3", "{t}:99999999999999999999", "{t}:1,00")
+
+
+def _form(form: str, sql: bool):
+    """A form as SQL text or as a column."""
+    parts = re.split(r"(\{[tijp]\})", form)
+    if sql:
+        told = {"{t}": "event_type", "{i}": "(1 + event_id)", "{j}": "(2 + event_id * 2)", "{p}": "lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0')"}
+        return " || ".join(told.get(p) or f"'{p}'" for p in parts if p)
+    i = F.col("event_id")
+    told = {"{t}": F.col("event_type"), "{i}": (1 + i).cast("string"), "{j}": (2 + i * 2).cast("string"), "{p}": F.lpad((i % 1000).cast("string"), 3, "0")}
+    return F.concat(*(told.get(p, F.lit(p)) for p in parts if p))
 
 
-GRAMMAR = ("chr1", "chr1:20", "chr1:1,000-2,000", "chr1:5-", "chr1:-7", "chr1:-", "HLA:A:10-20")
+def _forms_sql(forms: tuple[str, ...]) -> str:
+    return f"CASE event_id % {len(forms)} " + " ".join(f"WHEN {k} THEN {_form(f, True)}" for k, f in enumerate(forms)) + " END"
 
 
-@query("WITH r(region) AS (VALUES " + ", ".join(f"('{x}')" for x in GRAMMAR) + r"""), c AS (SELECT region, regexp_extract(region, '^(.*):([^:]*)$', 1) AS n, replace(regexp_extract(region, '^(.*):([^:]*)$', 2), ',', '') AS p FROM r)
-SELECT region, CASE WHEN contains(region, ':') THEN n ELSE region END AS ref,
-CAST(CASE WHEN regexp_extract(p, '^([0-9]+)', 1) = '' THEN '1' ELSE regexp_extract(p, '^([0-9]+)', 1) END AS BIGINT) AS "start",
-coalesce(CAST(CASE WHEN contains(p, '-') THEN nullif(regexp_extract(p, '-([0-9]*)$', 1), '') ELSE nullif(p, '') END AS BIGINT), -1) AS "end" FROM c""")
-def region_text_parse_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """-1 stands for an open end here."""
-    return spark.createDataFrame([(r.label, r.ref, r.start, -1 if r.end is None else r.end) for r in map(parse_region, GRAMMAR)], "region string, ref string, start long, end long")
+def _forms(forms: tuple[str, ...]):
+    return F.element_at(F.array(*(_form(f, False) for f in forms)), (F.col("event_id") % len(forms) + 1).cast("int"))
 
 
-SEQUENCE_GRAMMAR = (("a", "a", 0, 100), ("a:20", "a", 19, 100), ("a:1,0-2,0", "a", 9, 20), ("{a:2-7}", "a:2-7", 0, 30), ("{a}:2-7", "a", 1, 7), ("a:90-500", "a", 89, 100), ("a:400-500", "a", 100, 100))
+PLACE = r"^([0-9]{1,3}(,[0-9]{3})+|[0-9]+)$"
 
 
-@query("SELECT x.request, x.ref, CAST(x.a AS BIGINT) AS \"start\", CAST(x.b AS BIGINT) AS \"end\" FROM (VALUES " + ", ".join(f"('{q}', '{n}', {a}, {b})" for q, n, a, b in SEQUENCE_GRAMMAR) + ") AS x(request, ref, a, b)")
+@query(rf"""WITH r AS (SELECT event_id, {_forms_sql(FORMS)} AS region FROM events),
+c AS (SELECT *, contains(region, ':') AS colon, CASE WHEN contains(region, ':') THEN regexp_extract(region, '^(.*):([^:]*)$', 1) ELSE region END AS name, regexp_extract(region, '^(.*):([^:]*)$', 2) AS span FROM r),
+p AS (SELECT *, contains(span, '-') AS dash, CASE WHEN contains(span, '-') THEN substr(span, 1, instr(span, '-') - 1) ELSE span END AS low, CASE WHEN contains(span, '-') THEN substr(span, instr(span, '-') + 1) ELSE '' END AS high FROM c),
+n AS (SELECT *, TRY_CAST(replace(low, ',', '') AS HUGEINT) AS a, TRY_CAST(replace(high, ',', '') AS HUGEINT) AS b FROM p),
+e AS (SELECT *, CASE WHEN name = '' THEN 'invalid reference name' WHEN colon AND span = '' THEN 'nothing after the colon' WHEN low <> '' AND NOT regexp_matches(low, '{PLACE}') THEN 'invalid position' WHEN low <> '' AND NOT a BETWEEN 1 AND 9223372036854775807 THEN 'position out of range'
+  WHEN high <> '' AND NOT regexp_matches(high, '{PLACE}') THEN 'invalid position' WHEN high <> '' AND NOT b BETWEEN 1 AND 9223372036854775807 THEN 'position out of range' WHEN b < coalesce(a, 1) THEN 'ends before it begins' END AS error FROM n)
+SELECT event_id, region, CASE WHEN error IS NULL THEN name END AS ref, CASE WHEN error IS NULL THEN CAST(coalesce(a, 1) AS BIGINT) END AS "start", CASE WHEN error IS NULL THEN CAST(CASE WHEN dash THEN b ELSE a END AS BIGINT) END AS "end", error FROM e""")
+def region_text_parse_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request text for every event, read by the interval grammar; mistakes are rows."""
+    rows = _table(spark, sf_dir, "events").select("event_id", _forms(FORMS).alias("region"))
+    return parse_regions(rows)
+
+
+SEQUENCE_FORMS = ("{t}", "{t}:{i}", "{t}:{i}-{j}", "{t}:1,0-2,0", "{{t}:2-7}", "{{t}}:2-7", "{{t}:2-7}:3-", "{t}:2-7", "{t}:-{j}", "{t}:", "{t}:0-3", "{t}:{j}-{i}", "{{t}", "{t}:x", "no:{t}", "{{t}}9", "{t}:99999999999999999999-")
+NAMES_SQL = "lengths AS (SELECT event_type AS name, count(*) AS length FROM events GROUP BY event_type UNION ALL SELECT event_type || ':2-7', count(*) // 2 FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type)"
+
+
+@query(rf"""WITH {NAMES_SQL}, r AS (SELECT event_id, {_forms_sql(SEQUENCE_FORMS)} AS request FROM events),
+c AS (SELECT *, starts_with(request, '{{') AS braced, instr(request, '}}') AS shut, contains(request, ':') AS colon FROM r),
+p AS (SELECT *, braced AND (shut = 0 OR NOT regexp_matches(substr(request, shut + 1), '^(:|$)')) AS broken,
+  CASE WHEN braced THEN CASE WHEN shut > 0 THEN substr(request, 2, shut - 2) END WHEN colon THEN regexp_extract(request, '^(.*):([^:]*)$', 1) ELSE request END AS name,
+  CASE WHEN braced THEN CASE WHEN shut > 0 AND shut < length(request) THEN substr(request, shut + 2) END WHEN colon THEN regexp_extract(request, '^(.*):([^:]*)$', 2) END AS span FROM c),
+l AS (SELECT p.*, n.length AS own, w.length AS every FROM p LEFT JOIN lengths n ON n.name = p.name LEFT JOIN lengths w ON w.name = p.request AND NOT braced AND colon),
+s AS (SELECT event_id, request, broken, every IS NOT NULL AND own IS NOT NULL AND regexp_matches(span, '^[0-9,]+(-[0-9,]*)?$') AS two, CASE WHEN every IS NULL THEN name ELSE request END AS ref, CASE WHEN every IS NULL THEN span END AS span, coalesce(every, own) AS n FROM l),
+d AS (SELECT *, contains(span, '-') AS dash, CASE WHEN contains(span, '-') THEN substr(span, 1, instr(span, '-') - 1) ELSE span END AS low, CASE WHEN contains(span, '-') THEN substr(span, instr(span, '-') + 1) ELSE '' END AS high FROM s),
+v AS (SELECT *, TRY_CAST(replace(low, ',', '') AS HUGEINT) AS a, TRY_CAST(replace(high, ',', '') AS HUGEINT) AS b FROM d),
+e AS (SELECT *, CASE WHEN broken THEN 'unbalanced braces' WHEN two THEN 'two readings' WHEN n IS NULL THEN 'no sequence' WHEN low <> '' AND (NOT regexp_matches(replace(low, ',', ''), '^[0-9]+$') OR a > 18446744073709551615) THEN 'invalid position' WHEN low = '' AND NOT dash THEN 'nothing after the colon' WHEN a = 0 THEN 'position 0'
+  WHEN high <> '' AND (NOT regexp_matches(replace(high, ',', ''), '^[0-9]+$') OR b > 18446744073709551615) THEN 'invalid position' WHEN coalesce(a, 1) > b THEN 'ends before it begins' END AS error, least(coalesce(a, 1) - 1, n) AS x, least(coalesce(b, n), n) AS y FROM v)
+SELECT event_id, request, CASE WHEN error IS NULL THEN ref END AS ref, CASE WHEN error IS NULL THEN CAST(x AS BIGINT) END AS "start", CASE WHEN error IS NULL THEN CAST(greatest(x, y) AS BIGINT) END AS "end", error FROM e""")
 def region_text_parse_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [resolve_sequence(q, {"a": 100, "a:2-7": 30}) for q, *_ in SEQUENCE_GRAMMAR]
-    return spark.createDataFrame([(s.header, s.ref, s.start, s.end) for s in found], "request string, ref string, start long, end long")
+    """A sequence request for every event, resolved against names of which some look like ranges of others."""
+    events = _table(spark, sf_dir, "events")
+    counts = events.groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("length"))
+    ranges = counts.filter(F.col("name").isin("click", "view")).select(F.concat("name", F.lit(":2-7")).alias("name"), F.expr("length div 2").alias("length"))
+    return resolve_regions(events.select("event_id", _forms(SEQUENCE_FORMS).alias("request")), counts.unionByName(ranges))
 
 
 @query(f"WITH {FA_SQL} SELECT CAST(doc_id AS VARCHAR) AS ref, CAST(length(q) AS BIGINT) AS length, md5(q) AS md5 FROM fa WHERE length(q) > 0")
