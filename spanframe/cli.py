@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import shutil
 import sys
 import tempfile
 from collections.abc import Iterable, Sequence
@@ -84,6 +85,12 @@ def run_bgzip(a: argparse.Namespace) -> dict:
         raise ValueError("a range needs decompress")
     if a.size is not None and a.offset is None:
         raise ValueError("size needs offset")
+    if a.index_input and a.offset is None:
+        raise ValueError("an index to read needs offset")
+    if a.index_output and modes not in ([], ["reindex"]):
+        raise ValueError("an index is written when compressing and reindexing only")
+    if modes and (a.level is not None or a.binary):
+        raise ValueError("level and binary are for compressing")
     output = None if a.output == "-" else a.output
     guard_output(output, [a.input], a.force)
     with ExitStack() as stack:
@@ -101,7 +108,9 @@ def run_bgzip(a: argparse.Namespace) -> dict:
 
             return {"operation": "test", "summary": verify(source)}
         if a.reindex:
-            out = output or a.input + ".gzi"
+            if output and a.index_output:
+                raise ValueError("reindexing writes one file")
+            out = output or a.index_output or a.input + ".gzi"
             guard_output(out, [a.input], a.force)
             for _, member in checked(members(f)):
                 inflate(member)
@@ -113,6 +122,10 @@ def run_bgzip(a: argparse.Namespace) -> dict:
             guard_output(output, [index], a.force)
             with open(index, "rb") as g:
                 parts = [read_range(f, Gzi.parse(g.read()), a.offset, a.size)]
+        elif output is not None:
+            from spanframe.sources.splits import inflate_file
+
+            return {"operation": "decompress", "summary": inflate_file(_spark(), source, output)}
         else:
             parts = (inflate(member) for _, member in checked(members(f)))
         return {"operation": "decompress", "summary": {"bytes_out": _write(parts, output)}}
@@ -122,13 +135,20 @@ def _compress(stack: ExitStack, a: argparse.Namespace, source: str, output: str
     """A named input without an output gets ``.gz`` beside it; standard input goes to standard output."""
     from spanframe.sources.archive import write_bgzf
 
+    level = 6 if a.level is None else a.level
     if output is None and (a.input == "-" or a.output == "-"):
         folder = stack.enter_context(tempfile.TemporaryDirectory())
-        summary = write_bgzf(_spark(), source, f"{folder}/out.gz", a.level, not a.binary)
+        summary = write_bgzf(_spark(), source, f"{folder}/out.gz", level, not a.binary, index=f"{folder}/out.gzi")
+        if a.index_output:
+            guard_output(a.index_output, [source], a.force)
+            shutil.copyfile(f"{folder}/out.gzi", a.index_output + ".staged")
+            os.replace(a.index_output + ".staged", a.index_output)
         with open(f"{folder}/out.gz", "rb") as f:
             _write(iter(lambda: f.read(1 << 20), b""), None)
         return summary
-    return write_bgzf(_spark(), source, output or a.input + ".gz", a.level, not a.binary, a.force)
+    if a.index_output:
+        guard_output(a.index_output, [source], a.force)
+    return write_bgzf(_spark(), source, output or a.input + ".gz", level, not a.binary, a.force, a.index_output)
 
 
 def run_tabix(a: argparse.Namespace) -> dict:
@@ -259,7 +279,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-d", "--decompress", action="store_true")
     p.add_argument("-t", "--test", action="store_true")
     p.add_argument("-r", "--reindex", action="store_true")
-    p.add_argument("-l", "--level", type=int, default=6)
+    p.add_argument("-l", "--level", "--compress-level", type=int)
+    p.add_argument("--index-output", help="the block index that compressing or reindexing writes")
     p.add_argument("--binary", action="store_true")
     p.add_argument("--index-input")
     p.add_argument("-b", "--offset", type=int)

@@ -14,7 +14,8 @@ from spanframe.functions import coords, records
 from spanframe.functions.config import Config, FormatError, detect
 from spanframe.functions.regions import RegionError, Request
 from spanframe.operators import index as tables
-from spanframe.operators.overlap import query
+from spanframe.operators.lookup import index_tables, lookup, merged
+from spanframe.operators.overlap import query, requests_df
 from spanframe.plans.scratch import stored
 from spanframe.sources.archive import ROWS_A_BATCH, bgzf_lines, block_starts, lines_between
 from spanframe.sources.bgzf import EOF_BLOCK, checked, inflate, members
@@ -23,6 +24,8 @@ from spanframe.sources.tabix_codec import Index, Reference, chunks_of, dump, loa
 SAMPLE_BYTES = 1 << 20
 #: Compressed bytes that a task reads of an indexed file.
 TASK_BYTES = 1 << 22
+#: Requests that are looked up in the index without a join.
+ONE_BY_ONE = 5000
 
 
 def sample(path: str) -> str:
@@ -121,6 +124,18 @@ def chunk_lines(spark: SparkSession, path: str, chunks: Sequence[tuple[int, int]
     return asked.mapInArrow(run, "record_id long, raw string")
 
 
+def candidates(spark: SparkSession, index: Index, requests: Sequence[Request]) -> list[tuple[int, int]]:
+    """The merged chunks that hold what is asked for: few requests are looked up one by one, more by a join with the index.
+
+    What comes back are stretches of the file that lie apart, no more than the index has chunks.
+    """
+    if len(requests) <= ONE_BY_ONE:
+        by_name = {r.name: r for r in index.references}
+        return merged_chunks(c for r in requests for c in chunks_of(index, by_name[r.ref], r.start, r.end))
+    found = lookup(requests_df(spark, requests), *index_tables(spark, index), index.min_shift, index.depth).select("chunk_start", "chunk_end").distinct()
+    return [(r.chunk_start, r.chunk_end) for r in merged(found, None).orderBy("chunk_start").collect()]
+
+
 def query_file(
     spark: SparkSession,
     path: str,
@@ -149,9 +164,7 @@ def query_file(
     if requests is None:
         lines = bgzf_lines(spark, path, numbered=found.config.skip > 0)
     else:
-        by_name = {r.name: r for r in found.references}
-        merged = merged_chunks(c for r in requests for c in chunks_of(found, by_name[r.ref], r.start, r.end))
-        lines = chunk_lines(spark, path, merged).withColumn("line_no", F.lit(1 << 62))
+        lines = chunk_lines(spark, path, candidates(spark, found, requests)).withColumn("line_no", F.lit(1 << 62))
     parsed = records.records(lines, found.config)
     # whatever is read has to be a reference of the index
     strange = F.raise_error(F.concat(F.lit("data reference "), F.col("ref"), F.lit(" is not in the index"))).cast("string")

@@ -232,17 +232,17 @@ def range_of(blocks_: DataFrame, offset: int, size: int | None = None) -> DataFr
     return met.withColumn("skip", skip).withColumn("take", F.least(end - F.col("uoffset"), F.col("usize")) - F.col("skip"))
 
 
-def write_bgzf(spark: SparkSession, data: bytes | str, path: str, level: int = 6, text: bool = True, force: bool = False) -> dict[str, int]:
+def write_bgzf(spark: SparkSession, data: bytes | str, path: str, level: int = 6, text: bool = True, force: bool = False, index: str | None = None) -> dict[str, int]:
     """Write the file at a path (or content at hand) as a block archive with a block index beside it.
 
     Files are cut, deflated and put together in tasks, split by split. Both files are staged and renamed together.
     """
     if isinstance(data, str):
-        return splits.write_archive(spark, Joined.of(data), path, level, text, force)
+        return splits.write_archive(spark, Joined.of(data), path, level, text, force, index=index)
     with tempfile.NamedTemporaryFile(dir=os.path.dirname(os.path.abspath(path)), prefix=".content-") as f:
         f.write(data)
         f.flush()
-        return splits.write_archive(spark, Joined.of(f.name), path, level, text, force)
+        return splits.write_archive(spark, Joined.of(f.name), path, level, text, force, index=index)
 
 
 def verify(path: str, policy: str = "strict") -> dict[str, int]:

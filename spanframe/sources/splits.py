@@ -311,8 +311,8 @@ def write_parts(spark: SparkSession, source: Joined, folder: str, level: int = 6
     return stored(spark, asked.mapInArrow(run, "split long, n long, bytes_in long, bytes_out long"), "packed")
 
 
-def write_archive(spark: SparkSession, source: Joined, path: str, level: int = 6, text: bool = True, force: bool = False, split: int = SPLIT) -> dict[str, int]:
-    """Write an archive and its block index at a path that driver and tasks share; tasks copy the parts to their places.
+def write_archive(spark: SparkSession, source: Joined, path: str, level: int = 6, text: bool = True, force: bool = False, split: int = SPLIT, index: str | None = None) -> dict[str, int]:
+    """Write an archive and its block index (beside it, or at ``index``) at a path that driver and tasks share; tasks copy the parts to their places.
 
     What comes to the driver is a row a split. Both files are staged and renamed together.
     """
@@ -321,7 +321,9 @@ def write_archive(spark: SparkSession, source: Joined, path: str, level: int = 6
     if local(path) is None:
         raise ValueError("one file is assembled on a mounted file system; elsewhere write_parts leaves the parts")
     path = local(path)
-    index = f"{path}.gzi"
+    index = index or f"{path}.gzi"
+    if os.path.abspath(index) == os.path.abspath(path):
+        raise ValueError("the archive and its index have one name")
     for name in (path, index):
         if os.path.exists(name) and (not force or not os.path.isfile(name)):
             raise FileExistsError(name)
@@ -372,6 +374,39 @@ def write_archive(spark: SparkSession, source: Joined, path: str, level: int = 6
     return {"bytes_in": n_in, "bytes_out": n_out + len(EOF_BLOCK), "blocks": n}
 
 
+def inflate_file(spark: SparkSession, path: str, output: str, policy: str = "strict", split: int = SPLIT) -> dict[str, int]:
+    """The content of an archive as a file at a path that driver and tasks share: tasks write their blocks to their places.
+
+    The file takes its name when it is whole.
+    """
+    blocks = stored(spark, manifest(spark, path, policy, split), "blocks")
+    size = blocks.agg(F.max(F.col("uoffset") + F.col("usize"))).first()[0] or 0
+    n = max(1, -(-size_of(path) // split))
+    staged = f"{local(output)}.staged"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        with opened(path) as f, open(staged, "r+b") as out:
+            for batch in batches:
+                for coffset, csize, uoffset in zip(*(c.to_pylist() for c in batch.columns)):
+                    f.seek(coffset)
+                    out.seek(uoffset)
+                    done += out.write(inflate(f.read(csize)))
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    try:
+        with open(staged, "wb") as out:
+            out.truncate(size)
+        asked = blocks.select("coffset", "csize", "uoffset").repartitionByRange(n, "coffset").sortWithinPartitions("coffset")
+        if (asked.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0) != size:
+            raise BlockError("the archive changed while it was read")
+        os.replace(staged, local(output))
+    finally:
+        if os.path.exists(staged):
+            os.remove(staged)
+    return {"bytes_out": size}
+
+
 def write_lines(lines: DataFrame, order: list, path: str, line: str = "raw") -> Joined:
     """Lines as a folder of text files that hold them in ``order``, part after part; the folder takes its name when it is whole."""
     spark = lines.sparkSession
@@ -386,4 +421,4 @@ def write_lines(lines: DataFrame, order: list, path: str, line: str = "raw") ->
     return Joined(listed(path))
 
 
-__all__ = ["chains", "cut_ways", "manifest", "members", "numbered", "plan_cuts", "read_ranges", "size_of", "write_archive", "write_lines", "write_parts"]
+__all__ = ["chains", "cut_ways", "inflate_file", "manifest", "members", "numbered", "plan_cuts", "read_ranges", "size_of", "write_archive", "write_lines", "write_parts"]

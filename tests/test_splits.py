@@ -156,3 +156,36 @@ def test_asof(spark):
     empty = spark.createDataFrame([], "at long, found long")
     assert asof_join(spark.createDataFrame([(1, 5)], "id long, at long"), empty, "at").collect()[0].found is None
     assert asof_join(empty, spark.createDataFrame([(5, 1)], "at long, other long"), "at").collect() == []
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from spanframe import cli
+
+    data = content("lines", random.Random(9))
+    source, out, index = put(tmp_path, data, "plain"), str(tmp_path / "out.gz"), str(tmp_path / "named.gzi")
+    assert cli.main(["bgzip", source, "-o", out, "--index-output", index, "--compress-level", "1"]) == 0
+    assert open(out, "rb").read() == encode(data, 1) and not (tmp_path / "out.gz.gzi").exists()
+    assert open(index, "rb").read() == Gzi.of(manifest(io.BytesIO(encode(data, 1)))).to_bytes()
+    back = str(tmp_path / "back")
+    assert cli.main(["bgzip", "-d", out, "-o", back]) == 0 and open(back, "rb").read() == data
+    for wrong in (["-d", out, "-o", back, "-f", "--index-output", index], ["-d", out, "-l", "1"], ["-t", out, "--binary"], ["-d", out, "--index-input", index], [source, "-o", out, "-f", "--index-output", out]):
+        assert cli.main(["bgzip", *wrong]) == 1
+    splits.inflate_file(spark, out, back, split=LEAST)
+    assert open(back, "rb").read() == data
+
+
+def test_many_requests_of_a_file(spark, tmp_path, monkeypatch):
+    """Looked up by the join as one by one."""
+    from spanframe.functions.regions import parse_region
+    from spanframe.operators import native
+
+    rows = "".join(f"chr{c}\t{k * 700}\t{k * 700 + 900}\n" for c in (1, 2) for k in range(3000))
+    path = put(tmp_path, encode(rows.encode(), 1), "a.bed.gz")
+    native.build(spark, path)
+    asked = [parse_region(f"chr{1 + k % 2}:{1 + k * 997 % 2_000_000}-{k * 997 % 2_000_000 + 1 + k % 3000}") for k in range(40)]
+    held = native.find_index(path)
+    want = native.candidates(spark, held, asked)
+    lines = sorted(r.raw for r in native.query_file(spark, path, asked).collect())
+    monkeypatch.setattr(native, "ONE_BY_ONE", 10)
+    assert native.candidates(spark, held, asked) == want
+    assert sorted(r.raw for r in native.query_file(spark, path, asked).collect()) == lines
