@@ -44,7 +44,7 @@ from spanframe.plans.bitmap import split
 from spanframe.plans.scratch import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, SEED, HELD_CHARS, KEPT_CHARS = 2, 17, 300_000, 300_000
+SAMPLES, SEED, HELD_CHARS, KEPT_CHARS = 2, 17, 200_000, 200_000
 SPACE, LITERAL = "▁", "\ud800"  # the second stands for a literal U+2581: no text holds a surrogate
 STOP = 0xDFFF
 DENSE = 128
