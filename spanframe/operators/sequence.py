@@ -9,6 +9,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -200,13 +201,18 @@ def digests(spark: SparkSession, lines: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([length], pa.int64()), pa.array([digest.hexdigest()], pa.string())], names=["ref", "length", "md5"])
 
         for batch in batches:
-            for ref, seq in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            refs, seqs = batch.column(0), batch.column(2)
+            at = 0
+            for run in pc.run_end_encode(refs).run_ends.to_pylist():  # lines of one sequence are hashed at once
+                ref = refs[at].as_py()
                 if digest is None or ref != name:
                     if digest is not None:
                         yield row()
                     name, digest, length = ref, hashlib.md5(usedforsecurity=False), 0
-                digest.update(seq.encode("latin-1"))
-                length += len(seq)
+                part = "".join(seqs[at:run].to_pylist()).encode("latin-1")
+                digest.update(part)
+                length += len(part)
+                at = run
         if digest is not None:
             yield row()
 
