@@ -8,9 +8,11 @@ letters are looked up in a dense table of at most ``DENSE_BYTES``, all others in
 sorted list of the automata's edges, so no letter and no language is left out and
 memory grows with the samples only.
 
-Long texts are parsed in stretches of ``BLOCK`` characters, each from the root. A greedy
-parse has the fewest phrases there are, and a cut splits one phrase at most: the count
-exceeds that of an uncut parse by less than the number of stretches, in any language.
+Long texts are parsed in stretches of ``BLOCK`` characters side by side, each from the root,
+and then corrected: what a stretch begins with is what the one before ends with, and from there
+the parse is followed beside that from the root until both are in one state, from which
+on they agree. Where they never meet, the next stretch is corrected again. The
+counts are those of a parse without stretches.
 
 The samples are bounded: ``DOCS`` documents of at most ``DOC_CHARS`` characters a
 language, of which ``SAMPLE`` characters after folding are used, or an equal share of
@@ -157,22 +159,57 @@ class CrossParser:
         owner = np.repeat(np.arange(len(texts)), blocks)
         begin = np.concatenate([np.arange(b) * BLOCK for b in blocks]) if len(owner) else np.zeros(0, np.int64)
         width = np.minimum(BLOCK, sizes[owner] - begin)
-        order = np.argsort(-width, kind="stable")
         flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
-        start = (np.concatenate([[0], np.cumsum(sizes)[:-1]])[owner] + begin)[order]
-        width = width[order]
+        start = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)[owner] + begin
+        ends, closed = self._from_root(flat, start, width)
+        ends, more = self._corrected(flat, start, width, begin, ends)
+        last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
+        counts = closed + more + ((ends != self.roots) & last)  # the text's end closes what is open
+        out = np.zeros((len(texts), len(self.names)), np.int64)
+        np.add.at(out, owner, counts.T)
+        return out
+
+    def _from_root(self, flat: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(language, stretch): the states at the ends of stretches parsed from the root, and the phrases closed in them."""
+        order = np.argsort(-width, kind="stable")
+        at, size = start[order], width[order]
         state = np.repeat(self.roots, len(order), axis=1)
         closed = np.zeros(state.shape, np.int32)
         active = len(order)
-        for step in range(int(width[0]) if len(width) else 0):
-            while width[active - 1] <= step:
+        for step in range(int(size[0]) if len(size) else 0):
+            while size[active - 1] <= step:
                 active -= 1
-            state[:, :active], more = self._step(state[:, :active], flat[start[:active] + step])
+            state[:, :active], more = self._step(state[:, :active], flat[at[:active] + step])
             closed[:, :active] += more
-        closed += state != self.roots
-        out = np.zeros((len(texts), len(self.names)), np.int64)
-        np.add.at(out, owner[order], closed.T)
-        return out
+        back = np.argsort(order, kind="stable")
+        return state[:, back], closed[:, back]
+
+    def _corrected(self, flat: np.ndarray, start: np.ndarray, width: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The true states at the ends of stretches, and what their counts lack (or have too much)."""
+        from_root, ends = ends, ends.copy()
+        lacks = np.zeros(ends.shape, np.int32)
+        todo = np.flatnonzero(begin > 0)
+        while len(todo):
+            true, root = ends[:, todo - 1], np.repeat(self.roots, len(todo), axis=1)
+            found, lack, lane, step = from_root[:, todo].copy(), np.zeros(true.shape, np.int32), np.arange(len(todo)), 0
+            while len(lane):
+                apart, over = (true != root).any(axis=0), width[todo[lane]] <= step
+                found[:, lane[over & apart]] = true[:, over & apart]
+                on = apart & ~over
+                lane, true, root = lane[on], true[:, on], root[:, on]
+                if not len(lane):
+                    break
+                codes = flat[start[todo[lane]] + step]
+                true, ours = self._step(true, codes)
+                root, theirs = self._step(root, codes)
+                lack[:, lane] += ours - theirs
+                step += 1
+            moved = (found != ends[:, todo]).any(axis=0)
+            ends[:, todo], lacks[:, todo] = found, lack
+            todo = todo[moved] + 1
+            todo = todo[todo < len(begin)]
+            todo = todo[begin[todo] > 0]
+        return ends, lacks
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         codes = [self.fold(t) if t else np.zeros(0, np.int32) for t in texts]
@@ -204,10 +241,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not counts:
         return ()
     spread = 1 << 30
-    drawn = docs.sparkSession.createDataFrame([(r["lang"], min(spread, DOCS * spread // r["count"])) for r in counts], "lang string, below long")
     share = min(SAMPLE, ALL_SAMPLES // len(counts))
+    most = max(4, DOCS * share // SAMPLE)  # what is drawn follows what is used
+    drawn = docs.sparkSession.createDataFrame([(r["lang"], min(spread, most * spread // r["count"])) for r in counts], "lang string, below long")
     place = F.pmod(F.xxhash64("key"), F.lit(spread))
-    rows = docs.withColumn("place", place).join(F.broadcast(drawn), "lang").filter("place < below").select("lang", "place", F.substring("text", 1, min(DOC_CHARS, 10 * share)).alias("text")).collect()
+    rows = docs.withColumn("place", place).join(F.broadcast(drawn), "lang").filter("place < below").select("lang", "place", F.substring("text", 1, min(DOC_CHARS, 2 * share)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.place, r.text)):
         kept = samples.setdefault(r.lang, [])

@@ -80,14 +80,19 @@ def test_predictions_in_full(rows):
         assert (lang, score) == (cost[0][1], pytest.approx(cost[1][0] / (cost[0][0] + cost[1][0])))
 
 
-def test_blocks_of_a_long_text(rows, monkeypatch):
-    parser = language.CrossParser((("en", rows[1][1]),))
-    codes = parser.fold(" ".join(t for _, t, *_ in rows)[:10_000])
-    parts = [codes[k : k + language.BLOCK] for k in range(0, len(codes), language.BLOCK)]
-    cut = parser.phrases([codes])[0, 0]
-    assert cut == parser.phrases(parts).sum()
+@pytest.mark.parametrize("block", [1, 7, 64, 4096])
+def test_blocks_of_a_long_text(rows, monkeypatch, block):
+    """Stretches are corrected: as without them, also where the parses meet late or never."""
+    r = random.Random(block)
+    prose = " ".join(t for _, t, *_ in rows if t)[:3 * block + 2000]
+    monotone, period = "a" * 5000, "abcab" * 900
+    parser = language.CrossParser((("a", "a" * 997), ("en", rows[1][1]), ("p", "abcab" * 37), ("x", "".join(r.choice("ab") for _ in range(300)))))
+    texts = [parser.fold(t) for t in (prose, "", monotone, period, "b" + monotone, "x", "".join(r.choice("abc ") for _ in range(700)), "ab" * 300 + "q" + monotone[:600])]
     monkeypatch.setattr(language, "BLOCK", 1 << 20)
-    assert 0 <= cut - parser.phrases([codes])[0, 0] < len(parts)
+    whole = parser.phrases(texts)
+    monkeypatch.setattr(language, "BLOCK", block)
+    assert (parser.phrases(texts) == whole).all()
+    assert (parser.phrases(texts[::-1]) == whole[::-1]).all()
 
 
 def test_held_out_accuracy(spark, sf):
