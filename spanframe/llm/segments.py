@@ -470,26 +470,43 @@ def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = S
     """(key, copy, sample, ids, log_prob, perturbed, inclusion, exact): up to ``k`` rows for each row of ``docs``.
 
     ``exact`` says that decoding ``ids`` gave back the text. Rows equal in key and text are copies, numbered from 0
-    wherever they lie: all hashes are counted, and only rows that a bitmap takes for copies are shuffled.
+    wherever they lie: hashes are counted first. Copies that lie in one partition are numbered there; only those that
+    lie in several are shuffled. So that partitions are the same when they are read again, what doesn't come straight from
+    files is written first.
     """
     from xxhash import xxh64_intdigest
 
     small_batches(spark)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    if not docs.inputFiles() or "Exchange" in docs._jdf.queryExecution().sparkPlan().toString() or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        rows = stored(spark, rows, "rows")
     same = F.struct("key", F.xxhash64("text").alias("t"))
-    often = stored(spark, rows.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same"), "copies")
+    placed = rows.select(same.alias("same"), F.spark_partition_id().alias("part"))
+    counts = placed.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("n > 1")
+    often = stored(spark, counts.select("same", (F.col("low") < F.col("high")).alias("apart")), "copies")
     maybe, once = split(spark, rows, same, often, F.col("same"))
+    apart, beside = split(spark, maybe, same, often.filter("apart"), F.col("same"))
     numbered = F.row_number().over(Window.partitionBy("key", F.xxhash64("text")).orderBy(F.lit(0))) - 1
-    rows = once.withColumn("copy", F.lit(0)).unionByName(maybe.withColumn("copy", numbered))
+    unknown = F.lit(None).cast("int")
+    rows = once.withColumns({"t": F.lit(None).cast("long"), "copy": F.lit(0)}).unionByName(beside.withColumns({"t": F.xxhash64("text"), "copy": unknown})).unionByName(apart.withColumns({"t": F.lit(None).cast("long"), "copy": numbered}))
     names = ["key", "copy", "sample", "ids", "log_prob", "perturbed", "inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(vocabulary(model), k, seed)
         raw, raw_size = sampler.vocabulary.raw, sampler.vocabulary.raw_size
+        met: Counter = Counter()  # of the copies in this partition: a number each
+
+        def copies(keys: list, hashes: list[int | None], given: list[int | None]) -> list[int]:
+            out = []
+            for row, number in zip(zip(keys, hashes), given):
+                out.append(met[row] if number is None else number)
+                if number is None:
+                    met[row] += 1
+            return out
         def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
             keys, texts = table.column(0).combine_chunks(), table.column(1).to_pylist()
-            copy_of = table.column(2).to_pylist()
+            copy_of = copies(keys.to_pylist(), table.column(2).to_pylist(), table.column(3).to_pylist())
             texts = [x or "" for x in texts]
             seeds = np.fromiter((xxh64_intdigest(str(x).encode()) for x in keys.to_pylist()), U64, len(texts))
             seeds += np.array(copy_of, U64) * U64(0xD6E8FEB86659FD93)
