@@ -353,8 +353,8 @@ def test_cuts_are_no_pieces(sampler, rows):
 def test_copies_are_sampled_each(spark):
     rows = [(1, "some words of a text")] * 3 + [(2, "other"), (1, "some words of a text")]
     got = segments.sample(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
-    assert collections.Counter((r.doc_id, r.copy) for r in got) == {(1, 0): 4, (1, 1): 2, (1, 2): 2, (2, 0): 2}
-    assert len({(r.copy, r.sample, r.perturbed) for r in got if r.doc_id == 1}) == 6
+    assert collections.Counter((r.doc_id, r.copy) for r in got) == {(1, 0): 2, (1, 1): 2, (1, 2): 2, (1, 3): 2, (2, 0): 2}
+    assert len({(r.copy, r.sample, r.perturbed) for r in got if r.doc_id == 1}) == 8
 
 
 def test_segments_hard(spark, hard, nothing):
