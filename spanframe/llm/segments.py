@@ -36,6 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, HELD_CHARS, KEPT_CHARS = 2, 17, 300_000, 300_000
 SPACE, LITERAL = "▁", "\ud800"  # the second stands for a literal U+2581: no text holds a surrogate
 STOP = 0xDFFF
+NAMES = ["key", "copy", "sample", "ids", "log_prob", "perturbed", "inclusion", "exact"]
 DENSE = 128
 U64 = np.uint64
 
@@ -466,6 +468,62 @@ def vocabulary(model: str) -> Vocabulary:
     return Vocabulary(model)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows of ``batches`` in order, put together or cut to some ``size`` bytes of their second column, a longer text by itself."""
+    held, sum_ = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            gone = int(ends[at - 1]) if at else 0
+            upto = max(int(np.searchsorted(ends, gone + size - sum_, side="right")), at if held else at + 1)
+            if upto > at:
+                held.append(batch.slice(at, upto - at))
+                sum_ += int(ends[upto - 1]) - gone
+            if upto < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, sum_ = [], 0
+            at = upto
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sampled(batches: Iterator[pa.RecordBatch], sampler: Sampler) -> Iterator[pa.RecordBatch]:
+    """The samples of rows (key, text, hash of a copy, number of a copy), some ``HELD_CHARS`` bytes of text at once."""
+    from xxhash import xxh64_intdigest
+
+    raw, raw_size = sampler.vocabulary.raw, sampler.vocabulary.raw_size
+    met: Counter = Counter()  # of the copies in this partition: a number each
+
+    def copies(keys: list, hashes: list[int | None], given: list[int | None]) -> list[int]:
+        out = []
+        for row, number in zip(zip(keys, hashes), given):
+            out.append(met[row] if number is None else number)
+            if number is None:
+                met[row] += 1
+        return out
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        keys, texts = table.column(0).combine_chunks(), table.column(1).to_pylist()
+        copy_of = copies(keys.to_pylist(), table.column(2).to_pylist(), table.column(3).to_pylist())
+        texts = [x or "" for x in texts]
+        seeds = np.fromiter((xxh64_intdigest(str(x).encode()) for x in keys.to_pylist()), U64, len(texts))
+        seeds += np.array(copy_of, U64) * U64(0xD6E8FEB86659FD93)
+        found = sampler(seeds, texts)
+        row = [d for d, mine in enumerate(found) for _ in mine]
+        flat = [s for mine in found for s in mine]
+        ids, bounds = sampler.ids([s[0] for s in flat])
+        # decoded at once: the bytes of all pieces, cut where samples end, less the space put before each text
+        blob, cuts = b"".join(raw[ids].tolist()), np.concatenate([[0], np.cumsum(raw_size[ids])])[bounds].tolist()
+        whole = [b" " + x.encode("utf-8", "surrogatepass") if x else b"" for x in texts]
+        exact = [blob[a:b] == whole[d] for d, a, b in zip(row, cuts[:-1], cuts[1:])]
+        columns = [keys.take(pa.array(row, pa.int64())), pa.array(np.array(copy_of, np.int32)[row]), pa.array([i for mine in found for i in range(len(mine))], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
+        columns += [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(exact, pa.bool_())], names=NAMES)
+
+    yield from map(done, pieces(batches, HELD_CHARS))
+
+
 def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, copy, sample, ids, log_prob, perturbed, inclusion, exact): up to ``k`` rows for each row of ``docs``.
 
@@ -474,8 +532,6 @@ def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = S
     lie in several are shuffled. So that partitions are the same when they are read again, what doesn't come straight from
     files is written first.
     """
-    from xxhash import xxh64_intdigest
-
     small_batches(spark)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     if not docs.inputFiles() or "Exchange" in docs._jdf.queryExecution().sparkPlan().toString() or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
@@ -489,49 +545,9 @@ def sample(spark: SparkSession, docs: DataFrame, k: int = SAMPLES, seed: int = S
     numbered = F.row_number().over(Window.partitionBy("key", F.xxhash64("text")).orderBy(F.lit(0))) - 1
     unknown = F.lit(None).cast("int")
     rows = once.withColumns({"t": F.lit(None).cast("long"), "copy": F.lit(0)}).unionByName(beside.withColumns({"t": F.xxhash64("text"), "copy": unknown})).unionByName(apart.withColumns({"t": F.lit(None).cast("long"), "copy": numbered}))
-    names = ["key", "copy", "sample", "ids", "log_prob", "perturbed", "inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(vocabulary(model), k, seed)
-        raw, raw_size = sampler.vocabulary.raw, sampler.vocabulary.raw_size
-        met: Counter = Counter()  # of the copies in this partition: a number each
-
-        def copies(keys: list, hashes: list[int | None], given: list[int | None]) -> list[int]:
-            out = []
-            for row, number in zip(zip(keys, hashes), given):
-                out.append(met[row] if number is None else number)
-                if number is None:
-                    met[row] += 1
-            return out
-        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            keys, texts = table.column(0).combine_chunks(), table.column(1).to_pylist()
-            copy_of = copies(keys.to_pylist(), table.column(2).to_pylist(), table.column(3).to_pylist())
-            texts = [x or "" for x in texts]
-            seeds = np.fromiter((xxh64_intdigest(str(x).encode()) for x in keys.to_pylist()), U64, len(texts))
-            seeds += np.array(copy_of, U64) * U64(0xD6E8FEB86659FD93)
-            found = sampler(seeds, texts)
-            row = [d for d, mine in enumerate(found) for _ in mine]
-            flat = [s for mine in found for s in mine]
-            ids, bounds = sampler.ids([s[0] for s in flat])
-            # decoded at once: the bytes of all pieces, cut where samples end, less the space put before each text
-            blob, cuts = b"".join(raw[ids].tolist()), np.concatenate([[0], np.cumsum(raw_size[ids])])[bounds].tolist()
-            whole = [b" " + x.encode("utf-8", "surrogatepass") if x else b"" for x in texts]
-            exact = [blob[a:b] == whole[d] for d, a, b in zip(row, cuts[:-1], cuts[1:])]
-            columns = [keys.take(pa.array(row, pa.int64())), pa.array(np.array(copy_of, np.int32)[row]), pa.array([i for mine in found for i in range(len(mine))], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
-            columns += [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(exact, pa.bool_())], names=names)
-
-        held, size = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.column(1).nbytes
-                if size > HELD_CHARS:
-                    yield done(held)
-                    held, size = [], 0
-        if held:
-            yield done(held)
+        return sampled(batches, Sampler(vocabulary(model), k, seed))
 
     kind = dict(rows.dtypes)["key"]
     return rows.mapInArrow(run, f"key {kind}, copy int, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, exact boolean").withColumnRenamed("key", key)

@@ -350,6 +350,35 @@ def test_cuts_are_no_pieces(sampler, rows):
     assert vocabulary.joints(np.array(list(map(ord, "a▁b\n")), np.uint32)).tolist() == [False, True, False]
 
 
+def test_large_batches_are_cut(rows, monkeypatch):
+    """A worker samples some HELD_CHARS bytes of text at once, however large the batches are; a longer text goes by itself."""
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in rows[:120]] + [None, "", "one text that is long " * 400, "é" * 900, "end"]
+    table = pa.table({"key": range(len(texts)), "text": texts, "t": pa.nulls(len(texts), pa.int64()), "copy": pa.array([0] * len(texts), pa.int32())})
+    plain, met = segments.Sampler.__call__, []
+
+    def noting(self, seeds, texts):
+        met.append([len(t.encode()) for t in texts])
+        return plain(self, seeds, texts)
+
+    monkeypatch.setattr(segments.Sampler, "__call__", noting)
+
+    def run(size, bound):
+        met.clear()
+        monkeypatch.setattr(segments, "HELD_CHARS", bound)
+        batches = [table.to_batches()[0].slice(0, 0), *table.to_batches(max_chunksize=size)]
+        return [r for batch in segments.sampled(iter(batches), segments.Sampler(segments.vocabulary(segments.MODEL), 2, 5)) for r in batch.to_pylist()]
+
+    want = run(1000, 1 << 40)
+    assert len(met) == 1 and all(r["exact"] for r in want) and {r["key"] for r in want} == set(range(len(texts)))
+    for size in (1000, 7, 1):
+        assert run(size, 3000) == want
+        assert [n for part in met for n in part] == [len((t or "").encode()) for t in texts]
+        assert all(sum(part) <= 3000 or len(part) == 1 for part in met)
+        assert all(sum(a) + b[0] > 3000 for a, b in zip(met, met[1:]))
+
+
 def test_copies_are_sampled_each(spark):
     rows = [(1, "some words of a text")] * 3 + [(2, "other"), (1, "some words of a text")]
     got = segments.sample(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
