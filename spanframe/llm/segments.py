@@ -11,8 +11,9 @@ piece" with a Gumbel truncated by its parent's. What is best after k samples is
 the threshold of their inclusion probabilities.
 
 A text splits wherever no piece has its two neighbours side by side, for one before
-each space. Lattices are built for the distinct units between these cuts; a worker
-keeps them, up to ``KEPT_CHARS`` characters, for the batches that follow. All arrays run over a batch of
+each space. Lattices are built for the distinct units between these cuts; a task
+keeps them for the batches that follow: beyond ``KEPT_CHARS`` characters the units met
+most often stay, up to half of that. All arrays run over some ``HELD_CHARS`` bytes of
 texts. Random numbers are hashes of row key, copy, place and step, and a unit's
 numbers are summed by themselves: results don't depend on batches or what was kept.
 
@@ -68,6 +69,18 @@ def _gumbel(x: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(_uniform(x)))
 
 
+def _below(bound: float, value: float) -> float:
+    """A Gumbel variable, truncated at ``bound``."""
+    with np.errstate(over="ignore"):
+        return float(-np.logaddexp(-bound, -value))
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each ``low`` up to its ``high``, which is left out, end to end."""
+    size = high - low
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Vocabulary:
     """The pieces as a trie in arrays, and their log-probabilities."""
 
@@ -127,6 +140,7 @@ class Vocabulary:
         self.raw = np.empty(n, object)
         self.raw[:] = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else b"" if i in special else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
         self.raw_size = np.fromiter(map(len, self.raw), np.int64, n)
+        self.raw_arrow = pa.array(self.raw.tolist(), pa.large_binary())
 
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         common = code < DENSE
@@ -232,20 +246,39 @@ class Lattice:
             t += 1
             more = more[self.degree[more] > t]
         self.upto[self.first[1:][self.degree > 0] - 1] = np.inf  # rounding never leaves a node without an edge
-        alone = (self.degree[self.at] < 2) | (chance >= 1)
-        self.others = np.where(alone, -np.inf, np.log1p(-np.where(alone, 0.0, chance)))
+        self.room: dict[str, np.ndarray] = {}
 
-    def joined(self, more: Lattice) -> Lattice:
-        """Both, the nodes and edges of ``more`` numbered behind those of this one."""
-        out = object.__new__(Lattice)
+    def extend(self, more: Lattice) -> None:
+        """Add ``more``, its nodes and edges numbered behind those that are here; what is here is copied only when its room is full."""
         nodes, edges = len(self.degree), len(self.to)
-        for name in ("points", "degree", "piece", "given", "upto", "others"):
-            setattr(out, name, np.concatenate([getattr(self, name), getattr(more, name)]))
-        for name in ("start", "end", "at", "to"):
-            own, new = getattr(self, name), getattr(more, name)
-            setattr(out, name, np.concatenate([own, new + new.dtype.type(nodes)]))
-        out.first = np.concatenate([self.first, more.first[1:] + edges])
-        return out
+        shifts = {"start": nodes, "end": nodes, "at": nodes, "to": nodes, "first": edges}
+        for name in ("points", "degree", "piece", "given", "upto", *shifts):
+            own, new = getattr(self, name), getattr(more, name)[1 if name == "first" else 0 :]
+            size = len(own) + len(new)
+            room = self.room.get(name)
+            if room is None or len(room) < size:
+                room = np.empty(max(size, len(own) * 3 // 2), own.dtype)
+                room[: len(own)] = own
+                self.room[name] = room
+            room[len(own) : size] = new + new.dtype.type(shifts[name]) if name in shifts else new
+            setattr(self, name, room[:size])
+
+    def only(self, units: np.ndarray) -> None:
+        """Keep these units alone, in the order given."""
+        start, end = self.start[units], self.end[units]
+        low, high = self.first[start], self.first[end]
+        nodes, edges = _ranges(start, end + 1), _ranges(low, high)
+        self.end = np.cumsum(end + 1 - start) - 1
+        self.start = self.end - (end - start)
+        shift = np.repeat(self.start - start, high - low).astype(np.int32)
+        self.room = {}
+        for name in ("points", "degree"):
+            setattr(self, name, getattr(self, name)[nodes])
+        for name in ("at", "to", "piece", "given", "upto"):
+            setattr(self, name, getattr(self, name)[edges])
+        self.at += shift
+        self.to += shift
+        self.first = np.concatenate([[0], np.cumsum(self.degree)])
 
     def pick(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         edge = self.first[at]
@@ -265,9 +298,23 @@ class Sampler:
 
     def _forget(self, mixer: int) -> None:
         """No lattice is kept; units are told apart by hashes that ``mixer`` seeds."""
-        self.mixer, self.keys, self.number = mixer, np.zeros(0, U64), np.zeros(0, np.int64)
+        self.mixer, self.keys, self.number, self.uses = mixer, np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.lattice = Lattice(self.vocabulary, np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
+    def _shrink(self) -> None:
+        """Half of what may be kept stays: the units met most often, earlier meetings counting half at each time."""
+        often = np.argsort(-self.uses, kind="stable")
+        room = np.cumsum((self.lattice.end - self.lattice.start + 1)[often])
+        kept = np.sort(often[: np.searchsorted(room, self.kept_chars // 2, side="right")])
+        if not len(kept):
+            return self._forget(self.mixer)
+        self.lattice.only(kept)
+        self.uses = self.uses[kept] // 2
+        place = np.full(len(room), -1)
+        place[kept] = np.arange(len(kept))
+        number = place[self.number]
+        self.keys, self.number = self.keys[number >= 0], number[number >= 0]
+
     def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The units of all texts, end to end, by their numbers in the lattice, and how many each text has."""
         whole = "".join([" " + x for x in texts if x])
@@ -282,11 +329,12 @@ class Sampler:
             opens[(np.cumsum(size) - size)[size > 0]] = True
         start = np.flatnonzero(opens)
         if len(self.lattice.degree) > self.kept_chars:
-            self._forget(self.mixer)
+            self._shrink()
         unit = self._numbered(points, start)
         while not self._same(points, start, unit):  # two units with one hash
             self._forget(self.mixer + 1)
             unit = self._numbered(points, start)
+        self.uses += np.bincount(unit, minlength=len(self.uses))
         return unit, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])))
 
     def _numbered(self, points: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -310,12 +358,14 @@ class Sampler:
             once = np.zeros(len(keys), np.int64)
             once[code[::-1]] = np.arange(len(code))[::-1]  # where each is met first
             begin, size = start[once[fresh]], length[once[fresh]]
-            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            more = Lattice(self.vocabulary, points[at], size)
-            self.lattice = self.lattice.joined(more) if len(self.lattice.start) else more
-            keys, number_ = np.concatenate([self.keys, keys[fresh]]), np.concatenate([self.number, number[fresh]])
-            order = np.argsort(keys)
-            self.keys, self.number = keys[order], number_[order]
+            more = Lattice(self.vocabulary, points[_ranges(begin, begin + size)], size)
+            if len(self.lattice.start):
+                self.lattice.extend(more)
+            else:
+                self.lattice = more
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+            new = fresh[np.argsort(keys[fresh])]
+            self.keys, self.number = np.insert(self.keys, place[new], keys[new]), np.insert(self.number, place[new], number[new])
         return number[code]
 
     def _same(self, points: np.ndarray, start: np.ndarray, unit: np.ndarray) -> bool:
@@ -328,41 +378,37 @@ class Sampler:
 
     def _walk(self, occurrence: np.ndarray, at: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
         """(occurrence, edge) of the pieces drawn from ``at`` to the end of each unit, in order."""
-        lat, rows, edges = self.lattice, [], []
+        lat, drawn = self.lattice, []
         end = lat.end[self.unit[occurrence]]
         state = _mix(self.state[occurrence] + U64(stream * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        step = 0
+        step, count = 0, np.zeros(len(occurrence), np.int64)
         live = np.flatnonzero(at < end)
         at = at[live]
         while len(live):
             edge = lat.pick(at, _uniform(state[live] + U64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)))
-            rows.append(live)
-            edges.append(edge)
+            drawn.append((live, edge))
+            count[live] += 1
             at = lat.to[edge]
             more = at < end[live]
             live, at = live[more], at[more]
             step += 1
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        row, edge = np.concatenate(rows), np.concatenate(edges)
-        order = np.argsort(row, kind="stable")
-        return occurrence[row[order]], edge[order]
-
-    def _siblings(self, occurrence, edge, doc, before, bound, stream, taken=None) -> np.ndarray:
-        """Perturbed maxima of "any other piece here"; ``taken`` gives chance and number of pieces already out, row by row."""
+        begin, out = np.cumsum(count) - count, np.zeros(int(count.sum()), np.int64)
+        for step, (live, edge) in enumerate(drawn):
+            out[begin[live] + step] = edge
+        return np.repeat(occurrence, count), out
+
+    def _siblings(self, occurrence, edge, before, stream, taken=None) -> np.ndarray:
+        """Perturbed maxima of "any other piece here", not yet truncated, which keeps their order; ``taken`` gives chance and number of pieces already out, row by row."""
         lat = self.lattice
-        others = lat.others[edge]
+        at, chance, out = lat.at[edge], np.exp(lat.given[edge]), np.ones(len(edge), np.int64)
         if taken is not None:
             where, extra, more = taken
-            chance = np.exp(lat.given[edge[where]]) + extra
-            gone = (1 + more >= lat.degree[lat.at[edge[where]]]) | (chance >= 1)
-            others[where] = np.where(gone, -np.inf, np.log1p(-np.where(gone, 0.0, chance)))
-        gone = others == -np.inf
-        mass = before + others
-        noise = _gumbel(_mix(self.state[occurrence] ^ U64(0x94D049BB133111EB)) + (lat.at[edge] - lat.start[self.unit[occurrence]]).astype(U64) * U64(0xD1B54A32D192ED03) + U64((stream + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
-        with np.errstate(invalid="ignore", over="ignore"):
-            out = -np.logaddexp(-bound[doc], -(mass + noise))
-        return np.where(gone, -np.inf, out)
+            chance[where] += extra
+            out[where] += more
+        gone = (out >= lat.degree[at]) | (chance >= 1)
+        wait = -np.log(_uniform(_mix(self.state[occurrence] ^ U64(0x94D049BB133111EB)) + (at - lat.start[self.unit[occurrence]]).astype(U64) * U64(0xD1B54A32D192ED03) + U64((stream + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1)))
+        with np.errstate(divide="ignore"):
+            return before + np.log(np.where(gone, 0.0, 1 - chance) / wait)
 
     def __call__(self, seeds: np.ndarray, texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text its samples, the best first: edges, log-probability, perturbed value, inclusion probability."""
@@ -381,14 +427,14 @@ class Sampler:
         gained = [np.cumsum(lat.given[edge[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
         bound = _gumbel(seeds ^ U64(0xBF58476D1CE4E5B9))
         before = np.concatenate([np.zeros(0), *gained]) - lat.given[edge]
-        value = self._siblings(occurrence, edge, doc, before, bound, 0)
-        # for each text: its samples and, for each, the prefixes that leave it, as (values, place of the first, chances out at it)
+        value = self._siblings(occurrence, edge, before, 0)
+        # for each text: its samples and, for each, the prefixes that leave it, as (values, place of the first, pieces out at it, bound)
         samples = [[(edge[a:b], occurrence[a:b], float(gained[d][-1]) if b > a else 0.0, float(bound[d]))] for d, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
-        leaving = [[(value[a:b].copy(), 0, ())] for a, b in zip(cut[:-1], cut[1:])]
+        leaving = [[(value[a:b].copy(), 0, (), bound[d])] for d, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
         for stream in range(1, self.k + 1):
             chosen = []
             for d in range(n):
-                best = max(((float(v.max()), s) for s, (v, _, _) in enumerate(leaving[d]) if len(v)), default=(-np.inf, -1))
+                best = max(((_below(most, v.max()), s) for s, (v, _, _, most) in enumerate(leaving[d]) if len(v)), default=(-np.inf, -1))
                 chosen.append(best)
             if stream == self.k:
                 break
@@ -406,7 +452,7 @@ class Sampler:
         for d, (value, s) in enumerate(chosen):
             if value == -np.inf:
                 continue
-            values, offset, out = leaving[d][s]
+            values, offset, out, _ = leaving[d][s]
             j = int(values.argmax())
             values[j] = -np.inf
             edges, occ = samples[d][s][:2]
@@ -438,29 +484,30 @@ class Sampler:
             samples[d].append((np.concatenate([edges[:place], tail_e]), np.concatenate([occ[:place], tail_o]), head + float(gained[-1]), value))
             tails.append((tail_e, tail_o, head + gained - lat.given[tail_e]))
             lengths.append(len(tail_e))
-        row = np.repeat(np.arange(len(todo)), lengths)
         first = np.cumsum([0, *lengths[:-1]])
         gone = np.array([np.exp(lat.given[list(x[4])]).sum() for x in todo])
         taken = (first, gone, np.array([len(x[4]) for x in todo]))
-        values = self._siblings(np.concatenate([t[1] for t in tails]), np.concatenate([t[0] for t in tails]), row, np.concatenate([t[2] for t in tails]), np.array([x[1] for x in todo]), stream, taken)
-        for (d, _, _, place, excluded, _, _), a, b in zip(todo, first, first + lengths):
-            leaving[d].append((values[a:b].copy(), place, excluded))
+        values = self._siblings(np.concatenate([t[1] for t in tails]), np.concatenate([t[0] for t in tails]), np.concatenate([t[2] for t in tails]), stream, taken)
+        for (d, value, _, place, excluded, _, _), a, b in zip(todo, first, first + lengths):
+            leaving[d].append((values[a:b].copy(), place, excluded, value))
 
     def ids(self, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of samples, end to end, and where each begins; byte-coded characters are spelled out."""
         flat = np.concatenate(edges) if edges else np.zeros(0, np.int64)
         piece = self.lattice.piece[flat] if len(flat) else np.zeros(0, np.int64)
         bare = np.flatnonzero(piece < 0)
-        spelled = {p: self.vocabulary.byte_id[list((chr(-1 - p) if -1 - p != ord(LITERAL) else SPACE).encode("utf-8", "surrogatepass"))] for p in np.unique(piece[bare]).tolist()}
         width = np.ones(len(piece), np.int64)
+        out = piece
         if len(bare):
-            width[bare] = [len(spelled[p]) for p in piece[bare].tolist()]
-        out = np.repeat(piece, width).astype(np.int32)
-        if len(bare):
-            at = (np.cumsum(width) - width)[bare]
-            out[np.concatenate([a + np.arange(w) for a, w in zip(at, width[bare])])] = np.concatenate([spelled[p] for p in piece[bare].tolist()])
+            kinds, which = np.unique(piece[bare], return_inverse=True)
+            spelled = [self.vocabulary.byte_id[list((chr(-1 - p) if -1 - p != ord(LITERAL) else SPACE).encode("utf-8", "surrogatepass"))] for p in kinds.tolist()]
+            sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+            width[bare] = sizes[which]
+            out = np.repeat(piece, width)
+            at, begin = (np.cumsum(width) - width)[bare], (np.cumsum(sizes) - sizes)[which]
+            out[_ranges(at, at + sizes[which])] = np.concatenate(spelled)[_ranges(begin, begin + sizes[which])]
         ends = np.concatenate([[0], np.cumsum(width)])
-        return out, ends[np.concatenate([[0], np.cumsum([len(e) for e in edges])]).astype(np.int64)]
+        return out.astype(np.int32, copy=False), ends[np.concatenate([[0], np.cumsum([len(e) for e in edges])]).astype(np.int64)]
 
 
 @lru_cache(maxsize=2)
@@ -492,7 +539,7 @@ def sampled(batches: Iterator[pa.RecordBatch], sampler: Sampler) -> Iterator[pa.
     """The samples of rows (key, text, hash of a copy, number of a copy), some ``HELD_CHARS`` bytes of text at once."""
     from xxhash import xxh64_intdigest
 
-    raw, raw_size = sampler.vocabulary.raw, sampler.vocabulary.raw_size
+    raw = sampler.vocabulary.raw_arrow
     met: Counter = Counter()  # of the copies in this partition: a number each
 
     def copies(keys: list, hashes: list[int | None], given: list[int | None]) -> list[int]:
@@ -514,9 +561,13 @@ def sampled(batches: Iterator[pa.RecordBatch], sampler: Sampler) -> Iterator[pa.
         flat = [s for mine in found for s in mine]
         ids, bounds = sampler.ids([s[0] for s in flat])
         # decoded at once: the bytes of all pieces, cut where samples end, less the space put before each text
-        blob, cuts = b"".join(raw[ids].tolist()), np.concatenate([[0], np.cumsum(raw_size[ids])])[bounds].tolist()
+        ends, data = np.zeros(1, np.int64), b""
+        if len(ids):
+            _, places, blob = raw.take(pa.array(ids)).buffers()
+            ends, data = np.frombuffer(places, np.int64, len(ids) + 1), blob.to_pybytes()
+        cuts = ends[bounds].tolist()
         whole = [b" " + x.encode("utf-8", "surrogatepass") if x else b"" for x in texts]
-        exact = [blob[a:b] == whole[d] for d, a, b in zip(row, cuts[:-1], cuts[1:])]
+        exact = [data[a:b] == whole[d] for d, a, b in zip(row, cuts[:-1], cuts[1:])]
         columns = [keys.take(pa.array(row, pa.int64())), pa.array(np.array(copy_of, np.int32)[row]), pa.array([i for mine in found for i in range(len(mine))], pa.int32()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
         columns += [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(exact, pa.bool_())], names=NAMES)

@@ -322,6 +322,32 @@ def test_kept_lattices_change_nothing(rows):
     assert len(bare.keys) < len(kept.keys)
 
 
+def test_common_units_outlast_the_bound(monkeypatch):
+    """When more than the bound is kept, units that recur stay: their lattices aren't built again, and nothing else changes."""
+    vocabulary = segments.vocabulary(segments.MODEL)
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    common = [word() for _ in range(40)]
+    parts = [[" ".join([*r.sample(common, 40), *(word() for _ in range(100))]) for _ in range(3)] for _ in range(12)]
+    built, plain = collections.Counter(), segments.Lattice.__init__
+
+    def noting(self, vocabulary, points, length):
+        built.update(points[end - n : end].tobytes() for n, end in zip(length.tolist(), np.cumsum(length).tolist()))
+        plain(self, vocabulary, points, length)
+
+    want = [spelled(segments.Sampler(vocabulary, 2, 5, kept_chars=0), texts) for texts in parts]
+    monkeypatch.setattr(segments.Lattice, "__init__", noting)
+    spelled(segments.Sampler(vocabulary, 2, 5), [" ".join(common)])
+    units = set(built)
+    built.clear()
+    one, most = segments.Sampler(vocabulary, 2, 5, kept_chars=3000), 0
+    for texts, right in zip(parts, want):
+        assert spelled(one, texts) == right
+        most = max(most, len(one.lattice.degree))
+    assert len(units) >= 40 and all(built[u] == 1 for u in units)
+    assert most < 3000 + max(sum(map(len, texts)) for texts in parts) * 2
+
+
 def test_units_with_one_hash(rows, monkeypatch):
     vocabulary = segments.vocabulary(segments.MODEL)
     texts = [t for _, t, *_ in rows[:5]]
