@@ -68,6 +68,40 @@ def test_plans_agree_at_any_coordinate(spark, seed):
         assert sorted((x.ordinal, x.record_id) for x in got.collect()) == want
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_cells_at_any_coordinate(spark, seed):
+    """Around the borders of cells of all widths; points, wide and open requests; ends before starts and equal rows."""
+    r = random.Random(seed)
+    edges = [1, *(1 << k for k in (6, 7, 9, 10, 13, 16, 30, 38, 41, 50, 60, 62)), coords.LONG_MAX - 10]
+    place = lambda: max(1, r.choice(edges) + r.randint(-3, 3))
+    near = lambda p: [p, min(coords.LONG_MAX, p + r.choice((-3, 0, 1, 40, 500, 1500, 9000)))]
+    span = lambda: sorted((place(), place())) if r.random() < 0.4 else near(place())
+    rows = [(k, r.choice("ab"), *span()) for k in range(150)]
+    rows += [(k, *rows[k - 150][1:]) for k in range(150, 170)] + [(3, "a", 7, 90)]
+    asked = [(k, r.choice("ab"), *span()) for k in range(70)] + [(70, "a", (1 << 41) + 1, None), (71, "b", 1, None), (72, "c", 1, None)]
+    asked = [q if k % 7 else (*q[:3], None) for k, q in enumerate(asked)]
+    got = overlap_join(frame(spark, rows), frame(spark, asked, "ordinal"), "cells")
+    assert got.columns == ["record_id", "ref", "start", "end", "ordinal"]
+    assert sorted((x.ordinal, x.record_id) for x in got.collect()) == sorted((q[0], x[0]) for q in asked for x in rows if meets(x, q))
+    assert overlap_join(frame(spark, rows), frame(spark, asked, "ordinal").limit(0), "cells").collect() == []
+
+
+@pytest.mark.parametrize("name", ["layout_overlap"])
+def test_dense_records_are_compared_with_few(spark, tmp_path, monkeypatch, name):
+    """What is compared, counted as if all of it met, is not much more than what meets."""
+    import datetime
+
+    from spanframe.plans.queries import QUERIES
+
+    r, began = random.Random(8), datetime.datetime(2024, 1, 1)
+    events = [(k, began + datetime.timedelta(seconds=r.randint(0, 30_000)), "view", r.random() * 60) for k in range(4000)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(0, 9000, 3).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES[name](spark, str(tmp_path)).count()
+    monkeypatch.setattr(coords, "overlaps", lambda *_: F.lit(True))
+    assert 1000 < found <= QUERIES[name](spark, str(tmp_path)).count() < 5 * found
+
+
 def test_many_wide_requests(spark):
     """100,000 requests over whole references: some bins each, not one for each 16 kb."""
     records = frame(spark, [(k, "a", 1 + k * 100_000_000, 5 + k * 100_000_000) for k in range(21)])
