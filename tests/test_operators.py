@@ -9,7 +9,7 @@ from spanframe.functions import coords
 from spanframe.functions.config import FormatError
 from spanframe.functions.regions import RegionError, parse_region
 from spanframe.operators import index, islands
-from spanframe.operators.overlap import first_match, overlap_join, query, target_filter
+from spanframe.operators.overlap import first_match, overlap_join, pairs, query, target_filter
 from spanframe.plans.ordering import ranked
 
 
@@ -69,7 +69,7 @@ def test_plans_agree_at_any_coordinate(spark, seed):
 
 
 @pytest.mark.parametrize("seed", [5, 6])
-def test_cells_at_any_coordinate(spark, seed):
+def test_cells_and_pairs_at_any_coordinate(spark, seed):
     """Around the borders of cells of all widths; points, wide and open requests; ends before starts and equal rows."""
     r = random.Random(seed)
     edges = [1, *(1 << k for k in (6, 7, 9, 10, 13, 16, 30, 38, 41, 50, 60, 62)), coords.LONG_MAX - 10]
@@ -83,10 +83,12 @@ def test_cells_at_any_coordinate(spark, seed):
     got = overlap_join(frame(spark, rows), frame(spark, asked, "ordinal"), "cells")
     assert got.columns == ["record_id", "ref", "start", "end", "ordinal"]
     assert sorted((x.ordinal, x.record_id) for x in got.collect()) == sorted((q[0], x[0]) for q in asked for x in rows if meets(x, q))
-    assert overlap_join(frame(spark, rows), frame(spark, asked, "ordinal").limit(0), "cells").collect() == []
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and meets(x, y))
+    assert sorted((x.record_id, x.other_id) for x in pairs(frame(spark, rows)).collect()) == want
+    assert pairs(frame(spark, rows).limit(0)).collect() == [] == overlap_join(frame(spark, rows), frame(spark, asked, "ordinal").limit(0), "cells").collect()
 
 
-@pytest.mark.parametrize("name", ["layout_overlap"])
+@pytest.mark.parametrize("name", ["interval_pairs_binned", "layout_overlap"])
 def test_dense_records_are_compared_with_few(spark, tmp_path, monkeypatch, name):
     """What is compared, counted as if all of it met, is not much more than what meets."""
     import datetime
